@@ -6,10 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twofold.llm import simhash
+from twofold.llm import bpe, quality, simhash
 from twofold.llm.common import table
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the tokeniser-fertility verdict of all documents."""
+    return quality.quality_metrics(
+        table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), tokenizer("byte_bpe_multi_50k.tiktoken")
+    )
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents under the piece vocabulary."""
+    return bpe.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op7_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents; 3-word shingles, links of 2 bits or fewer."""
     found = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=3)
@@ -17,6 +35,8 @@ def op7_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_fertility": op1_quality_fertility,
+    "op6_token_counts": op6_token_counts,
     "op7_simhash_multi_index": op7_simhash_multi_index,
 }
 
