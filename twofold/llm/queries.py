@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twofold.llm import bpe, quality, simhash
+from twofold.llm import bpe, licenses, quality, simhash
 from twofold.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op1_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of all documents."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents under the piece vocabulary."""
     return bpe.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
@@ -36,8 +41,11 @@ def op7_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fertility": op1_quality_fertility,
+    "op4_license_positions": op4_license_positions,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_multi_index": op7_simhash_multi_index,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_license_positions": licenses.license_sql(),
+}
