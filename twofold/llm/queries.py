@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twofold.llm import bpe, licenses, quality, simhash
+from twofold.llm import bpe, licenses, mixing, quality, simhash
 from twofold.llm.common import table
 
 
@@ -39,13 +40,23 @@ def op7_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op10_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked probabilities and the calibrated sample of all documents."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "_cell.source", "_cell.lang", "_cell.topic", F.col("_tokens").alias("n_tokens"),
+        F.round("_probability", 6).alias("probability"), F.col("_sampled").alias("sampled"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fertility": op1_quality_fertility,
     "op4_license_positions": op4_license_positions,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_multi_index": op7_simhash_multi_index,
+    "op10_mixing_weights": op10_mixing_weights,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_license_positions": licenses.license_sql(),
+    "op10_mixing_weights": mixing.mix_sql(),
 }
