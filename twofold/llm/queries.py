@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twofold.llm import bpe, licenses, mixing, quality, simhash
+from twofold.llm import bpe, licenses, mixing, quality, simhash, weaklabel
 from twofold.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op4_license_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak-label posterior and trained quality score of all documents."""
+    return weaklabel.weak_quality(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents under the piece vocabulary."""
     return bpe.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
@@ -51,6 +56,7 @@ def op10_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fertility": op1_quality_fertility,
     "op4_license_positions": op4_license_positions,
+    "op5_weak_label_quality": op5_weak_label_quality,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_multi_index": op7_simhash_multi_index,
     "op10_mixing_weights": op10_mixing_weights,
