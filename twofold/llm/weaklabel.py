@@ -167,7 +167,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     return w.astype(np.float32), float(bias)
 
 
-def weak_quality(docs: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = 0.5, **cols: str) -> DataFrame:
+def weak_quality(docs: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = 0.8, **cols: str) -> DataFrame:
     """(doc_id, pattern, posterior, score, kept) of every row."""
     spark = docs.sparkSession
     texts = id_text(docs, **cols)
