@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twofold.llm import bpe, licenses, mixing, quality, simhash, weaklabel
+from twofold.llm import bpe, licenses, mixing, quality, simhash, toxicity, weaklabel
 from twofold.llm.common import table
 
 
@@ -45,6 +45,11 @@ def op7_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op9_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by their nearest labelled examples."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked probabilities and the calibrated sample of all documents."""
     return mixing.mix(table(spark, sf_dir, "documents")).select(
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_weak_label_quality": op5_weak_label_quality,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_multi_index": op7_simhash_multi_index,
+    "op9_toxicity_neighbours": op9_toxicity_neighbours,
     "op10_mixing_weights": op10_mixing_weights,
 }
 
