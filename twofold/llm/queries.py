@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twofold.llm import bpe, licenses, mixing, quality, simhash, toxicity, weaklabel
+from twofold.llm import bpe, decontaminate, licenses, mixing, quality, simhash, toxicity, weaklabel
 from twofold.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op1_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items verified in any of the documents."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_license_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of all documents."""
     return licenses.license_scan(table(spark, sf_dir, "documents"))
@@ -60,6 +65,7 @@ def op10_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fertility": op1_quality_fertility,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_license_positions": op4_license_positions,
     "op5_weak_label_quality": op5_weak_label_quality,
     "op6_token_counts": op6_token_counts,
