@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twofold.llm import bpe, decontaminate, licenses, mixing, quality, simhash, toxicity, weaklabel
+from twofold.llm import bpe, decontaminate, licenses, mixing, quality, simhash, suffix, toxicity, weaklabel
 from twofold.llm.common import table
 
 
@@ -24,6 +24,12 @@ def op1_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that 100-byte strings cover which start earlier."""
+    cut = suffix.deduplicate(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items verified in any of the documents."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -65,6 +71,7 @@ def op10_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_fertility": op1_quality_fertility,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_license_positions": op4_license_positions,
     "op5_weak_label_quality": op5_weak_label_quality,
