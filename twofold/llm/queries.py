@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twofold.llm import bpe, decontaminate, licenses, mixing, quality, simhash, suffix, toxicity, weaklabel
+from twofold.llm import bpe, decontaminate, licenses, lm, mixing, quality, simhash, suffix, toxicity, weaklabel
 from twofold.llm.common import table
 
 
@@ -56,6 +56,11 @@ def op7_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op8_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents by their nearest labelled examples."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_weak_label_quality": op5_weak_label_quality,
     "op6_token_counts": op6_token_counts,
     "op7_simhash_multi_index": op7_simhash_multi_index,
+    "op8_lm_trie": op8_lm_trie,
     "op9_toxicity_neighbours": op9_toxicity_neighbours,
     "op10_mixing_weights": op10_mixing_weights,
 }
