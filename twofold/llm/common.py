@@ -77,6 +77,24 @@ def doc_slices(
             yield ids[start:], texts[start:]
 
 
-def spread(df: DataFrame, width: int = 8) -> DataFrame:
-    """At least `width` input partitions for tables whose files give fewer; larger inputs are left as they are."""
-    return df if df.rdd.getNumPartitions() >= width else df.repartition(width)
+def keep_rows(docs: DataFrame, judge_maker, text_col: str = "text", other_cols: tuple[str, ...] = ()) -> DataFrame:
+    """The rows that a judge keeps, with all their columns; `judge_maker()` gives a task's judge, which takes the texts
+    (bytes; null is empty) and the other columns of a slice and returns booleans. Texts aren't moved."""
+    names = docs.columns
+    at = names.index(text_col)
+    others = [names.index(c) for c in other_cols]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = judge_maker()
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            more = [batch.column(i).to_pylist() for i in others]
+            start, size = 0, 0
+            for i, text in enumerate(texts):
+                size += len(text) + 64
+                if size >= 4 << 20 or i + 1 == len(texts):
+                    kept = judge(texts[start : i + 1], *(m[start : i + 1] for m in more))
+                    yield batch.slice(start, i + 1 - start).filter(pa.array(kept, pa.bool_()))
+                    start, size = i + 1, 0
+
+    return docs.mapInArrow(run, docs.schema)

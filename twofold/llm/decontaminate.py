@@ -22,9 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from twofold.llm.common import doc_slices, id_text
+from twofold.llm.common import doc_slices, id_text, keep_rows
 
 PASSAGE = 64
 THRESHOLD = 0.5
@@ -267,7 +266,25 @@ def leaks(
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs` in which no item was verified."""
-    bad = leaks(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["_leak"]), "left_anti")
+def clean(
+    docs: DataFrame, items: DataFrame, passage: int = PASSAGE, threshold: float = THRESHOLD, least_overlap: float = LEAST_OVERLAP,
+    item_id: str = "item_id", item_text: str = "text", block_bytes: int = INDEX_BYTES, text_col: str = "text",
+) -> DataFrame:
+    """The rows of `docs` in which no item is verified, with all their columns; one pass for each block of items."""
+    for block in item_blocks(id_text(items, id_col=item_id, text_col=item_text), block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, passage))  # at most block_bytes of item texts
+
+        def maker(shared=shared):
+            tuned = []
+
+            def judged(texts: list[bytes]) -> list[bool]:
+                words = [words_of(t.decode()) for t in texts]
+                if not tuned:
+                    shared.value.tuned(words)
+                    tuned.append(True)
+                return [not found for found in shared.value.search(words, threshold, least_overlap)]
+
+            return judged
+
+        docs = keep_rows(docs, maker, text_col)
+    return docs

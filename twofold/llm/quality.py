@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twofold.llm.bpe import CACHE_ENTRIES, SPACE, PieceModel, piece_model
-from twofold.llm.common import WORD_SPACE, doc_slices
+from twofold.llm.common import WORD_SPACE, doc_slices, keep_rows
 
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -194,6 +194,22 @@ def judge(text: bytes, words: list[bytes], nums: np.ndarray, lang: str | None, k
     )
 
 
+def keep_good(docs: DataFrame, piece_path: str, byte_path: str, bands: dict[str, tuple] = BANDS, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows that `quality_metrics` keeps, with all their columns."""
+
+    def maker():
+        words_of = WordTokens(piece_model(piece_path), byte_encoding(byte_path))
+
+        def judged(texts: list[bytes], langs: list[str | None]) -> list[bool]:
+            words = [t.split() for t in texts]
+            nums = words_of.add(words)
+            return [judge(t, w, n, lang, words_of, bands)[-1] for t, w, n, lang in zip(texts, words, nums, langs, strict=True)]
+
+        return judged
+
+    return keep_rows(docs, maker, text_col, (lang_col,))
+
+
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 ARROW = pa.schema(
     [(c.split()[0], {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]]) for c in SCHEMA.split(", ")]

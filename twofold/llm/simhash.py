@@ -110,5 +110,86 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, **cols: str) -> Dat
     return fps.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
+SKETCH = 128
+NEAR_BITS = 5
+NEAR = 0.8
+
+
+def word_fingerprints(docs: DataFrame, tables: int = 2, sketch: int = SKETCH, **cols: str) -> DataFrame:
+    """(doc_id, size, fps, sketch): for each row its bytes, `tables` SimHashes of its distinct words, and the `sketch`
+    smallest hashes of its five-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for ids, texts in doc_slices(batches):
+            fps, sketches = [], []
+            for text in texts:
+                words = text.lower().split()
+                own = set(words)
+                fps.append([
+                    majority_bits(np.fromiter((digest(w, seed) for w in own), dtype=np.uint64, count=len(own))) - (1 << 63)
+                    if own else -(1 << 63) for seed in range(tables)
+                ])
+                grams = set(map(b" ".join, zip(*(words[i:] for i in range(5)), strict=False))) if len(words) >= 5 else {b" ".join(words)}
+                h = np.unique(np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=len(grams)) >> np.uint64(16))
+                sketches.append(h[:sketch].astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                ["doc_id", "size", "fps", "sketch"],
+            )
+
+    return id_text(docs, **cols).mapInArrow(run, "doc_id long, size long, fps array<long>, sketch array<long>")
+
+
+def sketch_similarity(a: F.Column, b: F.Column, sketch: int = SKETCH) -> F.Column:
+    """Jaccard similarity of the shingles: exact while both have fewer than `sketch`, else from the smallest of both."""
+    joint = F.slice(F.array_sort(F.array_union(a, b)), 1, sketch)
+    return F.size(F.array_intersect(joint, F.array_intersect(a, b))) / F.size(joint)
+
+
+def near_links(nodes: DataFrame, tables: int, max_bits: int, least: float) -> DataFrame:
+    """(a, b) of nodes (node, fps, sketch) that differ in at most `max_bits` bits of a fingerprint and whose five-word
+    shingles are similar to `least` or more.
+
+    Each fingerprint files itself under the radius-1 ball of either 32-bit segment, so that two whose segments differ in
+    two bits or fewer meet; of 5 differing bits some segment has no more. A cell links its members to its least and greatest
+    node and to one chosen by hash, instead of all pairs.
+    """
+    cells = None
+    for t in range(tables):
+        for s, shift in enumerate((0, 32)):
+            value = F.shiftrightunsigned(F.get("fps", F.lit(t)), shift).bitwiseAND(F.lit(0xFFFFFFFF))
+            prefix = F.lit((2 * t + s) << 32).cast("long")
+            ball = F.array(*[(prefix + value).bitwiseXOR(F.lit(m).cast("long")) for m in [0] + [1 << k for k in range(32)]])
+            part = nodes.select("node", F.explode(ball).alias("cell"))
+            cells = part if cells is None else cells.unionByName(part)
+    pivots = (
+        cells.groupBy("cell")
+        .agg(F.count("*").alias("n"), F.min("node").alias("p0"), F.max("node").alias("p1"), F.min_by("node", F.xxhash64("node")).alias("p2"))
+        .where("n > 1").select("cell", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("b"))
+    )
+    pairs = cells.join(pivots, "cell").where("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+    left = nodes.select(F.col("node").alias("a"), F.col("fps").alias("fa"), F.col("sketch").alias("sa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("fps").alias("fb"), F.col("sketch").alias("sb"))
+    near = F.exists(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_bits), lambda x: x)
+    return (
+        pairs.join(left, "a").join(right, "b").where(near)
+        .where(sketch_similarity(F.col("sa"), F.col("sb")) >= least).select("a", "b")
+    )
+
+
+def first_of_groups(docs: DataFrame, tables: int = 2, max_bits: int = NEAR_BITS, least: float = NEAR, id_col: str = "doc_id", **cols: str) -> DataFrame:
+    """(doc_id, component_id): groups of exact and near copies; texts without words are alike."""
+    made = word_fingerprints(docs, tables, id_col=id_col, **cols)
+    fps = written(made.withColumn("node", F.xxhash64("fps", "sketch")), "word-simhash")
+    nodes = fps.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes, "nodes")
+    member = components(near_links(nodes.select("node", "fps", "sketch"), tables, max_bits, least), "a", "b")
+    named = nodes.select("node", "first").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    names = named.select("node", "root").join(ids, "root").select("node", "component_id")
+    return fps.select("doc_id", "node").join(names, "node").select("doc_id", "component_id")
+
+
 def hex16(fp: F.Column) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

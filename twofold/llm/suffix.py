@@ -423,8 +423,8 @@ def compare(length: int):
     return run
 
 
-def cut_out(length: int):
-    """Texts without their removed ranges."""
+def cut_out(whole_chars: bool):
+    """Texts without their removed ranges; with `whole_chars` without the rests of characters that a cut has split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -441,9 +441,10 @@ def cut_out(length: int):
                         parts.append(text[at:a])
                         at, n = b, n + 1
                 parts.append(text[at:])
-                kept.append(b"".join(parts))
+                left = b"".join(parts)
                 size.append(len(text))
-                lost.append(len(text) - len(kept[-1]))
+                lost.append(len(text) - len(left))
+                kept.append(b"".join(p.decode("utf-8", "ignore").encode() for p in parts) if whole_chars and n else left)
                 spans.append(n)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(3), pa.array(size, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
@@ -454,7 +455,7 @@ def cut_out(length: int):
 
 
 def deduplicate(
-    docs: DataFrame, length: int = LENGTH, hot: int = HOT, rest: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = LENGTH, hot: int = HOT, rest: list[str] | None = None, whole_chars: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, rest (a struct of the columns named), n_bytes, n_removed, n_spans, kept (the remaining bytes) of every row."""
     texts = docs.select(
@@ -482,6 +483,6 @@ def deduplicate(
     kind = texts.schema["rest"].dataType.simpleString()
     out = (
         texts.join(gone.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "tag", "text", "rest", "gone")
-        .mapInArrow(cut_out(length), f"doc_id long, rest {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+        .mapInArrow(cut_out(whole_chars), f"doc_id long, rest {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     )
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
