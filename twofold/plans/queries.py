@@ -296,15 +296,15 @@ def t5_backbone(spark, sf_dir):
 
 
 _CORE = ", k0 as (select source, target, weight from dp)" + "".join(
-    f", k{i + 1} as (select * from k{i} where source in (select v from (select source as v from k{i} union all select target from k{i}) group by 1 having count(*) >= 12) "
-    f"and target in (select v from (select source as v from k{i} union all select target from k{i}) group by 1 having count(*) >= 12))"
+    f", k{i + 1} as (select * from k{i} where source in (select v from (select source as v from k{i} union all select target from k{i}) group by 1 having count(*) >= 10) "
+    f"and target in (select v from (select source as v from k{i} union all select target from k{i}) group by 1 having count(*) >= 10))"
     for i in range(10)
 )
 
 
 @query("g8_k_core", f"{_CORE} select source, target, weight from k10")
 def g8_k_core(spark, sf_dir):
-    return reduce.k_core(disciplines(spark, sf_dir)[1], 12)
+    return reduce.k_core(disciplines(spark, sf_dir)[1], 10)
 
 
 @query("g10_components", """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def running_clicks(events: DataFrame, late: str = "1 day", window: str | None = None) -> DataFrame:
     """Clicks of each user and event type, in update mode; with `window`, of each window, whose state the watermark ends."""
-    stream = events.withWatermark("ts", late)
+    stream = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     keys = [F.col("user_id"), F.col("event_type")]
     if window:
         keys.append(F.window("ts", window).alias("window"))
