@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twofold.errors import ContractError
+from twofold.session import settled
 
 
 def contingency(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -66,10 +67,8 @@ def agreement_matrix(partitions: dict[str, DataFrame]) -> DataFrame:
 def average_ranks(scored: DataFrame, column: str) -> DataFrame:
     """(node_id, rank): ties share the mean of their places. Places come from the distinct values, whose counts are added up in
     ranges of values, so no single task orders all rows."""
-    from pyspark.sql import Window
-
     counts = scored.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    ranged = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    ranged = settled(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "ranks")  # read twice, one numbering
     before_part = ranged.groupBy("part").agg(F.sum("c").alias("s"))
     offsets = before_part.withColumn("o", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "o")
     upto = F.sum("c").over(Window.partitionBy("part").orderBy("v"))

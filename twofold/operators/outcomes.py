@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twofold.errors import ContractError
 from twofold.operators.bipartite import Bipartite
+from twofold.session import settled
 from twofold.specs import NOT_PASSED, RESULTS
 
 LEAST_REPLICAS = 5
@@ -96,10 +97,10 @@ def bands(scores: DataFrame, k: int) -> DataFrame:
 
     Places are counted within ranges of scores and put together from the ranges' sizes, so no task orders all rows.
     """
-    parts = scores.repartitionByRange("score", "node_id").withColumn("part", F.spark_partition_id())
+    parts = settled(scores.repartitionByRange("score", "node_id").withColumn("part", F.spark_partition_id()), "bands")  # read twice
     sizes = parts.groupBy("part").agg(F.count("*").alias("c"))
     before = sizes.withColumn("o", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "o")
-    total = scores.agg(F.count("*").alias("n"))
+    total = parts.agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("part").orderBy("score", "node_id"))
     ranked = parts.withColumn("i", place).join(F.broadcast(before), "part").crossJoin(F.broadcast(total))  # a row a partition; one row
     return ranked.select("node_id", "score", F.ceil((F.col("i") + F.col("o")) * k / F.col("n")).cast("long").alias("band"))

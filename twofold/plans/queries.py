@@ -11,6 +11,7 @@ from twofold.operators import (
     agreement, bipartite, centrality, communities, insight, modularity, nullmodel, outcomes, profile, projection, reduce, validate,
 )
 from twofold.operators.bipartite import Bipartite, build
+from twofold.plans import lab
 from twofold.sources import artifacts, driver, synthetic, tables
 from twofold.specs import BipartiteSpec
 
@@ -635,6 +636,44 @@ def v2_projection_rules(spark, sf_dir):
     return validate.projection(*students(spark, sf_dir), min_weight=2)
 
 
+@query("p10_induced", """
+  select source, target, weight from sp where source in (select node_id from byres where community = 0) and target in (select node_id from byres where community = 0)""")
+def p10_induced(spark, sf_dir):
+    return lab.induced_view(students(spark, sf_dir)[1], by_result(spark, sf_dir).where("community = 0"))
+
+
+@query("g11_bipartite_view", "select student, substr(student, 2) as student_label, discipline, substr(discipline, 2) as discipline_label, weight from edges")
+def g11_bipartite_view(spark, sf_dir):
+    return lab.bipartite_view(graph(spark, sf_dir))
+
+
+@query("n6_critical_rows", _TOPS.replace("qualify", "").replace("rank <= 6)", ")") + " select 'discipline_simple' as projection_id, metric, rank, node_id, substr(node_id, 2) as label, round(score, 6) as score from tops where rank <= 4")
+def n6_critical_rows(spark, sf_dir):
+    both = {"discipline_simple": disciplines(spark, sf_dir), "student_simple": students(spark, sf_dir)}
+    return lab.critical_rows(both, ("degree", "strength"), 4)
+
+
+@query("n8_disagreement_rows", _RANKS + """
+  , d as (select node as node_id, a as score from k), s as (select node as node_id, b as score from k),
+  tops as (select 'degree' as metric, row_number() over (order by score desc, node_id) as rank, node_id from d union all select 'strength', row_number() over (order by score desc, node_id), node_id from s),
+  f as (select node_id, case when count(*) = 2 then 'all' else 'only_' || min(metric) end as found from tops where rank <= 6 group by 1)
+  select 'set' as kind, found as name, count(*)::double as value from f group by 2 union all select 'spearman', 'degree~strength', round(corr(x, y), 6) from r""")
+def n8_disagreement_rows(spark, sf_dir):
+    nodes, edges = disciplines(spark, sf_dir)
+    return lab.disagreement_rows({"degree": centrality.degree(nodes, edges), "strength": centrality.strength(nodes, edges, normalized=False)}, 6)
+
+
+@query("k18_typed_cells", """
+  select p_partkey, case when regexp_matches(x, '^[0-9]+$') then x::bigint end as whole, case when regexp_matches(x, '^[0-9]+[.][0-9]+$') then x::double end as real,
+         case when try_cast(x as double) is null then x end as txt
+  from (select p_partkey, case p_partkey % 3 when 0 then p_size::varchar when 1 then p_size::varchar || '.25' else p_brand end as x from part)""")
+def k18_typed_cells(spark, sf_dir):
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    x = F.when(k == 0, size).when(k == 1, F.concat(size, F.lit(".25"))).otherwise(F.col("p_brand"))
+    cells = driver.table(spark, sf_dir, "part").select("p_partkey", artifacts.typed_cell(x).alias("c"))
+    return cells.select("p_partkey", "c.whole", "c.real", F.col("c.text").alias("txt"))
+
+
 # --- solvers, checked by rows and by tests -----------------------------------------------------------------------------
 
 
@@ -658,6 +697,23 @@ def c5_girvan_newman_splits(spark, sf_dir):
     return communities.splits(disciplines(spark, sf_dir)[1], target=3)
 
 
+@query("c2_compare_solvers")
+def c2_compare_solvers(spark, sf_dir):
+    nodes, edges = disciplines(spark, sf_dir)
+    strong = projection.prune(edges, 4)
+    return lab.compare_solvers(nodes, strong).drop("runtime_s")
+
+
+@query("n9_sensitivity")
+def n9_sensitivity(spark, sf_dir):
+    return lab.sensitivity(*disciplines(spark, sf_dir), 5)
+
+
+@query("i13_lab_run")
+def i13_lab_run(spark, sf_dir):
+    return lab.lab_run(synthetic.demo(spark), BipartiteSpec("demo", "module", "score_threshold", 50.0))[0].names
+
+
 @query("g9_null_model")
 def g9_null_model(spark, sf_dir):
     return nullmodel.null_edges(graph(spark, sf_dir), 2)
