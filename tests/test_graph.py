@@ -165,3 +165,24 @@ def test_random_projection(spark, pairs):
         held.setdefault(str(a), set()).add(b)
     want = {(x, y): float(len(held[x] & held[y])) for x in held for y in held if x < y and held[x] & held[y]}
     assert found == want
+
+
+def test_spread_louvain_is_near_the_solver(spark, tiny):
+    import random
+
+    from twofold.operators import spread
+
+    rng = random.Random(5)
+    edges = []
+    for a in range(60):
+        for b in range(a + 1, 60):
+            if rng.random() < (0.5 if a // 20 == b // 20 else 0.03):
+                edges.append((f"N{a:02}", f"N{b:02}", 1.0))
+    graph = spark.createDataFrame(edges, "source string, target string, weight double")
+    nodes = spark.createDataFrame([(f"N{i:02}",) for i in range(60)], "id string")
+    one = communities.partition(nodes, graph, "louvain").first()["modularity"]
+    member, q = spread.louvain(nodes, graph)
+    assert q >= 0.9 * one and member.count() == 60
+    assert modularity.modularity(graph, member).first()["modularity"] == pytest.approx(q, abs=1e-6)
+    alone, q = spread.louvain(nodes, graph.limit(0))
+    assert q == 0.0 and alone.select("community").distinct().count() == 60
