@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twofold.llm.common import doc_slices, id_text, written
+from twofold.llm.common import doc_slices, drop_written, id_text, written
 
 #: Bounds of the example set and of its vocabulary; parameters of `toxicity`.
 PER_CLASS = 4000
@@ -54,23 +54,8 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> F.Column:
 class Index:
     """Block-max inverted index over the distinct example vectors."""
 
-    def __init__(self, rows: list[tuple[int, int, frozenset[str] | Counter]], class_weight: dict[int, float], terms: int = TERMS, nearest: int = NEAREST):
-        self.nearest = nearest
-        self.class_weight = class_weight
-        df = {0: Counter(), 1: Counter()}
-        size = Counter(y for _, y, _ in rows)
-        for _, y, bag in rows:
-            df[y].update(bag.keys())
-        scored = []
-        for term in set(df[0]) | set(df[1]):
-            a, b = df[1][term], df[0][term]
-            if a + b < 3:
-                continue
-            p, q = (a + 0.1) / (size[1] + 0.2), (b + 0.1) / (size[0] + 0.2)
-            spread = abs(math.log(p / q)) / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if spread >= LEAST_SHARE or (b == 0 and a >= 5):
-                scored.append((-spread, term))
-        self.idf = {t: math.log((len(rows) + 1) / (df[0][t] + df[1][t] + 1)) + 1.0 for _, t in sorted(scored)[:terms]}
+    def __init__(self, rows: list[tuple[int, int, Counter]], class_weight: dict[int, float], idf: dict[str, float], nearest: int = NEAREST):
+        self.nearest, self.class_weight, self.idf = nearest, class_weight, idf
         entries: dict[tuple, list] = {}
         for doc_id, y, bag in rows:
             vec = self.vector(bag)
@@ -168,8 +153,11 @@ def term_bags(texts: list[bytes], known: dict[bytes, list[str]], keep=None) -> l
     return out
 
 
-def examples(docs: DataFrame, labels: DataFrame, per_class: int, folds: int) -> tuple[list[tuple[int, int, Counter]], dict[int, float]]:
-    """The bounded example set, and what one example of a class stands for among all labelled training rows."""
+def examples(
+    docs: DataFrame, labels: DataFrame, per_class: int, terms: int, folds: int
+) -> tuple[list[tuple[int, int, Counter]], dict[int, float], dict[str, float]]:
+    """The bounded example set, what one example of a class stands for among all labelled training rows, and the IDF of the
+    vocabulary's terms."""
     labelled = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
         .where("doc_id is not null and y in (0, 1)").where(~held_out(folds=folds))
@@ -196,17 +184,35 @@ def examples(docs: DataFrame, labels: DataFrame, per_class: int, folds: int) ->
                 at += len(ids)
 
     one_each = written(sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, terms array<string>, n array<int>"), "examples")
-    common = (  # terms that fewer than 3 examples hold can't be chosen
-        one_each.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df >= 3")
+    n1, n0 = (F.sum(F.when(F.col("y") == y, 1).otherwise(0)) for y in (1, 0))
+    rows_by_class = one_each.agg(F.coalesce(n1, F.lit(0)).alias("n1"), F.coalesce(n0, F.lit(0)).alias("n0")).first()
+    p = (F.col("a") + 0.1) / (rows_by_class["n1"] + 0.2)
+    q = (F.col("b") + 0.1) / (rows_by_class["n0"] + 0.2)
+    spread = F.abs(F.ln(p / q)) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    chosen = (
+        one_each.select("y", F.explode("terms").alias("term")).groupBy("term")
+        .agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+        .where("a + b >= 3").withColumn("spread", spread)
+        .where((F.col("spread") >= LEAST_SHARE) | ((F.col("b") == 0) & (F.col("a") >= 5)))
+        .orderBy(F.desc("spread"), "term").limit(terms).collect()
     )
-    slim = (
-        one_each.select("doc_id", "y", F.posexplode("terms").alias("i", "term"), "n")
-        .join(common, "term").groupBy("doc_id", "y").agg(F.collect_list(F.struct("term", F.get("n", F.col("i")).alias("n"))).alias("bag"))
-    )
-    rows = one_each.select("doc_id", "y").join(slim.select("doc_id", "bag"), "doc_id", "left").dropDuplicates(["doc_id"]).collect()
-    found = sorted(((r["doc_id"], r["y"], Counter({x["term"]: x["n"] for x in r["bag"] or ()})) for r in rows), key=lambda r: r[0])
-    sizes = Counter(y for _, y, _ in found)
-    return found, {y: totals.get(y, 0) / sizes[y] for y in sizes}
+    total = rows_by_class["n1"] + rows_by_class["n0"]
+    idf = {r["term"]: math.log((total + 1) / (r["a"] + r["b"] + 1)) + 1.0 for r in chosen}
+
+    def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, counts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            kept = [[(t, n) for t, n in zip(ts, ns, strict=True) if t in idf] for ts, ns in zip(names, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([[t for t, _ in k] for k in kept], pa.list_(pa.string())), pa.array([[n for _, n in k] for k in kept], pa.list_(pa.int32()))],
+                ["doc_id", "y", "terms", "n"],
+            )
+
+    rows = one_each.mapInArrow(slim, "doc_id long, y int, terms array<string>, n array<int>").collect()  # vocabulary terms of 2 * per_class rows
+    found = {r["doc_id"]: (r["doc_id"], r["y"], Counter(dict(zip(r["terms"], r["n"], strict=True)))) for r in sorted(rows, key=lambda r: (r["doc_id"], r["terms"]))}
+    sizes = Counter(y for _, y, _ in found.values())
+    drop_written(one_each)
+    return [found[i] for i in sorted(found)], {y: totals.get(y, 0) / sizes[y] for y in sizes}, idf
 
 
 def toxicity(
@@ -214,10 +220,10 @@ def toxicity(
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, similarity) of every row of `docs`."""
     texts = id_text(docs, **cols)
-    rows, weight = examples(texts, labels, per_class, folds)
+    rows, weight, idf = examples(texts, labels, per_class, terms, folds)
     smallest = min(weight.values(), default=1.0)
     weight = {y: w / smallest for y, w in weight.items()}
-    shared = texts.sparkSession.sparkContext.broadcast(Index(rows, weight, terms, nearest))  # bounded by per_class and terms
+    shared = texts.sparkSession.sparkContext.broadcast(Index(rows, weight, idf, nearest))  # bounded by per_class and terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known = shared.value, {}
