@@ -109,10 +109,29 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(sliding(np.maximum, padded, span)[:m] == g)
     owner = np.searchsorted(ends, at, side="right")
     first, last = (ends - sizes)[owner], ends[owner]
-    a, b = np.maximum(first, at - (span - 1)), np.minimum(last, at + length)
+    # a window belongs to its leftmost smallest gram: those of one gram start from a to b
+    lo, hi = reach(g, at, span)
+    a, b = np.maximum(first, lo), np.minimum(last - length, hi) + length
+    own = a + length <= b
+    owner, at, a, b, first = owner[own], at[own], a[own], b[own], first[own]
     return owner, g[at], Hashes(e[: n + 8]).of(a, b), a - first, b - first
 
 
+def reach(g: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the windows of `span` grams whose leftmost smallest gram is at each place."""
+    lo, hi = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
+    off = np.arange(1, span)
+    for k in range(0, len(at), 1 << 13):
+        i = at[k : k + (1 << 13), None]
+        own = g[i]
+        left = (g[np.maximum(i - off, 0)] <= own) & (i >= off)
+        right = (g[np.minimum(i + off, len(g) - 1)] < own) & (i + off < len(g))
+        i = i[:, 0]
+        lo[k : k + len(i)] = i - np.where(left.any(axis=1), left.argmax(axis=1), span - 1)
+        hi[k : k + len(i)] = np.where(right.any(axis=1), i + right.argmax(axis=1) + 1 - span, i)
+    return lo, hi
+
+
 def merged(doc: np.ndarray, tag: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
     """Overlapping or touching ranges of a document as one; ranges sorted by document and start."""
     if not len(doc):
