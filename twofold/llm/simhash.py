@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twofold.llm.common import doc_slices, id_text, written
@@ -113,6 +113,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, **cols: str) -> Dat
 SKETCH = 128
 NEAR_BITS = 5
 NEAR = 0.8
+NEIGHBOURS = 3
 
 
 def word_fingerprints(docs: DataFrame, tables: int = 2, sketch: int = SKETCH, **cols: str) -> DataFrame:
@@ -131,14 +132,14 @@ def word_fingerprints(docs: DataFrame, tables: int = 2, sketch: int = SKETCH, **
                     if own else -(1 << 63) for seed in range(tables)
                 ])
                 grams = set(map(b" ".join, zip(*(words[i:] for i in range(5)), strict=False))) if len(words) >= 5 else {b" ".join(words)}
-                h = np.unique(np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=len(grams)) >> np.uint64(16))
-                sketches.append(h[:sketch].astype(np.int64))
+                h = np.unique(np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=len(grams)) >> np.uint64(32))
+                sketches.append(h[:sketch].astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))],
                 ["doc_id", "size", "fps", "sketch"],
             )
 
-    return id_text(docs, **cols).mapInArrow(run, "doc_id long, size long, fps array<long>, sketch array<long>")
+    return id_text(docs, **cols).mapInArrow(run, "doc_id long, size long, fps array<long>, sketch array<int>")
 
 
 def sketch_similarity(a: F.Column, b: F.Column, sketch: int = SKETCH) -> F.Column:
@@ -152,23 +153,20 @@ def near_links(nodes: DataFrame, tables: int, max_bits: int, least: float) -> Da
     shingles are similar to `least` or more.
 
     Each fingerprint files itself under the radius-1 ball of either 32-bit segment, so that two whose segments differ in
-    two bits or fewer meet; of 5 differing bits some segment has no more. A cell links its members to its least and greatest
-    node and to one chosen by hash, instead of all pairs.
+    two bits or fewer meet; of 5 differing bits some segment has no more. Sorted, a cell's members are linked to its first
+    and to the NEIGHBOURS before them instead of in all pairs: a window over one shuffle, that holds a few rows at a time.
     """
-    cells = None
+    balls = []
     for t in range(tables):
         for s, shift in enumerate((0, 32)):
             value = F.shiftrightunsigned(F.get("fps", F.lit(t)), shift).bitwiseAND(F.lit(0xFFFFFFFF))
             prefix = F.lit((2 * t + s) << 32).cast("long")
-            ball = F.array(*[(prefix + value).bitwiseXOR(F.lit(m).cast("long")) for m in [0] + [1 << k for k in range(32)]])
-            part = nodes.select("node", F.explode(ball).alias("cell"))
-            cells = part if cells is None else cells.unionByName(part)
-    pivots = (
-        cells.groupBy("cell")
-        .agg(F.count("*").alias("n"), F.min("node").alias("p0"), F.max("node").alias("p1"), F.min_by("node", F.xxhash64("node")).alias("p2"))
-        .where("n > 1").select("cell", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("b"))
-    )
-    pairs = cells.join(pivots, "cell").where("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+            balls += [(prefix + value).bitwiseXOR(F.lit(m).cast("long")) for m in [0] + [1 << k for k in range(32)]]
+    cells = nodes.select("node", F.explode(F.array(*balls)).alias("cell"))
+    by = Window.partitionBy("cell").orderBy("node")
+    before = [F.lag("node", k).over(by) for k in range(1, NEIGHBOURS + 1)]
+    met = cells.select("node", F.array_distinct(F.array_compact(F.array(F.first("node").over(by), *before))).alias("met"))
+    pairs = met.select(F.col("node").alias("a"), F.explode("met").alias("b")).where("a <> b").distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("fps").alias("fa"), F.col("sketch").alias("sa"))
     right = nodes.select(F.col("node").alias("b"), F.col("fps").alias("fb"), F.col("sketch").alias("sb"))
     near = F.exists(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_bits), lambda x: x)
