@@ -86,7 +86,8 @@ class WordTokens:
             symbols, lengths, cost = self.pieces.segment([SPACE + w for w in part])
             ends = np.cumsum(lengths)
             total, lost = np.r_[0, np.cumsum(cost)], np.r_[0, np.cumsum(np.where(symbols < 0, cost, 0))]
-            byte_level = [len(t) for t in self.encoding.encode_ordinary_batch([" " + w for w in part], num_threads=1)]
+            encode = self.encoding.encode_ordinary  # the batch call starts a thread for each word
+            byte_level = [len(encode(" " + w)) for w in part]
             self.tokens = np.concatenate([self.tokens, symbols])
             self.n_symbols = np.concatenate([self.n_symbols, lengths])
             self.n_tokens = np.concatenate([self.n_tokens, total[ends] - total[ends - lengths]])
@@ -118,10 +119,11 @@ def repeat_words(ids: np.ndarray) -> int:
     h = np.zeros(n, dtype=np.uint64)
     for j in range(WINDOW):
         h = (h ^ (h >> np.uint64(31))) * MIX[2] + x[j : j + n] * MIX[j]
+    ordered = np.sort(h)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return 0
     by = np.argsort(h, kind="stable")
     same = h[by][1:] == h[by][:-1]
-    if not same.any():
-        return 0
     twice = np.zeros(n + 1, dtype=bool)
     twice[:-1][by[1:][same]] = True
     twice[:-1][by[:-1][same]] = True
