@@ -4,8 +4,8 @@ Terms are words and word beginnings. A bounded, documented sample of the labelle
 rows of each class, smallest id hashes first) is the example set; its terms that go with the label in
 either direction more than chance allows are the vocabulary, weighted by TF-IDF. Examples with the same
 vector are one entry with class counts. Entries lie in blocks, and the index holds each term's largest
-weight in each block; a query reads blocks from the largest sum of bounds down and stops where a bound
-can't bring an entry into the nearest K. The similarities are exact cosines; votes weighted by similarity and by the
+weight in each block; a query reads the blocks of the largest sums of bounds, and then those others whose
+sum can still bring an entry into the nearest K. The similarities are exact cosines; votes weighted by similarity and by the
 classes' share among all labelled rows, with a prior, give the score; the nearest examples are the evidence.
 
 Defined results: a null or empty text, and a text without vocabulary terms, is voted on by the examples
@@ -31,6 +31,7 @@ PER_CLASS = 4000
 TERMS = 1024
 NEAREST = 12
 BLOCK = 64
+FIRST_BLOCKS = 4
 LEAST_SHARE = 4.0
 STEM = (4, 5, 6)
 PRIOR = 0.1
@@ -70,18 +71,18 @@ class Index:
         known = sorted(entries.items(), key=lambda e: (max((x, t) for t, x in e[0])[1], e[1][0]))
         self.first = np.array([e[1][0] for e in known], dtype=np.int64)
         self.votes = np.array([[e[1][1] * class_weight.get(0, 1.0), e[1][2] * class_weight.get(1, 1.0)] for e in known]).reshape(-1, 2)
-        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []  # terms of the block, entries by terms
-        self.bound = np.zeros((-(-len(known) // BLOCK), len(names)))
-        for n, at in enumerate(range(0, len(known), BLOCK)):
-            part = [vec for vec, _ in known[at : at + BLOCK]]
-            here = sorted({self.column[t] for vec in part for t, _ in vec})
-            place = {j: i for i, j in enumerate(here)}
-            weights = np.zeros((len(part), len(here)))
-            for i, vec in enumerate(part):
-                for t, x in vec:
-                    weights[i, place[self.column[t]]] = x
-            self.blocks.append((np.array(here), weights))
-            self.bound[n, here] = weights.max(axis=0)
+        flat = [(self.column[t], n, x) for n, (vec, _) in enumerate(known) for t, x in vec]
+        term, entry, weight = (np.array(c, dtype=kind) for c, kind in zip(zip(*flat, strict=True) if flat else ((), (), ()), (np.int64, np.int64, np.float64), strict=True))
+        by = np.lexsort((entry, term))
+        term, self.entry, self.weight = term[by], entry[by], weight[by]
+        self.n_blocks = -(-len(known) // BLOCK)
+        cell = term * self.n_blocks + self.entry // BLOCK
+        # postings of a term in a block lie from start[term, block] to start[term, block + 1]
+        edges = np.searchsorted(cell, np.arange(len(names) * self.n_blocks + 1))
+        self.start, self.end = edges[:-1].reshape(len(names), -1), edges[1:].reshape(len(names), -1)
+        self.bound = np.zeros(len(names) * self.n_blocks)
+        np.maximum.at(self.bound, cell, self.weight)
+        self.bound = self.bound.reshape(len(names), -1)
         self.memo: dict[tuple, tuple] = {}
 
     def vector(self, bag: Counter) -> tuple[tuple[str, float], ...]:
@@ -90,38 +91,33 @@ class Index:
         norm = math.sqrt(sum(x * x for _, x in raw))
         return tuple((t, round(x / norm, 9)) for t, x in raw)
 
+    def cosines(self, cols: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of the entries of some blocks, 0 for all others."""
+        start = self.start[cols][:, blocks].ravel()
+        sizes = self.end[cols][:, blocks].ravel() - start
+        at = np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return np.bincount(self.entry[at], self.weight[at] * np.repeat(np.repeat(q, len(blocks)), sizes), minlength=len(self.first))
+
     def search(self, vec: tuple[tuple[str, float], ...]) -> tuple[list[int], list[float]]:
-        """Entries with the K largest cosines, exact: blocks are read from the largest bound down, until the bound of
-        the next can't reach the K-th."""
-        cols, q = [self.column[t] for t, _ in vec], np.array([x for _, x in vec])
-        query = np.zeros(len(self.column))
-        query[cols] = q
-        bounds = self.bound[:, cols] @ q
-        found, cosines, least = [], [], 0.0
-        for n in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[n] <= 0 or bounds[n] < least - 1e-12:
-                break
-            here, weights = self.blocks[n]
-            cos = weights @ query[here]
-            near = np.flatnonzero((cos > 0) & (cos >= least - 1e-12))
-            found.append(near + n * BLOCK)
-            cosines.append(cos[near])
-            if sum(map(len, found)) >= self.nearest:
-                at, c = np.concatenate(found), np.concatenate(cosines)
-                least = float(np.partition(c, -self.nearest)[-self.nearest])
-                found, cosines = [at[c >= least - 1e-9]], [c[c >= least - 1e-9]]
-        if not found:
-            return [], []
-        at, c = np.concatenate(found), np.concatenate(cosines)
-        by = np.lexsort((self.first[at], -np.round(c, 9)))[: self.nearest]
-        return at[by].tolist(), c[by].tolist()
+        """Entries with the K largest cosines, exact: the blocks of the largest bounds give a K-th cosine, and then all blocks
+        are read whose bound reaches it."""
+        cols, q = np.array([self.column[t] for t, _ in vec]), np.array([x for _, x in vec])
+        bounds = q @ self.bound[cols]
+        first = np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]
+        some = self.cosines(cols, q, first)
+        least = float(np.partition(some, -self.nearest)[-self.nearest]) if len(some) >= self.nearest else 0.0
+        blocks = np.flatnonzero((bounds > 0) & (bounds >= least - 1e-9))
+        cos = self.cosines(cols, q, blocks)
+        at = np.flatnonzero((cos > 0) & (cos >= least - 1e-9))
+        by = at[np.lexsort((self.first[at], -np.round(cos[at], 9)))[: self.nearest]]
+        return by.tolist(), cos[by].tolist()
 
     def score(self, bag: Counter) -> tuple[float, list[int], list[float]]:
         """(score, first examples, cosines)."""
         vec = self.vector(bag)
         hit = self.memo.get(vec)
         if hit is None:
-            where, cos = self.search(vec) if vec else ([], [])
+            where, cos = self.search(vec) if vec and len(self.first) else ([], [])
             if where:
                 w = np.array(cos)[:, None] ** 4 * self.votes[where] / self.votes[where].sum(1, keepdims=True).clip(1.0) ** 0.5
                 no, yes = w.sum(0)
