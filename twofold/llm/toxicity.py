@@ -79,10 +79,10 @@ class Index:
         cell = term * self.n_blocks + self.entry // BLOCK
         # postings of a term in a block lie from start[term, block] to start[term, block + 1]
         edges = np.searchsorted(cell, np.arange(len(names) * self.n_blocks + 1))
-        self.start, self.end = edges[:-1].reshape(len(names), -1), edges[1:].reshape(len(names), -1)
+        self.start, self.end = edges[:-1].reshape(len(names), self.n_blocks), edges[1:].reshape(len(names), self.n_blocks)
         self.bound = np.zeros(len(names) * self.n_blocks)
         np.maximum.at(self.bound, cell, self.weight)
-        self.bound = self.bound.reshape(len(names), -1)
+        self.bound = self.bound.reshape(len(names), self.n_blocks)
         self.memo: dict[tuple, tuple] = {}
 
     def vector(self, bag: Counter) -> tuple[tuple[str, float], ...]:
