@@ -151,6 +151,19 @@ def test_first_of_groups(spark, docs):
     assert odd[3] == 1 and odd[5] == odd[6] == 4 and odd[8] == 8 and odd[11] == 11
 
 
+def test_near_copies_in_a_crowd_are_all_found(spark):
+    rng = random.Random(8)
+    texts = {}
+    for g in range(60):  # long texts over one small vocabulary: alike in their words, not in their shingles
+        base = [f"w{rng.randrange(400)}" for _ in range(4000)]
+        copy = list(base)
+        for _ in range(20):
+            copy[rng.randrange(4000)] = f"w{rng.randrange(400)}"
+        texts[g], texts[1000 + g] = " ".join(base), " ".join(copy)
+    found = simhash.first_of_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {k: k % 1000 for k in texts}
+
+
 def brute_cut(texts, length):
     seen, out = set(), {}
     for k in sorted(texts):

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twofold.llm.common import doc_slices, id_text, written
@@ -110,83 +110,132 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, **cols: str) -> Dat
     return fps.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-SKETCH = 128
-NEAR_BITS = 5
+#: Near copies of the pipeline: BANDS keys of BAND_ROWS min-hashes each. A pair of similarity 0.8 shares no key with a chance of
+#: (1 - 0.8 ** 5) ** 40, about 1 in 8 million; that its equal min-hashes lie ALIKE_SIGMAS deviations under their mean is rarer.
 NEAR = 0.8
-NEIGHBOURS = 3
+BANDS, BAND_ROWS = 40, 5
+ALIKE_SIGMAS = 7
+GRAM = 5
+_DRAWN = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
+FLIPS, FACTORS = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
 
 
-def word_fingerprints(docs: DataFrame, tables: int = 2, sketch: int = SKETCH, **cols: str) -> DataFrame:
-    """(doc_id, size, fps, sketch): for each row its bytes, `tables` SimHashes of its distinct words, and the `sketch`
-    smallest hashes of its five-word shingles."""
+def gram_hashes(text: bytes) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the five-word shingles; a shorter text is one shingle."""
+    words = text.lower().split()
+    grams = set(map(b" ".join, zip(*(words[i:] for i in range(GRAM)), strict=False))) if len(words) >= GRAM else {b" ".join(words)}
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=len(grams)))
+
+
+def set_node(grams: np.ndarray) -> int:
+    """Number of a shingle set, signed."""
+    return xxhash.xxh64_intdigest(grams.tobytes(), SEED) - (1 << 63)
+
+
+def min_hashes(grams: np.ndarray) -> np.ndarray:
+    """The least value of the shingles under each of the hash functions."""
+    out = np.full(len(FLIPS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(grams), 1 << 10):
+        x = (grams[at : at + (1 << 10)] ^ FLIPS) * FACTORS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(out, x.min(axis=1), out=out)
+    return out
+
+
+def set_signatures(docs: DataFrame, **cols: str) -> DataFrame:
+    """(doc_id, node, bands, alike): for each row the number of its shingle set, its keys, and a byte of each min-hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for ids, texts in doc_slices(batches):
-            fps, sketches = [], []
+            nodes, bands, alike = [], [], []
             for text in texts:
-                words = text.lower().split()
-                own = set(words)
-                fps.append([
-                    majority_bits(np.fromiter((digest(w, seed) for w in own), dtype=np.uint64, count=len(own))) - (1 << 63)
-                    if own else -(1 << 63) for seed in range(tables)
-                ])
-                grams = set(map(b" ".join, zip(*(words[i:] for i in range(5)), strict=False))) if len(words) >= 5 else {b" ".join(words)}
-                h = np.unique(np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=len(grams)) >> np.uint64(32))
-                sketches.append(h[:sketch].astype(np.uint32).view(np.int32))
+                grams = gram_hashes(text)
+                least = min_hashes(grams)
+                nodes.append(set_node(grams))
+                rows = least.reshape(BANDS, BAND_ROWS)
+                bands.append(np.array([xxhash.xxh64_intdigest(r.tobytes(), n) for n, r in enumerate(rows)], dtype=np.uint64).view(np.int64))
+                alike.append((least & np.uint64(0xFF)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int32()))],
-                ["doc_id", "size", "fps", "sketch"],
+                [pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(alike, pa.binary())],
+                ["doc_id", "node", "bands", "alike"],
             )
 
-    return id_text(docs, **cols).mapInArrow(run, "doc_id long, size long, fps array<long>, sketch array<int>")
+    return id_text(docs, **cols).mapInArrow(run, "doc_id long, node long, bands array<long>, alike binary")
 
 
-def sketch_similarity(a: F.Column, b: F.Column, sketch: int = SKETCH) -> F.Column:
-    """Jaccard similarity of the shingles: exact while both have fewer than `sketch`, else from the smallest of both."""
-    joint = F.slice(F.array_sort(F.array_union(a, b)), 1, sketch)
-    return F.size(F.array_intersect(joint, F.array_intersect(a, b))) / F.size(joint)
+def whole_sets(texts: DataFrame) -> DataFrame:
+    """(node, grams) of rows (node, text): the shingle hashes of a text that is the node's; others with its id are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, part in doc_slices(batches):
+            made = [(n, g) for n, g in ((n, gram_hashes(t)) for n, t in zip(nodes, part, strict=True)) if set_node(g) == n]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n for n, _ in made], pa.int64()), pa.array([g.view(np.int64) for _, g in made], pa.list_(pa.int64()))], ["node", "grams"]
+            )
+
+    return texts.select("node", "text").mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
 
 
-def near_links(nodes: DataFrame, tables: int, max_bits: int, least: float) -> DataFrame:
-    """(a, b) of nodes (node, fps, sketch) that differ in at most `max_bits` bits of a fingerprint and whose five-word
-    shingles are similar to `least` or more.
+def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of `least` or more, computed on the whole sets.
 
-    Each fingerprint files itself under the radius-1 ball of either 32-bit segment, so that two whose segments differ in
-    two bits or fewer meet; of 5 differing bits some segment has no more. Sorted, a cell's members are linked to its first
-    and to the NEIGHBOURS before them instead of in all pairs: a window over one shuffle, that holds a few rows at a time.
+    Pairs with far fewer equal bytes of min-hashes than that stands for leave before the sets are fetched.
     """
-    balls = []
-    for t in range(tables):
-        for s, shift in enumerate((0, 32)):
-            value = F.shiftrightunsigned(F.get("fps", F.lit(t)), shift).bitwiseAND(F.lit(0xFFFFFFFF))
-            prefix = F.lit((2 * t + s) << 32).cast("long")
-            balls += [(prefix + value).bitwiseXOR(F.lit(m).cast("long")) for m in [0] + [1 << k for k in range(32)]]
-    cells = nodes.select("node", F.explode(F.array(*balls)).alias("cell"))
-    by = Window.partitionBy("cell").orderBy("node")
-    before = [F.lag("node", k).over(by) for k in range(1, NEIGHBOURS + 1)]
-    met = cells.select("node", F.array_distinct(F.array_compact(F.array(F.first("node").over(by), *before))).alias("met"))
-    pairs = met.select(F.col("node").alias("a"), F.explode("met").alias("b")).where("a <> b").distinct()
-    left = nodes.select(F.col("node").alias("a"), F.col("fps").alias("fa"), F.col("sketch").alias("sa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("fps").alias("fb"), F.col("sketch").alias("sb"))
-    near = F.exists(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_bits), lambda x: x)
+    drawn = BANDS * BAND_ROWS
+    enough = drawn * least - ALIKE_SIGMAS * (drawn * least * (1 - least)) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= enough))
+
+    bytes_of = nodes.select("node", "alike")
+    met = pairs.join(bytes_of.toDF("a", "x"), "a").join(bytes_of.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = F.size(F.array_intersect("x", "y"))
     return (
-        pairs.join(left, "a").join(right, "b").where(near)
-        .where(sketch_similarity(F.col("sa"), F.col("sb")) >= least).select("a", "b")
+        met.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        .where(both / (F.size("x") + F.size("y") - both) >= least).select("a", "b")
     )
 
 
-def first_of_groups(docs: DataFrame, tables: int = 2, max_bits: int = NEAR_BITS, least: float = NEAR, id_col: str = "doc_id", **cols: str) -> DataFrame:
-    """(doc_id, component_id): groups of exact and near copies; texts without words are alike."""
-    made = word_fingerprints(docs, tables, id_col=id_col, **cols)
-    fps = written(made.withColumn("node", F.xxhash64("fps", "sketch")), "word-simhash")
-    nodes = fps.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
+def near_links(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b) of nodes (node, first, bands, alike) that connect all nodes with a similarity of `least` or more that share a key.
+
+    The members of a key's cell are compared with its least and its greatest one; the components of these links make one group
+    of a crowd of copies. Then all members of a cell that are still of different groups are compared, whatever their number.
+    """
+    keys = nodes.select("node", F.explode("bands").alias("cell"))
+    ends = keys.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    cells = written(keys.join(ends, "cell"), "cells")
+    some = nodes.join(cells.select("node").distinct(), "node").select("node", F.col("first").alias("doc_id"))
+    sets = written(whole_sets(some.join(texts, "doc_id")), "shingle-sets")
+    star = cells.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
+    star = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = written(verified(star, nodes, sets, least), "links")
+    root = components(links, "a", "b")
+    named = cells.select("cell", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = named.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
+    open_ = written(named.join(apart, "cell"), "open-cells")
+    left, right = open_.toDF("cell", "a", "ra"), open_.toDF("cell", "b", "rb")
+    rest = left.join(right, "cell").where("ra < rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rest = rest.join(star, ["a", "b"], "left_anti")
+    return links.unionByName(verified(rest, nodes, sets, least))
+
+
+def first_of_groups(docs: DataFrame, least: float = NEAR, id_col: str = "doc_id", **cols: str) -> DataFrame:
+    """(doc_id, component_id): groups of exact and near copies, linked by a Jaccard similarity of `least` or more of their
+    five-word shingles; texts without words are alike. Rows without an id are linked to equal shingle sets only."""
+    made = written(set_signatures(docs, id_col=id_col, **cols), "signatures")
+    nodes = made.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("alike").alias("alike"))
     nodes = written(nodes, "nodes")
-    member = components(near_links(nodes.select("node", "fps", "sketch"), tables, max_bits, least), "a", "b")
+    member = components(near_links(nodes, id_text(docs, id_col=id_col, **cols), least), "a", "b")
     named = nodes.select("node", "first").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     names = named.select("node", "root").join(ids, "root").select("node", "component_id")
-    return fps.select("doc_id", "node").join(names, "node").select("doc_id", "component_id")
+    return made.select("doc_id", "node").join(names, "node").select("doc_id", "component_id")
 
 
 def hex16(fp: F.Column) -> F.Column:
