@@ -164,6 +164,35 @@ def test_near_copies_in_a_crowd_are_all_found(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == {k: k % 1000 for k in texts}
 
 
+def near_pairs(texts, least=0.8):
+    """Pairs of ids whose five-word shingles have that Jaccard similarity, by comparing all."""
+    sets = {}
+    for k, t in texts.items():
+        ws = b(t).lower().split()
+        sets[k] = {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} or {tuple(ws)}
+    return {(x, y) for x in sets for y in sets if x < y and len(sets[x] & sets[y]) >= least * len(sets[x] | sets[y])}
+
+
+def edited(rng, n, changes):
+    base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+    copy = list(base)
+    for i in rng.sample(range(n), changes):
+        copy[i] = f"x{rng.randrange(10**6)}"
+    return " ".join(base), " ".join(copy)
+
+
+def test_near_copies_of_all_sizes_are_found(spark):
+    rng = random.Random(12)
+    texts = {}
+    for g in range(150):
+        n = rng.choice([30, 50, 80, 150])
+        texts[g], texts[1000 + g] = edited(rng, n, max(1, n // 50))
+    near = near_pairs(texts)
+    assert len(near) > 100
+    found = {r["doc_id"]: r["component_id"] for r in simhash.first_of_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert [p for p in near if found[p[0]] != found[p[1]]] == []
+
+
 def brute_cut(texts, length):
     seen, out = set(), {}
     for k in sorted(texts):
