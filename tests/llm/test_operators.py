@@ -193,6 +193,29 @@ def test_near_copies_of_all_sizes_are_found(spark):
     assert [p for p in near if found[p[0]] != found[p[1]]] == []
 
 
+def groups_of(pairs, ids):
+    root = {k: k for k in ids}
+    for _ in ids:
+        before = dict(root)
+        for x, y in pairs:
+            root[x] = root[y] = min(root[x], root[y])
+        if root == before:
+            break
+    return root
+
+
+def test_near_copies_are_verified_on_whole_texts(spark):
+    rng = random.Random(13)
+    texts = {}
+    for g in range(200):
+        n = rng.randrange(100, 500)
+        texts[g], texts[1000 + g] = edited(rng, n, rng.randrange(n // 55, n // 35 + 1))  # similarities of about 0.75 to 0.85
+    near = near_pairs(texts)
+    assert 40 < len(near) < 160
+    found = {r["doc_id"]: r["component_id"] for r in simhash.first_of_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == groups_of(near, texts)
+
+
 def brute_cut(texts, length):
     seen, out = set(), {}
     for k in sorted(texts):
