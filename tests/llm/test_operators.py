@@ -77,6 +77,24 @@ def test_quality(docs, texts, nothing):
     assert quality.quality_metrics(nothing, PIECES, BYTES).count() == 0
 
 
+def test_entropy_is_over_the_byte_tokens(spark):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    # the first article of the Universal Declaration of Human Rights in Amharic, and words of mixed scripts
+    texts = {
+        1: "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው። የተፈጥሮ ማስተዋልና ሕሊና ስላለው አንዱ ሌላውን በወንድማማችነት መንፈስ መመልከት ይገባዋል።",
+        2: "the house ነጻና moon 😀 river x9 sky ûɐ stone of and ልጅ 日本 a",
+    }
+    rows = by_id(quality.quality_metrics(spark.createDataFrame([(k, t, None) for k, t in texts.items()], "doc_id long, text string, lang string"), PIECES, BYTES))
+    for k, t in texts.items():
+        tokens = [i for w in t.split() for i in lib.encode(w)]
+        n, shares = len(tokens), [c / len(tokens) for c in Counter(tokens).values()]
+        want = -sum(p * math.log2(p) for p in shares) / math.log2(n)
+        assert rows[k]["entropy_ratio"] == pytest.approx(want, abs=1e-9)
+    assert rows[1]["band"] == "*" and rows[1]["fallback_share"] > 0.5 and rows[1]["kept"]
+
+
 def test_token_counts(docs, texts, nothing):
     import sentencepiece
 

@@ -62,6 +62,17 @@ def byte_encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def with_byte_tokens(symbols: np.ndarray, lengths: np.ndarray, cost: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, their number for each word): each unknown symbol becomes the tokens of its UTF-8 bytes, -1 less the byte.
+    `unknown` holds the code points of the unknown symbols; these never merge, so they are in order."""
+    tokens = np.repeat(symbols, cost)
+    raw = "".join(map(chr, unknown.tolist())).encode("utf-8", "surrogatepass")
+    tokens[tokens < 0] = -1 - np.frombuffer(raw, dtype=np.uint8).astype(tokens.dtype)
+    total = np.r_[0, np.cumsum(cost)]
+    ends = np.cumsum(lengths)
+    return tokens, total[ends] - total[ends - lengths]
+
+
 class WordTokens:
     """Distinct words of a task with their tokens under both vocabularies; emptied when it has grown large."""
 
@@ -88,8 +99,10 @@ class WordTokens:
             total, lost = np.r_[0, np.cumsum(cost)], np.r_[0, np.cumsum(np.where(symbols < 0, cost, 0))]
             encode = self.encoding.encode_ordinary  # the batch call starts a thread for each word
             byte_level = [len(encode(" " + w)) for w in part]
-            self.tokens = np.concatenate([self.tokens, symbols])
-            self.n_symbols = np.concatenate([self.n_symbols, lengths])
+            points = np.frombuffer("".join(SPACE + w for w in part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            tokens, n_tokens = with_byte_tokens(symbols, lengths, cost, points[self.pieces.chars[points] < 0])
+            self.tokens = np.concatenate([self.tokens, tokens])
+            self.n_symbols = np.concatenate([self.n_symbols, n_tokens])
             self.n_tokens = np.concatenate([self.n_tokens, total[ends] - total[ends - lengths]])
             self.n_fallback = np.concatenate([self.n_fallback, lost[ends] - lost[ends - lengths]])
             self.n_bytes_tokens = np.concatenate([self.n_bytes_tokens, np.array(byte_level, dtype=np.int64)])
