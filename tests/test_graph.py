@@ -1,5 +1,7 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from twofold.errors import ContractError
 from twofold.operators import bipartite, centrality, communities, modularity, nullmodel, projection, reduce, validate
 from twofold.operators.bipartite import Bipartite, nodes_of
+from twofold.operators.centrality import Adjacency
 from twofold.specs import BipartiteSpec, ProjectionSpec
 
 
@@ -115,6 +118,78 @@ def test_louvain_and_girvan_newman(spark, tiny):
     assert modularity.modularity(edges, end.withColumn("community", F.xxhash64("community"))).first()["modularity"] == pytest.approx(0.111111, abs=1e-6)
 
 
+def planted_graph(rng, n=40, groups=8):
+    """Edges of small dense groups, themselves in two halves: Louvain needs several levels."""
+    near = lambda a, b: 0.9 if a // (n // groups) == b // (n // groups) else 0.25 if a // (n // 2) == b // (n // 2) else 0.02
+    return [(f"N{a:02}", f"N{b:02}", float(rng.randint(1, 3))) for a in range(n) for b in range(a + 1, n) if rng.random() < near(a, b)]
+
+
+def test_traces_of_several_levels_end_in_the_result():
+    rng, deep = random.Random(3), 0
+    for seed in range(30):
+        rows = planted_graph(rng)
+        names = sorted({x for a, b, _ in rows for x in (a, b)})
+        a, b, w = zip(*rows, strict=True)
+        g = Adjacency(names, np.array(a), np.array(b), np.array(w))
+        found = communities.louvain(g, seed=seed, trace=True)
+        label = {v: v for v in names}
+        for _, _, members, community, q in found.steps:
+            label.update(dict.fromkeys(members, community))
+            numbered = np.unique([label[v] for v in names], return_inverse=True)[1]
+            assert q == pytest.approx(communities.quality(g, numbered), abs=1e-9)
+        assert found.steps[-1][4] == pytest.approx(found.modularity, abs=1e-9)
+        pairs = set(zip((label[v] for v in names), found.membership.tolist(), strict=True))
+        assert len(pairs) == len({x for x, _ in pairs}) == len({x for _, x in pairs})
+        deep += found.steps[-1][1] > 0
+        planted = np.array([int(v[1:]) // 20 for v in names])
+        assert found.modularity >= 0.95 * communities.quality(g, planted)
+    assert deep >= 25
+
+
+def test_replay_of_a_deep_trace(spark):
+    graph = spark.createDataFrame(planted_graph(random.Random(4)), "source string, target string, weight double")
+    nodes = spark.createDataFrame([(f"N{i:02}",) for i in range(40)], "id string")
+    traced = communities.moves(graph).cache()
+    last = traced.orderBy(F.desc("step")).first()
+    assert last["level"] > 0
+    end = communities.replay(nodes, traced, 10**6)
+    found = communities.partition(nodes, graph, "louvain")
+    assert found.first()["modularity"] == pytest.approx(last["modularity"], abs=1e-9)
+    both = end.join(found.select("node_id", F.col("community").alias("c")), "node_id").select("community", "c").distinct().collect()
+    assert len(both) == len({r["c"] for r in both}) == len({r["community"] for r in both})
+
+
+def test_modularity_by_its_definition(spark):
+    rng = random.Random(6)
+    rows = planted_graph(rng)
+    graph = spark.createDataFrame([*rows, ("N00", "N00", 2.0)], "source string, target string, weight double")
+    member = spark.createDataFrame([(f"N{i:02}", rng.randrange(5)) for i in range(40)], "node_id string, community long")
+    plain = graph.where("source <> target")
+    assert modularity.modularity(plain, member, digits=None).first()["modularity"] == pytest.approx(modularity.modularity_by_pairs(plain, member), abs=1e-9)
+    with pytest.raises(Exception, match="node without a community"):
+        modularity.modularity(plain, member.where("node_id <> 'N03'")).collect()
+
+
+def test_large_graphs_leave_the_task(spark):
+    graph = spark.createDataFrame(planted_graph(random.Random(7)), "source string, target string, weight double")
+    nodes = spark.createDataFrame([(f"N{i:02}",) for i in range(41)], "id string")
+    near = communities.partition(nodes, graph, "louvain")
+    far = communities.partition(nodes, graph, "louvain", task_edges=10)
+    assert far.dtypes == near.dtypes and far.count() == 41
+    found = modularity.modularity(graph, far.select("node_id", "community"), digits=None).first()["modularity"]
+    assert far.first()["modularity"] == pytest.approx(found, abs=1e-9) and found >= 0.7 * near.first()["modularity"]
+    with pytest.raises(ContractError):
+        communities.partition(nodes, graph, "girvan_newman", task_edges=10)
+
+
+def test_girvan_newman_starts_from_the_first_cut(spark):
+    ring = spark.createDataFrame([("A", "B", 1.0), ("A", "C", 1.0), ("B", "C", 1.0)], "source string, target string, weight double")
+    nodes = spark.createDataFrame([("A",), ("B",), ("C",)], "id string")
+    found = communities.partition(nodes, ring, "girvan_newman")
+    assert found.select("community").distinct().count() == 2 and found.first()["modularity"] < 0
+    assert communities.partition(nodes, ring.limit(0), "girvan_newman").count() == 3
+
+
 def test_null_model_keeps_degrees(tiny):
     edges = nullmodel.null_edges(tiny, 3, seed=5).cache()
     want = {r["student"]: r["count"] for r in tiny.edges.groupBy("student").count().collect()}

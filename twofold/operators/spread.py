@@ -10,6 +10,7 @@ from twofold.operators.reduce import densify
 from twofold.session import settled
 
 LEAST_MOVES = 0.001
+LEAST_RISE = 1e-9
 
 
 def _moved(around: DataFrame, member: DataFrame, strength: DataFrame, two_m: float, resolution: float, half: int) -> DataFrame:
@@ -41,7 +42,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds:
     two_m = 2.0 * (graph.agg(F.sum("weight")).first()[0] or 0.0)
     if not two_m:
         return densify(final), 0.0
-    q = modularity(edges, final, resolution=resolution).first()["modularity"]
+    q = modularity(edges, final, resolution=resolution, digits=None).first()["modularity"]
     for _ in range(levels):
         # a loop stands for the inner weight of a merged community and counts twice in its strength
         flip = F.array(F.struct(F.col("source").alias("node"), F.col("target").alias("other")), F.struct(F.col("target").alias("node"), F.col("source").alias("other")))
@@ -62,8 +63,8 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, rounds:
             break
         of = member.select(F.col("node").alias("community"), F.col("community").alias("up"))
         nxt = settled(final.join(of, "community", "left").select("node_id", F.coalesce("up", "community").alias("community")), "final")
-        now = modularity(edges, nxt, resolution=resolution).first()["modularity"]
-        if now <= q + 1e-6:
+        now = modularity(edges, nxt, resolution=resolution, digits=None).first()["modularity"]
+        if now <= q + LEAST_RISE:
             break
         final, q = nxt, now
         s, t = (member.select(F.col("node").alias(end), F.col("community").alias(f"c{end}")) for end in ("source", "target"))
