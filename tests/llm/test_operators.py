@@ -108,6 +108,76 @@ def test_token_counts(docs, texts, nothing):
     assert bpe.token_counts(nothing, PIECES).count() == 0
 
 
+def test_unbroken_text(spark):
+    """Words without spaces: equal to the library, and no round for each merge."""
+    import time
+
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    model = bpe.piece_model(PIECES)
+    rng = random.Random(14)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    runs = [
+        "".join(rng.choice(letters) for _ in range(6000)), "thequickbrownfoxjumpsoverthelazydog" * 200, "ab" * 5000, "a" * 4001, " " * 3001,
+        "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(4000)), "".join(rng.choice("aeinrst") for _ in range(6000)), "=" * 1000 + "-" * 999, "인권" * 900,
+    ]
+    runs += ["".join(rng.choice("thenrais ▁") for _ in range(rng.randrange(1, 40))) for _ in range(500)]
+    assert bpe.TokenCounter(model)(runs) == [len(lib.encode(t)) for t in runs]
+    began = time.perf_counter()
+    for text in ("".join(rng.choice(letters) for _ in range(1 << 20)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(1 << 18)), "abcd" * (1 << 18)):
+        assert bpe.TokenCounter(model)([text]) == [len(lib.encode(text))]
+    assert time.perf_counter() - began < 60
+    long = spark.createDataFrame([(1, runs[0] * 20, "en"), (2, runs[5] * 50, None)], "doc_id long, text string, lang string")
+    assert quality.quality_metrics(long, PIECES, BYTES).count() == 2
+
+
+# the first article of the Universal Declaration of Human Rights
+ARTICLES = {
+    "Hangul": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다.",
+    "*": "มนุษย์ทั้งหลายเกิดมามีอิสระ และ เสมอภาคกัน ใน เกียรติศักด และ สิทธิ ต่างมี เหตุผล และ มโนธรรม และ ควร ปฏิบัติ ต่อกัน ด้วย เจตนารมณ์ แห่ง ภราดรภาพ",
+    "Cyrillic": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "Latin": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+}
+
+
+def test_prose_of_all_scripts_is_kept(spark):
+    rng = random.Random(15)
+    rows, want = [], {}
+    for k, (band, text) in enumerate(ARTICLES.items()):
+        ws = text.split()
+        for j, n in enumerate((0, 300, 5000)):  # the article, and longer texts of its words
+            rows.append((10 * k + j, text if not n else " ".join(rng.choice(ws) for _ in range(n)), None))
+            want[10 * k + j] = band
+    for j, (low, high) in enumerate(((0x1200, 0x1300), (0xAC00, 0xD7A0), (0x3041, 0x3097), (0x0905, 0x0939))):
+        rows.append((100 + j, " ".join("".join(chr(rng.randrange(low, high)) for _ in range(rng.randrange(2, 6))) for _ in range(200)), None))
+    found = by_id(quality.quality_metrics(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES, BYTES))
+    assert {k: found[k]["band"] for k in want} == want
+    assert [(k, r["band"], r["entropy_ratio"], r["fallback_share"]) for k, r in found.items() if not r["kept"] and not r["base_failed"]] == []
+    junk = spark.createDataFrame([(1, "xx " * 11, "en"), (2, "qzxkvj" * 400 + " a b c d e f g h i j k", "en"), (3, "# $ % & * | < > @ ! " * 3, "en")], "doc_id long, text string, lang string")
+    assert not any(r["kept"] for r in quality.quality_metrics(junk, PIECES, BYTES).collect())
+
+
+def test_fertility_against_the_libraries(spark, docs, texts):
+    import sentencepiece
+
+    lib, encoding = sentencepiece.SentencePieceProcessor(model_file=PIECES), quality.byte_encoding(BYTES)
+    rows = by_id(quality.quality_metrics(docs, PIECES, BYTES))
+    for k, t in texts.items():
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        tokens = [i for w in ws for i in lib.encode(w)]
+        chars = sum(map(len, ws))
+        pieces = chars / len(tokens) if tokens else 0.0
+        share = sum(map(lib.is_byte, tokens)) / len(tokens) if tokens else 0.0
+        n_bytes = sum(len(encoding.encode_ordinary(" " + w)) if len(w) <= 256 else sum(len(encoding.encode_ordinary(w[i : i + 256])) for i in range(0, len(w), 256)) for w in ws)
+        shares = [c / len(tokens) for c in Counter(tokens).values()]
+        ratio = -sum(p * math.log2(p) for p in shares) / math.log2(min(len(tokens), 1024)) if len(tokens) > 1 else 1.0
+        r = rows[k]
+        assert (r["chars_per_token"], r["fallback_share"], r["entropy_ratio"], r["chars_per_byte_token"]) == pytest.approx((pieces, share, ratio, chars / max(n_bytes, 1)), abs=1e-9)
+        low, high, most, least, least_byte = quality.BANDS[r["band"]]
+        assert r["kept"] == (not r["base_failed"] and low <= pieces <= high and share <= most and ratio >= least and chars / max(n_bytes, 1) >= least_byte)
+
+
 def fingerprint(text):
     ws = re.findall(rb"[^\x20\x09-\x0D]+", b(text).lower())
     if not ws:

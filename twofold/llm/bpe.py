@@ -3,10 +3,15 @@
 For a piece model with byte fallback (BPE, identity normaliser, dummy prefix, spaces kept). No piece of such a
 model holds a space after another character, so a text falls into pre-tokens (spaces, then
 non-spaces) that merge independently. The distinct new pre-tokens of a slice become one ragged array
-of symbols; each round finds every sequence's pair of lowest rank (leftmost on ties) and merges all of
-these at once; sequences without a pair leave. Counts of pre-tokens are kept in a bounded cache.
-
-Defined results: a null or empty text has no tokens; special strings in a text are ordinary text.
+of symbols, cut into sequences wherever no piece holds both neighbours; each round finds every sequence's
+pair of lowest rank and merges all its places at once (left to right where they overlap); sequences without a
+pair leave. All places at once is what one merge after the other gives, as long as no pair with the merged
+symbol has a lower rank than the merge; for the few symbols where one has, a round merges the leftmost place only.
+Counts of pre-tokens are kept in a bounded cache.
+
+Defined results: a null or empty text has no tokens; special strings in a text are ordinary text; unbroken text of
+any length is one pre-token, with rounds that grow with the pieces in it and not with its length; repeated rows
+are counted one by one; an empty table gives an empty result; other columns are not read and may have any names.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from twofold.llm.common import doc_slices, id_text
 SPACE = "▁"
 PRE_TOKEN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CACHE_ENTRIES = 1 << 19
+#: Longer pre-tokens aren't cached.
+CACHE_LENGTH = 256
 NO_RANK = np.int64(1) << 40
 
 
@@ -60,6 +67,21 @@ class PieceModel:
         self.keys = np.array(keys, dtype=np.int64)[by]
         self.ranks = np.array(ranks, dtype=np.int64)[by]
         self.made = np.array(made, dtype=np.int32)[by]
+        # neighbours that some piece holds
+        self.inside = np.unique([self.ids[a] * size + self.ids[b] for p in self.ids for a, b in zip(p, p[1:], strict=False) if a in self.ids and b in self.ids])
+        # symbols that a lower rank than their own can merge on
+        least = np.full(size, NO_RANK)
+        np.minimum.at(least, self.keys // size, self.ranks)
+        np.minimum.at(least, self.keys % size, self.ranks)
+        own = np.full(size, NO_RANK)
+        own[self.made] = self.ranks
+        self.one_by_one = least < own
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether no piece holds the two characters next to each other."""
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.inside, key), len(self.inside) - 1)
+        return (self.inside[at] != key) | (left < 0) | (right < 0)
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged symbol) of adjacent symbols; NO_RANK where they don't merge."""
@@ -74,9 +96,12 @@ class PieceModel:
         points = np.frombuffer("".join(pretokens).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         lengths = np.fromiter(map(len, pretokens), dtype=np.int64, count=len(pretokens))
         symbols, cost = self.chars[points], self.cost[points]
-        owner = np.repeat(np.arange(len(pretokens)), lengths)
+        of = np.repeat(np.arange(len(pretokens)), lengths)
         done_sym, done_cost, done_owner = [], [], []
         if len(symbols):
+            cut = np.r_[True, (of[1:] != of[:-1]) | self.apart(symbols[:-1], symbols[1:])]
+            owner = np.cumsum(cut) - 1
+            of = of[cut]
             rank, made = self._ranks(symbols, owner)
         while len(symbols):
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -93,7 +118,12 @@ class PieceModel:
                 best, sizes = best[live], sizes[live]
                 starts = np.r_[0, np.cumsum(sizes)[:-1]]
             at_best = np.flatnonzero(rank == np.repeat(best, sizes))
-            first = at_best[np.searchsorted(at_best, starts)]  # leftmost of each sequence
+            # of places that overlap every other one, from the left
+            head = np.r_[True, (at_best[1:] != at_best[:-1] + 1) | (owner[at_best[1:]] != owner[at_best[:-1]])]
+            run = np.flatnonzero(head)[np.cumsum(head) - 1]
+            leftmost = np.zeros(len(at_best), dtype=bool)
+            leftmost[np.searchsorted(at_best, starts)] = True
+            first = at_best[np.where(self.one_by_one[made[at_best]], leftmost, (np.arange(len(at_best)) - run) % 2 == 0)]
             symbols[first] = made[first]
             keep = np.ones(len(symbols), dtype=bool)
             keep[first + 1] = False
@@ -109,7 +139,7 @@ class PieceModel:
             return symbols, np.zeros(len(pretokens), dtype=np.int64), cost
         sym, cst, own = map(np.concatenate, (done_sym, done_cost, done_owner))
         by = np.argsort(own, kind="stable")
-        return sym[by], np.bincount(own, minlength=len(pretokens)), cst[by]
+        return sym[by], np.bincount(of[own], minlength=len(pretokens)), cst[by]
 
     def _ranks(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank = np.full(len(symbols), NO_RANK)
@@ -153,7 +183,11 @@ class TokenCounter:
         for at in range(0, len(fresh), 1 << 16):
             part = fresh[at : at + (1 << 16)]
             known.update(zip(part, self.model.counts(part).tolist(), strict=True))
-        return [sum(known[p] * n for p, n in bag.items()) for bag in bags]
+        counts = [sum(known[p] * n for p, n in bag.items()) for bag in bags]
+        for p in fresh:
+            if len(p) > CACHE_LENGTH:
+                del known[p]
+        return counts
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, **cols: str) -> DataFrame:

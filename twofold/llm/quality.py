@@ -2,12 +2,15 @@
 
 Public vocabularies are applied to the words of a text. Three figures per document: characters per
 token, the share of byte-fallback tokens, and the entropy of its tokens over the logarithm of their
-number. A document is rejected where a figure leaves the band of its language, or of its script where
+number, or of ENTROPY_TOKENS if there are more (a long text uses its tokens again, whatever its script). A
+document is rejected where a figure leaves the band of its language, or of its script where
 the language has none. Word counts, symbols, repeated lines and repeated 5-word windows are taken as well.
 
 Defined results: a null or empty text has no words and fails the base rule; a null or unknown language
 takes the band of the text's script; ties and repeated rows are judged each by itself; very long texts
-are read whole, with memory in proportion to the one text.
+are read whole, with memory in proportion to the one text; words over BYTE_RUN characters are encoded by the byte-level
+vocabulary in runs of that length; an empty table gives an empty result; other columns are not read, or pass through
+`keep_good` with any names.
 """
 
 from __future__ import annotations
@@ -41,9 +44,13 @@ BANDS = {
     "es": (1.25, 9.0, 0.20, 0.45, 1.68),
     "Latin": (1.15, 9.0, 0.25, 0.45, 0.9),
     "Cyrillic": (1.0, 9.0, 0.25, 0.45, 0.6),
-    "Han": (0.4, 4.0, 0.60, 0.45, 0.3),
-    "*": (0.25, 9.0, 0.90, 0.40, 0.2),
+    "Han": (0.25, 4.0, 0.75, 0.45, 0.3),
+    "Kana": (0.25, 4.0, 0.75, 0.45, 0.3),
+    "Hangul": (0.25, 4.0, 0.95, 0.40, 0.2),
+    "*": (0.25, 9.0, 0.95, 0.35, 0.2),
 }
+ENTROPY_TOKENS = 1024
+BYTE_RUN = 256
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -98,7 +105,7 @@ class WordTokens:
             ends = np.cumsum(lengths)
             total, lost = np.r_[0, np.cumsum(cost)], np.r_[0, np.cumsum(np.where(symbols < 0, cost, 0))]
             encode = self.encoding.encode_ordinary  # the batch call starts a thread for each word
-            byte_level = [len(encode(" " + w)) for w in part]
+            byte_level = [len(encode(" " + w)) if len(w) <= BYTE_RUN else sum(len(encode(w[k : k + BYTE_RUN])) for k in range(0, len(w), BYTE_RUN)) for w in part]
             points = np.frombuffer("".join(SPACE + w for w in part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             tokens, n_tokens = with_byte_tokens(symbols, lengths, cost, points[self.pieces.chars[points] < 0])
             self.tokens = np.concatenate([self.tokens, tokens])
@@ -110,14 +117,14 @@ class WordTokens:
         return ids
 
     def entropy_ratio(self, ids: np.ndarray) -> float:
-        """Entropy of the tokens over log2 of their number; 1 for fewer than two tokens."""
+        """Entropy of the tokens over log2 of their number or of ENTROPY_TOKENS; 1 for fewer than two tokens."""
         lengths = self.n_symbols[ids]
         n = int(lengths.sum())
         if n < 2:
             return 1.0
         where = np.repeat(self.starts[ids] - (np.cumsum(lengths) - lengths), lengths) + np.arange(n)
         share = np.unique(self.tokens[where], return_counts=True)[1] / n
-        return float(-(share * np.log2(share)).sum() / np.log2(n))
+        return float(-(share * np.log2(share)).sum() / np.log2(min(n, ENTROPY_TOKENS)))
 
 
 def repeat_words(ids: np.ndarray) -> int:
@@ -154,13 +161,13 @@ def duplicate_lines(text: bytes) -> int:
 
 def script_of(text: bytes) -> str:
     """Script with most letters: by lead bytes of UTF-8, without decoding."""
-    raw = np.frombuffer(text, dtype=np.uint8)
-    n = np.bincount(raw, minlength=256)
-    latin = int(n[0x41:0x5B].sum() + n[0x61:0x7B].sum() + n[0xC3:0xCA].sum())
-    cyrillic = int(n[0xD0:0xD4].sum())
-    han = int(n[0xE3:0xEE].sum())
-    rest = int(n[0xCA:0xF8].sum()) - cyrillic - han
-    return max(((latin, "Latin"), (cyrillic, "Cyrillic"), (han, "Han"), (rest, "*")), key=lambda x: x[0])[1]
+    n = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)
+    counts = {
+        "Latin": n[0x41:0x5B].sum() + n[0x61:0x7B].sum() + n[0xC3:0xCA].sum(), "Cyrillic": n[0xD0:0xD4].sum(),
+        "Han": n[0xE4:0xEA].sum(), "Kana": n[0xE3], "Hangul": n[0xEA:0xEE].sum(),
+    }
+    counts["*"] = n[0xCA:0xF8].sum() - sum(int(counts[k]) for k in ("Cyrillic", "Han", "Kana", "Hangul"))
+    return max(counts, key=lambda k: int(counts[k]))
 
 
 def quality_metrics(
