@@ -208,11 +208,18 @@ def test_simhash(spark, docs, texts, nothing):
     assert simhash.near_duplicate_groups(nothing).count() == 0
 
 
-def test_links_join_all_that_differ_by_two_bits(spark):
+@pytest.mark.parametrize(("segments", "cell"), [(2, 64), (2, 2), (4, 0)])
+def test_links_join_all_that_differ_by_two_bits(spark, segments, cell):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(6)]
     fps = {k: base[k % 6] ^ sum({1 << rng.randrange(64) for _ in range(rng.randrange(4))}) for k in range(80)}
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in fps.values()]
+    found = simhash.links(spark.createDataFrame(signed, "fp long"), segments, cell).collect()
+    every = {x for x, in signed}
+    near = {(x, y) for x in every for y in every if x > y and ((x ^ y) & (1 << 64) - 1).bit_count() <= 2}
+    assert len(found) == len(near) and {(r["a"], r["b"]) for r in found} == near
+    if segments != 2 or cell != 64:
+        return
     node = components.components(simhash.links(spark.createDataFrame(signed, "fp long")), "a", "b")
     root = {r["node"]: r["root"] for r in node.collect()}
     group = {k: root.get(s[0], s[0]) for (k, s) in zip(fps, signed, strict=True)}
@@ -222,6 +229,64 @@ def test_links_join_all_that_differ_by_two_bits(spark):
             assert (group[x] == group[y]) == (want[x] == want[y])
 
 
+def test_segments_change_the_tables(spark):
+    one = spark.createDataFrame([(5,)], "fp long")
+    sizes = [tuple(t.count() for t in simhash.segment_tables(one, m)) for m in (1, 2, 4)]
+    assert sizes == [(1, 1 + 64 + 64 * 63 // 2), (2, 1 + 32 + 1), (3, 3)]
+    assert [simhash.radii(m) for m in (1, 2, 3, 4)] == [[2], [1, 0], [0, 0, 0], [0, 0, 0, -1]]
+
+
+def test_components_of_stars(spark):
+    rng = random.Random(16)
+    edges = [(5000, i) for i in range(1, 900)] + [(0, i) for i in range(900, 1700)] + [(i, i + 1) for i in range(6000, 6040)] + [(3, 3), (7, 1200)]
+    edges += [(rng.randrange(8000, 8100), rng.randrange(8000, 8100)) for _ in range(60)]
+    found = components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    root = {v: v for e in edges for v in e}
+    changed = True
+    while changed:
+        changed = False
+        for x, y in edges:
+            if root[x] != root[y]:
+                root[x] = root[y] = min(root[x], root[y])
+                changed = True
+    assert len(found) == len({r["node"] for r in found})
+    assert {r["node"]: r["root"] for r in found} == {v: r for v, r in root.items() if any(v in e and e[0] != e[1] for e in edges)}
+
+
+def test_keep_first_of_groups(spark):
+    rng = random.Random(17)
+    a, other = (" ".join(f"w{rng.randrange(900)}" for _ in range(200)) for _ in range(2))
+    near = other + " more"
+    rows = [(1, a, "x", 1), (2, a, "y", 2), (2, other, "z", 3), (3, near, "z", 4), (4, None, None, 5), (5, "", "e", 6), (None, "no id here at all", "n", 7), (None, "quite another text", "n", 8)]
+    rows += [(1, a, "x", 1), (9, "once more with feeling", "s", 9), (9, "once more with feeling", "t", 10), (10, " ".join([a] * 60), "long", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string, `a.b` long").repartition(3)
+    out = simhash.keep_first_of_groups(docs)
+    assert out.dtypes == docs.dtypes
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    want = [(1, a), (2, other), (4, None), (None, "no id here at all"), (None, "quite another text"), (9, "once more with feeling"), (10, " ".join([a] * 60))]
+    # the long text repeats the first one's shingles, and is its copy as a set
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    x, y = grams(a), grams(want[-1][1])
+    if len(x & y) >= 0.8 * len(x | y):
+        want.pop()
+    assert got == sorted(want, key=str)
+    assert simhash.keep_first_of_groups(docs.limit(0)).count() == 0
+
+
+def test_crowded_cells_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 1)
+    rng = random.Random(18)
+    common = [f"c{rng.randrange(900)}" for _ in range(200)]
+    texts = {}
+    for g in range(40):  # all share a long passage, few are near copies
+        base = common + [f"w{rng.randrange(5000)}" for _ in range(150)]
+        copy = list(base)
+        copy[rng.randrange(350)] = "new"
+        texts[g], texts[1000 + g] = " ".join(base), " ".join(copy)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.first_of_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert found == groups_of(near_pairs(texts), texts)
+
+
 def test_first_of_groups(spark, docs):
     rng = random.Random(9)
     rows = []

@@ -62,7 +62,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def doc_slices(
     batches: Iterator[pa.RecordBatch], limit: int = 4 << 20
-) -> Iterator[tuple[list[int | None], list[bytes]]]:
+) -> Iterator[tuple[list, list[bytes]]]:
     """(ids, texts as UTF-8 bytes) in slices of about `limit` bytes; whole texts, whatever their length."""
     for batch in batches:
         ids = batch.column(0).to_pylist()

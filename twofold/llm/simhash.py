@@ -1,21 +1,25 @@
 """SimHash fingerprints, and near duplicates by multi-index hashing (operator 7).
 
-A fingerprint is cut into segments. Each fingerprint enumerates the Hamming ball of radius 1 inside
-every segment and files itself in one table cell per ball entry: the entry's segment value with the
-other segments as they are. Two fingerprints that differ in at most 2 bits always share a cell (both
-flips in one segment meet half-way; one flip in each of two segments meet where one side flips the
-first and the other side the second). A cell can hold at most bits + 1 distinct fingerprints, so the
-matches of a cell form a bounded list even when a group of copies has a third of all rows; rows with
-one fingerprint are collapsed before. Complete distances are verified on the matches.
+A fingerprint is cut into segments, and each segment has a table of the fingerprints by their value in it. Two
+fingerprints that differ in at most RADIUS bits differ in at most r_i bits of some segment i, whenever the radii r_i + 1 add up
+to RADIUS + 1 (the pigeonhole principle with uneven radii). So each fingerprint enumerates the Hamming ball of radius r_i
+around its value in segment i, fetches the fingerprints in those cells, and verifies complete distances. Rows with one
+fingerprint are collapsed before.
+
+A cell may be crowded: many different fingerprints that share a segment. Those of more than CELL members are split by their
+other bits: members and visitors meet under a key of the rest of the fingerprint, from which each side may lie one bit away, so
+that all pairs within two bits there still meet, and a key has at most one visitor or member for each way to be so near.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero and link like
-any other; repeated rows link to each other; an empty table gives an empty result; columns other than
-the id and the text are not read.
+any other; repeated rows link to each other; ties (equal fingerprints) are one component; very long texts are read whole; an
+empty table gives an empty result; columns other than the id and the text are not read and may have any names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,12 @@ from twofold.llm.components import components
 
 BITS = 64
 SEED = 42
+RADIUS = 2
+SEGMENTS = 2
+#: Members of a table cell beyond which it is split by the other bits.
+CELL = 64
+#: Distinct fingerprints that one task makes cells of.
+PART_ROWS = 100_000
 
 
 def majority_bits(hashes: np.ndarray) -> int:
@@ -67,39 +77,76 @@ def fingerprints(docs: DataFrame, shingle: int = 3, distinct: bool = False, **co
     return id_text(docs, **cols).mapInArrow(run, "doc_id long, fp long")
 
 
-def segment_ball(fp: F.Column, segments: int = 2) -> F.Column:
-    """Table cells of a fingerprint: itself, and every one-bit flip inside each of its segments."""
-    width = BITS // segments
-    flips = [F.lit(0).cast("long")]
-    for s in range(segments):
-        for bit in range(width):
-            mask = 1 << (s * width + bit)
-            flips.append(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))
-    return F.transform(F.array(*flips), lambda m: fp.bitwiseXOR(m))
+def radii(segments: int, radius: int = RADIUS) -> list[int]:
+    """Radius in each segment, -1 where a segment needs no table: as even as can be, with radius + 1 = sum of r + 1."""
+    whole, more = divmod(radius + 1, segments)
+    return [whole - 1 + (i < more) for i in range(segments)]
 
 
-def links(fps: DataFrame, segments: int = 2) -> DataFrame:
-    """(a, b), a > b: for each table cell a star on its smallest fingerprint, verified to differ in 1 or 2 bits.
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def ball(width: int, radius: int) -> list[int]:
+    """Masks of at most `radius` of the lowest `width` bits."""
+    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
-    The stars connect exactly those fingerprints that chains of links of at most 2 bits connect.
-    """
-    cells = (
-        fps.select("fp").distinct()
-        .select("fp", F.explode(segment_ball(F.col("fp"), segments)).alias("cell"))
-        .groupBy("cell").agg(F.collect_list("fp").alias("found"))  # bits + 1 at most
-        .where(F.size("found") > 1)
-    )
-    return (
-        cells.select(F.array_min("found").alias("b"), F.explode("found").alias("a"))
-        .where((F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
-        .distinct()
-    )
 
+def cell_of(segment: int, value: F.Column):
+    """The table cell of a segment's value with some bits flipped."""
+    return lambda mask: F.struct(F.lit(segment).alias("seg"), value.bitwiseXOR(mask).alias("value"))
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 3, **cols: str) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id that links of 2 bits or fewer reach."""
+
+def segment_tables(fps: DataFrame, segments: int) -> tuple[DataFrame, DataFrame]:
+    """(members, visitors), both (seg, value, fp): the cell of each fingerprint, and the cells that it visits."""
+    width = BITS // segments
+    members, visitors = [], []
+    for i, r in enumerate(radii(segments)):
+        if r < 0:
+            continue
+        value = F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit(signed((1 << width) - 1)))
+        members.append(F.array(cell_of(i, value)(F.lit(0))))
+        visitors.append(F.transform(F.lit([signed(m) for m in ball(width, r)]).cast("array<long>"), cell_of(i, value)))
+    held, seen = F.concat(*members), F.concat(*visitors)
+    return tuple(fps.select(F.explode(x).alias("c"), "fp").select("c.seg", "c.value", "fp") for x in (held, seen))
+
+
+def rest_keys(side: DataFrame, segments: int) -> DataFrame:
+    """(seg, value, rest, fp): the bits outside the segment, and all that differ from them in one."""
+    width = BITS // segments
+    every = []
+    for i in range(segments):
+        inside = ((1 << width) - 1) << (i * width)
+        masks = [0] + [1 << b for b in range(BITS) if not inside >> b & 1]
+        rest = F.col("fp").bitwiseAND(F.lit(signed(~inside & ((1 << 64) - 1))))
+        every.append(F.when(F.col("seg") == i, F.array(*[rest.bitwiseXOR(F.lit(signed(m))) for m in masks])))
+    return side.select("seg", "value", F.explode(F.coalesce(*every)).alias("rest"), "fp")
+
+
+def links(fps: DataFrame, segments: int = SEGMENTS, cell: int = CELL) -> DataFrame:
+    """(a, b), a > b: all pairs of different fingerprints within RADIUS bits, each once."""
+    ones = written(fps.select("fp").distinct(), "fingerprints")
+    spark = fps.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ones.count() // PART_ROWS)
+    members, visitors = segment_tables(ones.repartition(parts, "fp"), segments)
+    crowded = written(members.groupBy("seg", "value").agg(F.count("*").alias("n")).where(F.col("n") > cell).select("seg", "value"), "crowded-cells")
+
+    def met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        far = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
+        both = left.withColumnRenamed("fp", "x").join(right.withColumnRenamed("fp", "y"), on)
+        return both.where((F.col("x") != F.col("y")) & (far <= RADIUS)).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+    found = met(visitors, members.join(crowded, ["seg", "value"], "left_anti"), ["seg", "value"])
+    if crowded.limit(1).count():  # else the plan has no need of that branch
+        inside = [rest_keys(side.join(crowded, ["seg", "value"], "left_semi"), segments) for side in (visitors, members)]
+        found = found.unionByName(met(*inside, ["seg", "value", "rest"]))
+    return found.distinct()
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 3, segments: int = SEGMENTS, **cols: str) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id that links of RADIUS bits or fewer reach."""
     fps = written(fingerprints(docs, shingle, **cols), "simhash")
-    member = components(links(fps), "a", "b")  # (node, root)
+    member = components(links(fps, segments), "a", "b")  # (node, root)
     named = (
         fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
         .join(member.withColumnRenamed("node", "fp"), "fp", "left")
@@ -116,6 +163,8 @@ NEAR = 0.8
 BANDS, BAND_ROWS = 40, 5
 ALIKE_SIGMAS = 7
 GRAM = 5
+#: Groups in the cell of one key beyond which its members are compared by two keys.
+CROWD = 64
 _DRAWN = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
 FLIPS, FACTORS = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
 
@@ -128,9 +177,9 @@ def gram_hashes(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=len(grams)))
 
 
-def set_node(grams: np.ndarray) -> int:
-    """Number of a shingle set, signed."""
-    return xxhash.xxh64_intdigest(grams.tobytes(), SEED) - (1 << 63)
+def set_node(grams: np.ndarray) -> bytes:
+    """Name of a shingle set: 128 bits of its hashes, so that no unlike text is taken for another."""
+    return xxhash.xxh128_digest(grams.tobytes(), SEED)
 
 
 def min_hashes(grams: np.ndarray) -> np.ndarray:
@@ -145,24 +194,26 @@ def min_hashes(grams: np.ndarray) -> np.ndarray:
 
 
 def set_signatures(docs: DataFrame, **cols: str) -> DataFrame:
-    """(doc_id, node, bands, alike): for each row the number of its shingle set, its keys, and a byte of each min-hash."""
+    """(doc_id, tag, node, bands, alike): for each row a hash of its text, the number of its shingle set, its keys, and a byte of
+    each min-hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in doc_slices(batches):
-            nodes, bands, alike = [], [], []
+            tags, nodes, bands, alike = [], [], [], []
             for text in texts:
                 grams = gram_hashes(text)
                 least = min_hashes(grams)
+                tags.append(hashlib.md5(text, usedforsecurity=False).digest())
                 nodes.append(set_node(grams))
                 rows = least.reshape(BANDS, BAND_ROWS)
                 bands.append(np.array([xxhash.xxh64_intdigest(r.tobytes(), n) for n, r in enumerate(rows)], dtype=np.uint64).view(np.int64))
                 alike.append((least & np.uint64(0xFF)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(alike, pa.binary())],
-                ["doc_id", "node", "bands", "alike"],
+                [pa.array(ids, pa.int64()), pa.array(tags, pa.binary()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(alike, pa.binary())],
+                ["doc_id", "tag", "node", "bands", "alike"],
             )
 
-    return id_text(docs, **cols).mapInArrow(run, "doc_id long, node long, bands array<long>, alike binary")
+    return id_text(docs, **cols).mapInArrow(run, "doc_id long, tag binary, node binary, bands array<long>, alike binary")
 
 
 def whole_sets(texts: DataFrame) -> DataFrame:
@@ -172,10 +223,10 @@ def whole_sets(texts: DataFrame) -> DataFrame:
         for nodes, part in doc_slices(batches):
             made = [(n, g) for n, g in ((n, gram_hashes(t)) for n, t in zip(nodes, part, strict=True)) if set_node(g) == n]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in made], pa.int64()), pa.array([g.view(np.int64) for _, g in made], pa.list_(pa.int64()))], ["node", "grams"]
+                [pa.array([n for n, _ in made], pa.binary()), pa.array([g.view(np.int64) for _, g in made], pa.list_(pa.int64()))], ["node", "grams"]
             )
 
-    return texts.select("node", "text").mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(run, "node binary, grams array<long>").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -193,7 +244,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, least: float)
                 yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= enough))
 
     bytes_of = nodes.select("node", "alike")
-    met = pairs.join(bytes_of.toDF("a", "x"), "a").join(bytes_of.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    met = pairs.join(bytes_of.toDF("a", "x"), "a").join(bytes_of.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
     both = F.size(F.array_intersect("x", "y"))
     return (
         met.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
@@ -202,40 +253,75 @@ def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, least: float)
 
 
 def near_links(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b) of nodes (node, first, bands, alike) that connect all nodes with a similarity of `least` or more that share a key.
+    """(a, b) of nodes (node, one, bands, alike) that connect all nodes with a similarity of `least` or more that share a key.
 
     The members of a key's cell are compared with its least and its greatest one; the components of these links make one group
-    of a crowd of copies. Then all members of a cell that are still of different groups are compared, whatever their number.
+    of a crowd of copies. Then all members of a cell that are still of different groups are compared, whatever their number; of
+    a cell with more than CROWD groups those that share a second key (near copies share none with a chance of 1 in 6 million).
     """
     keys = nodes.select("node", F.explode("bands").alias("cell"))
     ends = keys.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     cells = written(keys.join(ends, "cell"), "cells")
-    some = nodes.join(cells.select("node").distinct(), "node").select("node", F.col("first").alias("doc_id"))
-    sets = written(whole_sets(some.join(texts, "doc_id")), "shingle-sets")
+    some = nodes.join(cells.select("node").distinct(), "node").select("node", "one")
+    tagged = texts.withColumn("tag", F.unhex(F.md5(F.col("text").cast("binary"))))
+    first = tagged["doc_id"].eqNullSafe(some["one"]["doc_id"]) & (tagged["tag"] == some["one"]["tag"])
+    sets = written(whole_sets(some.join(tagged, first).select("node", "text")), "shingle-sets")
     star = cells.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
     star = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = written(verified(star, nodes, sets, least), "links")
     root = components(links, "a", "b")
     named = cells.select("cell", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = named.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
-    open_ = written(named.join(apart, "cell"), "open-cells")
-    left, right = open_.toDF("cell", "a", "ra"), open_.toDF("cell", "b", "rb")
+    groups = named.groupBy("cell", "root").agg(F.lit(1).alias("one")).groupBy("cell").agg(F.count("*").alias("groups")).where("groups > 1")
+    open_ = written(named.join(groups, "cell"), "open-cells").select("cell", "node", "root", "groups")
+    few, crowd = open_.where(F.col("groups") <= CROWD).select("cell", "node", "root"), open_.where(F.col("groups") > CROWD)
+    second = cells.select(F.col("cell").alias("other"), "node")
+    crowd = crowd.join(second, "node").where("cell < other").select(F.xxhash64("cell", "other").alias("cell"), "node", "root")
+    some_cells = few.unionByName(crowd)
+    left, right = some_cells.toDF("cell", "a", "ra"), some_cells.toDF("cell", "b", "rb")
     rest = left.join(right, "cell").where("ra < rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = rest.join(star, ["a", "b"], "left_anti")
     return links.unionByName(verified(rest, nodes, sets, least))
 
 
 def first_of_groups(docs: DataFrame, least: float = NEAR, id_col: str = "doc_id", **cols: str) -> DataFrame:
-    """(doc_id, component_id): groups of exact and near copies, linked by a Jaccard similarity of `least` or more of their
-    five-word shingles; texts without words are alike. Rows without an id are linked to equal shingle sets only."""
+    """(doc_id, tag, component_id, component_tag): groups of exact and near copies, linked by a Jaccard similarity of `least` or
+    more of their five-word shingles; texts without words are alike. `tag` is the MD5 of the text, so that (doc_id, tag) names a
+    row among others of its id; the group's first row is its least (doc_id, tag), a null id last."""
     made = written(set_signatures(docs, id_col=id_col, **cols), "signatures")
-    nodes = made.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"), F.first("alike").alias("alike"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
+    nodes = made.groupBy("node").agg(first.alias("one"), F.first("bands").alias("bands"), F.first("alike").alias("alike"))
     nodes = written(nodes, "nodes")
     member = components(near_links(nodes, id_text(docs, id_col=id_col, **cols), least), "a", "b")
-    named = nodes.select("node", "first").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = named.select("node", "root").join(ids, "root").select("node", "component_id")
-    return made.select("doc_id", "node").join(names, "node").select("doc_id", "component_id")
+    named = nodes.select("node", "one").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = named.groupBy("root").agg(F.min("one").alias("one"))
+    names = named.select("node", "root").join(ids, "root").select("node", F.col("one.doc_id").alias("component_id"), F.col("one.tag").alias("component_tag"))
+    return made.select("doc_id", "tag", "node").join(names, "node").select("doc_id", "tag", "component_id", "component_tag")
+
+
+def keep_first_of_groups(docs: DataFrame, least: float = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of `first_of_groups`, with all its columns.
+
+    Rows are told apart by id and text: another text of a shared id stays if it is no copy of an earlier one, and of rows that
+    repeat both, which may differ in other columns, any one stays. Columns of any names pass through."""
+    found = first_of_groups(docs, least, id_col, text_col=text_col)
+    mine = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tag") == F.col("component_tag"))
+    sums = written(found.groupBy("doc_id", "tag").agg(F.min(mine).alias("first"), F.count("*").alias("n")), "row-sums")
+    gone = written(sums.where("not first").select("doc_id", "tag"), "later-copies")
+    again = written(sums.where("first and n > 1").select("doc_id", "tag"), "repeated-rows")
+    # the row's own columns in one struct, whatever their names
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
+    keyed = whole.select(
+        F.col("row").getField(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).cast("binary"))).alias("tag"), "row"
+    )
+    same = lambda t: keyed["doc_id"].eqNullSafe(t["doc_id"]) & (keyed["tag"] == t["tag"])
+    kept = keyed.join(gone, same(gone), "left_anti")
+    alone = kept.join(again, same(again), "left_anti").select("row")
+    one_each = kept.join(again, same(again), "left_semi").groupBy("doc_id", "tag").agg(F.first("row").alias("row")).select("row")
+    return alone.unionByName(one_each).select("row.*")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def hex16(fp: F.Column) -> F.Column:
