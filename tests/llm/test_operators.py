@@ -565,34 +565,75 @@ def test_elias_fano():
         assert (hit == np.isin(q, v)).all() and (not hit.any() or (v[at[hit]] == q[hit]).all())
 
 
-def test_lm(spark, docs, texts, nothing):
-    rows = by_id(lm.scores(docs))
-    copies = list(texts.items()) + [(1, texts[1])]
-    out = lambda k: zlib.crc32(str(k).encode()) % 10 == 0
+def brute_lm(copies):
+    """(score of a token list, base log10 of a token, tokens, count of a token) of a trigram model by plain dictionaries."""
     toks = lambda t: b(t).lower().split() + [None]
-    uni, pair, start = Counter(), Counter(), 0
+    uni, pair, triple = Counter(), Counter(), Counter()
     for k, t in copies:
-        if not out(k):
-            uni.update(toks(t))
-            pair.update(zip([0, *toks(t)], toks(t), strict=False))
-            start += 1
-    total, size = sum(uni.values()), len(uni)
-    used = Counter()
-    for (x, _), n in pair.items():
-        used[x] += (n - lm.DISCOUNT) / (start if x == 0 else uni[x]) if n >= lm.MIN_COUNT else 0
-    for k, t in texts.items():
-        ws = toks(t)
-        base = [math.log10((uni[w] + 0.1) / (total + 0.1 * (size + 1))) for w in ws]
-        score = 0.0
-        for x, w, p in zip([0, *ws], ws, base, strict=False):
-            left, n = max(1 - used[x], 1e-4), pair[(x, w)]
-            score += math.log10((n - lm.DISCOUNT) / (start if x == 0 else uni[x]) + left * 10**p if n >= lm.MIN_COUNT else left * 10**p)
+        if zlib.crc32(str(k).encode()) % 10:
+            ws = toks(t)
+            uni.update(ws)
+            pair.update(zip([0, *ws], ws, strict=False))
+            triple.update(zip([0, *ws], ws, ws[1:], strict=False))
+    total, size, n_texts = sum(uni.values()), len(uni), uni[None]
+    after, after2 = Counter(x for x, _ in pair), Counter(x[:2] for x in triple)
+    d = lm.DISCOUNT
+
+    def score(ws):
+        out = 0.0
+        for i, w in enumerate(ws):
+            p = (uni[w] + 0.1) / (total + 0.1 * (size + 1))
+            x = ws[i - 1] if i else 0
+            of = uni[x] if i else n_texts
+            if after[x]:
+                p = max(pair[x, w] - d, 0) / of + d * after[x] / of * p
+            if i:
+                y = ws[i - 2] if i > 1 else 0
+                if after2[y, x]:
+                    p = max(triple[y, x, w] - d, 0) / pair[y, x] + d * after2[y, x] / pair[y, x] * p
+            out += math.log10(p)
+        return out
+
+    return score, lambda w: math.log10((uni[w] + 0.1) / (total + 0.1 * (size + 1))), total, uni
+
+
+@pytest.mark.parametrize("shard_tokens", [lm.SHARD_TOKENS, 200])
+def test_lm(spark, docs, texts, nothing, shard_tokens):
+    out = lambda k: zlib.crc32(str(k).encode()) % 10 == 0
+    rng = random.Random(20)
+    more = {1000 + i: " ".join(rng.choice(["of", "the", "of the", "a", "b c", "d", f"r{rng.randrange(300)}"]) for _ in range(rng.randrange(1, 60))) for i in range(60)}
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(more.items()), "doc_id long, text string")).repartition(4)
+    rows = by_id(lm.scores(frame, shard_tokens=shard_tokens))
+    score, base, total, uni = brute_lm([*texts.items(), (1, texts[1]), *more.items()])
+    for k, t in (texts | more).items():
+        ws = b(t).lower().split() + [None]
         r = rows[k]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out(k), len(ws), sum(uni[w] > 0 for w in ws), total)
-        assert r["base_score"] == pytest.approx(sum(base)) and abs(r["score"] - score) <= 0.02 * len(ws)
-    assert lm.scores(nothing).count() == 0
-    none = lm.scores(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0))
-    assert {r["train_tokens"] for r in none.collect()} <= {0}
+        assert r["base_score"] == pytest.approx(sum(map(base, ws))) and abs(r["score"] - score(ws)) <= 3e-4 * len(ws)
+    if shard_tokens == lm.SHARD_TOKENS:
+        assert lm.scores(nothing).count() == 0
+        none = lm.scores(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0))
+        assert {r["train_tokens"] for r in none.collect()} <= {0}
+
+
+def test_lm_without_a_file_path(spark, texts, monkeypatch):
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    near = {k: r["score"] for k, r in by_id(lm.scores(frame)).items()}
+    monkeypatch.setattr(lm.Store, "new", classmethod(lambda cls, spark: cls(None)))
+    assert {k: r["score"] for k, r in by_id(lm.scores(frame)).items()} == near
+
+
+def test_hot_contexts_are_split(spark):
+    """A pair that is a third of all tokens lies in several ranges, and scores as by dictionaries."""
+    rng = random.Random(21)
+    texts = {i: " ".join(f"hot pair x{rng.randrange(4000)}" for _ in range(60)) for i in range(50)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = lm.train(frame, shard_tokens=500)
+    assert model[2].carried and model[2].left and model[2].followers
+    score, *_ = brute_lm(texts.items())
+    for k, r in by_id(lm.scores(frame, shard_tokens=500)).items():
+        ws = b(texts[k]).lower().split() + [None]
+        assert abs(r["score"] - score(ws)) <= 3e-4 * len(ws)
 
 
 def test_toxicity(spark, docs, nothing):

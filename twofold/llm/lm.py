@@ -1,28 +1,38 @@
 """Language-model scores from an Elias-Fano n-gram trie (operator 8).
 
-Counts come from all training texts (crc32 of the id as text, modulo FOLDS, isn't 0). Words are known by 48 bits of a
-hash. Tasks count a few million tokens at a time and send sorted counts by hash range; a range's
-task adds them up and keeps pairs seen MIN_COUNT times or more, so a model holds no rare pairs and
-grows with the corpus. The trie has two levels:
+Counts come from all training texts (crc32 of the id as text, modulo FOLDS, isn't 0). Words are known by 128 bits of a hash.
+The trie has three levels of monotone Elias-Fano sequences, in files of the shared folder that tasks memory-map:
 
-* words: their sorted hashes, the running sum of their counts, and pointers to their successors, each a monotone
-  Elias-Fano sequence, and a one-byte code for the weight that a word leaves to the shorter context;
-* pairs, by hash range: context rank * words + successor rank, an Elias-Fano sequence, and a one-byte code for the
-  interpolated, absolutely discounted probability.
+* words, by hash range: sorted hashes and the running sum of their counts; a word's id is its place;
+* pairs: the ids of contexts, pointers to each context's successors, and the successors, each as context number * words + id;
+* triples: pointers from each pair to its successors, and the successors in the same way.
 
-Levels are files in the shared folder that tasks memory-map (where that folder isn't a file system path, they go out
-as a broadcast, up to BROADCAST_BYTES). A pair is looked up by successor search within its context's pointers.
+Pairs and triples carry a 16-bit code of their absolutely discounted probability, pairs also one of the weight that they leave to
+the shorter context; words leave what their number of successors says. A look-up is a successor search between a
+context's pointers; the probability is interpolated from the longest context to the words. Nothing is pruned: n-grams seen once are stored.
+
+Pairs and triples are dealt by ranges of (word, word, word), whose bounds follow from the words' counts: an n-gram's range is
+the place that it would have among all tokens if words were independent. So each range has about SHARD_TOKENS tokens, and the
+successors of a frequent word or pair are split over many. A range's first context may go on from the range before: what it lacks
+there (its number of successors, its count) is put together from one report of each range.
+
+Two passes over the texts count words, then n-grams in runs of FLUSH_TOKENS; a range's runs are merged as they come. Only a few
+numbers of each range come to the driver. Where the shared folder has no file path, levels go out as a broadcast, up to BROADCAST_BYTES.
 
 Defined results: a null or empty text is one end token; a null id is held out; without training texts all scores are
-those of an empty model; repeated rows count as often as they occur; texts are read whole.
+those of an empty model; repeated rows count as often as they occur; ties need no rule; texts are read whole, however long; an empty
+table gives an empty result; other columns are not read and may have any names.
 """
 
 from __future__ import annotations
 
+import json
+import mmap
 import os
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count
 from urllib.parse import urlparse
 
@@ -32,46 +42,142 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twofold.llm.common import doc_slices, drop_written, id_text, scratch_dir, written
+from twofold.llm.common import doc_slices, id_text, scratch_dir
 from twofold.llm.eliasfano import EliasFano
 
 FOLDS = 10
-MIN_COUNT = 2
 DISCOUNT = 0.75
 ADD = 0.1
-HASH_BITS = 48
-BEGIN, END = 0, 1  # reserved hashes
+BEGIN, END = 0, 1  # numbers of a task; BEGIN is also the id 0 of the trie
 FLUSH_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 22
+LEAST_SHARDS = 8
 CACHE_WORDS = 1 << 20
 BROADCAST_BYTES = 1 << 30
-CODES = 256
+#: Codes of log10 values from -16 to 0.
+CODES, LOWEST = 65535, -16.0
 
 
 def held_out(folds: int = FOLDS) -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def word_hash(word: bytes) -> int:
-    return max(xxhash.xxh64_intdigest(word, 8) >> (64 - HASH_BITS), 2)
+def coded(p: np.ndarray) -> np.ndarray:
+    """16-bit codes of probabilities; 0 stands for the lowest."""
+    return np.rint((np.log10(np.clip(p, 10.0**LOWEST, 1.0)) / -LOWEST + 1) * CODES).astype(np.uint16)
+
 
+def decoded(code: np.ndarray) -> np.ndarray:
+    return 10.0 ** ((code.astype(np.float64) / CODES - 1) * -LOWEST)
 
-def planes(x: np.ndarray, width: int) -> bytes:
-    """Little-endian bytes of the numbers, plane by plane; high planes of sorted numbers compress."""
+
+def planes(x: np.ndarray, width: int = 5) -> bytes:
+    """Little-endian bytes of the numbers, plane by plane; high planes compress."""
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def unplaned(raw: bytes, width: int) -> np.ndarray:
+def unplaned(raw: bytes, width: int = 5) -> np.ndarray:
     out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
     out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T
     return out.view("<u8").ravel()
 
 
+# files of levels
+
+
+def packed(arrays: dict[str, np.ndarray]) -> bytes:
+    """Named arrays as one file: their places as JSON, then the arrays."""
+    facts, at, parts = {}, 0, []
+    for name, x in arrays.items():
+        raw = np.ascontiguousarray(x).tobytes()
+        facts[name] = (x.dtype.str, at, len(x))
+        parts.append(raw + bytes(-len(raw) % 8))
+        at += len(parts[-1])
+    head = json.dumps(facts).encode()
+    head += b" " * (-len(head) % 8)
+    return len(head).to_bytes(8, "little") + head + b"".join(parts)
+
+
+def unpacked(raw) -> dict[str, np.ndarray]:
+    size = int.from_bytes(raw[:8], "little")
+    return {name: np.frombuffer(raw, dtype=kind, count=n, offset=8 + size + at) for name, (kind, at, n) in json.loads(bytes(raw[8 : 8 + size])).items()}
+
+
+def fields(name: str, ef: EliasFano) -> dict[str, np.ndarray]:
+    return {f"{name}.{f}": x for f, x in ef.arrays().items()}
+
+
+def sequence(arrays: dict[str, np.ndarray], name: str) -> EliasFano:
+    return EliasFano(*(arrays[f"{name}.{f}"] for f in EliasFano.FIELDS))
+
+
+class Store:
+    """Files of one trie: in the shared folder, or, where that has no file path, the bytes that tasks hand back, in a broadcast."""
+
+    def __init__(self, folder: str | None):
+        self.folder, self.shared, self.maps = folder, None, {}
+
+    def __getstate__(self):
+        return {"folder": self.folder, "shared": self.shared, "maps": {}}
+
+    @classmethod
+    def new(cls, spark) -> Store:
+        where = urlparse(scratch_dir(spark))
+        if where.scheme not in ("", "file"):
+            return cls(None)
+        folder = os.path.join(where.path, f"trie-{uuid.uuid4().hex}")
+        os.makedirs(folder)
+        return cls(folder)
+
+    def put(self, name: str, arrays: dict[str, np.ndarray]) -> bytes:
+        """Called by tasks: a repeated attempt replaces the file by an equal one."""
+        raw = packed(arrays)
+        if not self.folder:
+            return raw
+        part = os.path.join(self.folder, f"{name}.{uuid.uuid4().hex}")
+        with open(part, "wb") as out:
+            out.write(raw)
+        os.replace(part, os.path.join(self.folder, name))
+        return b""
+
+    def published(self, sc, more: dict[str, bytes]) -> Store:
+        """The store with the files that tasks have handed back."""
+        out = Store(self.folder)
+        if not self.folder:
+            every = (self.shared.value if self.shared else {}) | more
+            size = sum(map(len, every.values()))
+            if size > BROADCAST_BYTES:
+                raise ValueError(f"{size} bytes of model: a shared folder with a file path is needed beyond {BROADCAST_BYTES}")
+            out.shared = sc.broadcast(every)
+        return out
+
+    def open(self, name: str) -> dict[str, np.ndarray]:
+        if not self.folder:
+            return unpacked(self.shared.value[name])
+        if name not in self.maps:
+            with open(os.path.join(self.folder, name), "rb") as file:
+                self.maps[name] = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+        return unpacked(self.maps[name])
+
+    def let_go(self) -> None:
+        """The pages read so far may leave this process; the system's cache keeps them."""
+        for m in self.maps.values():
+            m.madvise(mmap.MADV_DONTNEED)
+
+
+# words
+
+
+def word_hash(word: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(word)
+
+
 class Tokens:
-    """Numbers of the words of a task; `hashes` has their hashes."""
+    """Numbers of the words of a task: BEGIN, END, then words as they come; `hashes` has their hashes as two columns."""
 
     def __init__(self):
         self.index: dict[bytes, int] = defaultdict(count(2).__next__)
-        self.hashes = np.array([BEGIN, END], dtype=np.uint64)
+        self.hashes = np.frombuffer(bytes(16) + word_hash(b""), dtype=">u8").astype(np.uint64).reshape(-1, 2)  # no word is empty
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all numbers, BEGIN and END of each text included; the lengths with them)."""
@@ -83,301 +189,505 @@ class Tokens:
             ids.extend(map(self.index.__getitem__, words))
             ids.append(END)
             lengths.append(len(words) + 2)
-        new = [word_hash(w) for w in list(self.index)[at:]]
+        new = list(self.index)[at:]
         if new:
-            self.hashes = np.concatenate([self.hashes, np.array(new, dtype=np.uint64)])
+            raw = np.frombuffer(b"".join(map(word_hash, new)), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+            self.hashes = np.concatenate([self.hashes, raw])
         return np.array(ids, dtype=np.int64), np.array(lengths, dtype=np.int64)
 
 
-COUNT_DDL = "shard int, kind int, a binary, b binary, n binary"
-COUNT = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())])
-WORDS, PAIRS = 0, 1
+WORDS_DDL = "shard int, hi binary, lo binary, n binary"
+WORDS_SCHEMA = pa.schema([("shard", pa.int32()), ("hi", pa.binary()), ("lo", pa.binary()), ("n", pa.binary())])
+REPORT_DDL = "shard int, facts string, raw binary"
+REPORT_SCHEMA = pa.schema([("shard", pa.int32()), ("facts", pa.string()), ("raw", pa.binary())])
 
 
-def count_tokens(shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, held, size = Tokens(), [], 0
-        for _, texts in doc_slices(batches):
-            ids, lengths = tokens(texts)
-            held.append(ids)
-            size += len(ids)
-            if size >= FLUSH_TOKENS:
-                yield from flush(tokens, held)
-                held, size = [], 0
-                if len(tokens.index) > CACHE_WORDS:
-                    tokens = Tokens()
-        if held:
-            yield from flush(tokens, held)
+def report(shard: int, facts: dict, raw: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"shard": shard, "facts": json.dumps(facts), "raw": raw}], schema=REPORT_SCHEMA)
+
+
+def hash_range(hi: np.ndarray, shards: int) -> np.ndarray:
+    return ((hi >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
-    def flush(tokens: Tokens, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate(held)
-        n = np.bincount(ids, minlength=len(tokens.hashes))
+
+def count_words(shards: int):
+    """Counts of a task's words, by hash range."""
+
+    def flush(tokens: Tokens, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         seen = np.flatnonzero(n)
-        by = seen[np.argsort(tokens.hashes[seen])]
-        yield from cut(tokens.hashes[by], None, n[by], WORDS)
-        order = np.argsort(tokens.hashes, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        width = len(order)
-        key = rank[ids[:-1]] * width + rank[ids[1:]]
-        key, n = np.unique(key[ids[:-1] != END], return_counts=True)
-        hashes = tokens.hashes[order]
-        yield from cut(hashes[key // width], hashes[key % width], n, PAIRS)
-
-    def cut(a: np.ndarray, b: np.ndarray | None, n: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-        shard = (a * np.uint64(shards) >> np.uint64(HASH_BITS)).astype(np.int64)
-        edges = np.searchsorted(shard, np.arange(shards + 1))
-        rows = [
-            (s, kind, planes(a[x:y], 6), b"" if b is None else planes(b[x:y], 6), planes(n[x:y], 5))
-            for s, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x
-        ]
+        hi, lo = tokens.hashes[seen, 0], tokens.hashes[seen, 1]
+        by = np.lexsort((lo, hi))
+        hi, lo, n = hi[by], lo[by], n[seen][by]
+        edges = np.searchsorted(hash_range(hi, shards), np.arange(shards + 1)).tolist()
+        rows = [(s, planes(hi[a:b], 8), lo[a:b].astype("<u8").tobytes(), planes(n[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), COUNT.types, strict=True)], schema=COUNT)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), WORDS_SCHEMA.types, strict=True)], schema=WORDS_SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, n = Tokens(), np.zeros(0, dtype=np.int64)
+        for _, texts in doc_slices(batches):
+            ids, _ = tokens(texts)
+            now = np.bincount(ids, minlength=len(tokens.hashes))
+            now[: len(n)] += n
+            n = now
+            n[BEGIN] = 0
+            if len(tokens.index) > CACHE_WORDS:
+                yield from flush(tokens, n)
+                tokens, n = Tokens(), np.zeros(0, dtype=np.int64)
+        yield from flush(tokens, n)
 
     return run
 
 
-def add_up(min_count: int):
-    """Counts of a hash range: parts arrive sorted by (shard, kind) and leave as one row for each."""
-
-    def settle(shard: int, kind: int, parts: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        a = np.concatenate([unplaned(x, 6) for x, _, _ in parts])
-        n = np.concatenate([unplaned(x, 5) for _, _, x in parts]).astype(np.int64)
-        b = np.concatenate([unplaned(x, 6) for _, x, _ in parts]) if kind == PAIRS else np.zeros(len(a), dtype=np.uint64)
-        by = np.lexsort((b, a)) if kind == PAIRS else np.argsort(a, kind="stable")
-        a, b, n = a[by], b[by], n[by]
-        head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        a, b, n = a[head], b[head], np.add.reduceat(n, head)
-        if kind == PAIRS:
-            keep = n >= min_count
-            a, b, n = a[keep], b[keep], n[keep]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), pa.array([planes(a, 6)], pa.binary()), pa.array([planes(b, 6) if kind == PAIRS else b""], pa.binary()), pa.array([planes(n, 5)], pa.binary())],
-            schema=COUNT,
-        )
+class Sums:
+    """Rows of sorted keys with counts, added up as they come: held rows are settled whenever they have doubled."""
+
+    def __init__(self, least: int = 1 << 21):
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size, self.least, self.limit = 0, least, least
 
+    def add(self, *cols: np.ndarray) -> None:
+        """Key columns, the main one first, then counts."""
+        self.held.append(cols)
+        self.size += len(cols[0])
+        if self.size > self.limit:
+            self.settle()
+            self.limit = max(self.least, 2 * self.size)
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        if not self.held:
+            return (np.zeros(0, dtype=np.uint64),) * 3
+        *keys, n = map(np.concatenate, zip(*self.held, strict=True))
+        by = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+        keys, n = [k[by] for k in keys], n[by]
+        if len(n):
+            head = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])])
+            keys, n = [k[head] for k in keys], np.add.reduceat(n, head)
+        self.held, self.size = [(*keys, n)], len(n)
+        return *keys, n
+
+
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Rows sorted by shard, as (shard, its rows one after the other)."""
+    from itertools import groupby
+
+    rows = (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
+    yield from groupby(rows, key=lambda r: r["shard"])
+
+
+def build_words(store: Store):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts = None, []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if (r["shard"], r["kind"]) != at:
-                    if parts:
-                        yield settle(*at, parts)
-                    at, parts = (r["shard"], r["kind"]), []
-                parts.append((r["a"], r["b"], r["n"]))
-        if parts:
-            yield settle(*at, parts)
+        for shard, rows in by_shard(batches):
+            sums = Sums()
+            for r in rows:
+                sums.add(unplaned(r["hi"], 8), np.frombuffer(r["lo"], "<u8").astype(np.uint64), unplaned(r["n"]).astype(np.int64))
+            hi, lo, n = sums.settle()
+            total = int(n.sum())
+            raw = store.put(
+                f"words{shard}", fields("hashes", EliasFano.build(hi, 1 << 64)) | {"lo": lo} | fields("sums", EliasFano.build(np.r_[0, np.cumsum(n)], total + 1))
+            )
+            yield report(shard, {"n": len(n), "total": total}, raw)
 
     return run
 
 
-class Store:
-    """Named arrays for the tasks: files of the shared folder to memory-map, or one broadcast."""
+@dataclass
+class Shape:
+    """Sizes of the level of words: for each hash range the words and tokens before it."""
+
+    shards: int
+    words: np.ndarray
+    tokens: np.ndarray
+    n_texts: int = 0
+    n_ranges: int = LEAST_SHARDS
+
+    @property
+    def total(self) -> int:
+        return int(self.tokens[-1])
+
+    @property
+    def size(self) -> int:
+        return int(self.words[-1])
+
+    @property
+    def ids(self) -> int:
+        """Ids of the trie: BEGIN and the words."""
+        return self.size + 1
+
+
+class Words:
+    """The level of words. Ids are places + 1; the id 0 is BEGIN, which occurs once a text and comes first in the sums."""
+
+    def __init__(self, store: Store, shape: Shape):
+        self.store, self.shape, self.levels = store, shape, {}
+
+    def level(self, s: int) -> tuple[EliasFano, np.ndarray, EliasFano]:
+        if s not in self.levels:
+            arrays = self.store.open(f"words{s}")
+            self.levels[s] = sequence(arrays, "hashes"), arrays["lo"], sequence(arrays, "sums")
+        return self.levels[s]
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Ids of words by their hashes, -1 where there is none."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        of = hash_range(hashes[:, 0], self.shape.shards)
+        for s in np.unique(of).tolist():
+            if self.shape.words[s] == self.shape.words[s + 1]:
+                continue
+            which = np.flatnonzero(of == s)
+            sorted_hi, lo, _ = self.level(s)
+            hi, low = hashes[which, 0], hashes[which, 1]
+            at, hit = sorted_hi.successor(hi)
+            live = np.flatnonzero(hit)
+            while len(live):  # one round, unless words share 64 bits
+                same = lo[at[live]] == low[live]
+                out[which[live[same]]] = at[live[same]] + self.shape.words[s] + 1
+                live = live[~same]
+                at[live] += 1
+                live = live[at[live] < sorted_hi.n]
+                live = live[sorted_hi.access(at[live]) == hi[live]]
+        return out
 
-    def __init__(self, spark):
-        self.sc = spark.sparkContext
-        where = urlparse(scratch_dir(spark))
-        self.folder = None
-        self.arrays: dict[str, np.ndarray] = {}
-        self.shared = None
-        if where.scheme in ("", "file"):
-            self.folder = os.path.join(where.path, f"trie-{uuid.uuid4().hex}")
-            os.makedirs(self.folder)
+    def sums(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens before each id's, its own tokens); none for -1."""
+        before, own = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+        own[ids == 0] = self.shape.n_texts
+        of = np.searchsorted(self.shape.words, ids - 1, side="right") - 1
+        for s in np.unique(of[ids > 0]).tolist():
+            which = np.flatnonzero((of == s) & (ids > 0))
+            at = ids[which] - 1 - self.shape.words[s]
+            sums = self.level(s)[2]
+            a, b = sums.access(at).astype(np.int64), sums.access(at + 1).astype(np.int64)
+            before[which], own[which] = a + self.shape.tokens[s] + self.shape.n_texts, b - a
+        return before, own
 
-    def put(self, name: str, arrays: dict[str, np.ndarray]) -> None:
-        for field, x in arrays.items():
-            if self.folder:
-                np.save(os.path.join(self.folder, f"{name}.{field}.npy"), x)
-            else:
-                self.arrays[f"{name}.{field}"] = x
+    def facts(self, hashes: np.ndarray, first: int) -> np.ndarray:
+        """Rows (id, tokens before, own tokens) of the numbers of a task from `first` on."""
+        ids = self.ids(hashes)
+        ids[: max(0, 1 - first)] = 0  # BEGIN
+        return np.stack([ids, *self.sums(ids)])
 
-    def handle(self):
-        """What tasks open: a folder, or a broadcast."""
-        if self.folder:
-            return self.folder
-        size = sum(x.nbytes for x in self.arrays.values())
-        if size > BROADCAST_BYTES:
-            raise ValueError(f"{size} bytes of model: a shared folder with a file path is needed beyond {BROADCAST_BYTES}")
-        return self.sc.broadcast(self.arrays)
 
+# pairs and triples
 
-def load(handle, name: str, field: str) -> np.ndarray:
-    if isinstance(handle, str):
-        return np.load(os.path.join(handle, f"{name}.{field}.npy"), mmap_mode="r")
-    return handle.value[f"{name}.{field}"]
 
+def ranges(shape: Shape, u: np.ndarray, v: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
+    """Range of each n-gram of columns (id, tokens before, own tokens): monotone in (u, v, w); a pair lies before its triples."""
+    t = float(max(shape.total + shape.n_texts, 1))
+    inner = v[1].astype(np.float64)
+    if w is not None:
+        inner = inner + v[2] * (w[1] / t)
+    at = (u[1] + u[2] * (inner / t)) / t
+    return np.minimum((at * shape.n_ranges).astype(np.int64), shape.n_ranges - 1)
 
-def sequence(handle, name: str) -> EliasFano:
-    return EliasFano(*(load(handle, name, f) for f in EliasFano.FIELDS))
 
+GRAMS_DDL = "shard int, u binary, v binary, n binary, found binary, w binary, m binary, carried binary"
+GRAMS_SCHEMA = pa.schema([("shard", pa.int32())] + [(c.split()[0], pa.binary()) for c in GRAMS_DDL.split(", ")[1:]])
 
-def coded(x: np.ndarray, book: np.ndarray) -> np.ndarray:
-    """Nearest entry of a sorted code book."""
-    return np.searchsorted((book[1:] + book[:-1]) / 2, x).astype(np.uint8)
 
+def count_grams(store: Store, shape: Shape):
+    """Pairs and triples of a task's runs, by range. A row has the pairs of a range, how many of the triples follow each, and the
+    triples' last words; triples at its head may belong to a pair of a range before, which is `carried`."""
 
-#: Code books: log10 of pair probabilities and of the weights left to the shorter context.
-PAIR_BOOK = np.linspace(-8.0, 0.0, CODES)
-LEFT_BOOK = np.linspace(-4.0, 0.0, CODES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(store, shape)
+        tokens, facts, held, size = Tokens(), np.zeros((3, 0), dtype=np.int64), [], 0
+        for _, texts in doc_slices(batches):
+            nums, _ = tokens(texts)
+            facts = np.concatenate([facts, words.facts(tokens.hashes[facts.shape[1] :], facts.shape[1])], axis=1)
+            held.append(nums)
+            size += len(nums)
+            if size >= FLUSH_TOKENS:
+                yield from flush(np.concatenate(held), facts)
+                held, size = [], 0
+                if len(tokens.index) > CACHE_WORDS:
+                    tokens, facts = Tokens(), np.zeros((3, 0), dtype=np.int64)
+                words.store.let_go()
+        if held:
+            yield from flush(np.concatenate(held), facts)
 
+    def flush(nums: np.ndarray, facts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(facts[0], kind="stable")  # numbers of the run in the order of ids
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        facts, run_ = facts[:, order], place[nums]
+        width = len(order)
+        at = np.flatnonzero(nums != BEGIN)
+        pair, which, n = np.unique(run_[at - 1] * width + run_[at], return_inverse=True, return_counts=True)
+        longer = np.flatnonzero(nums[at - 1] != BEGIN)  # the pair before ends where this one begins
+        triple, m = np.unique(which[longer - 1] * width + run_[at[longer]], return_counts=True)
+        u, v, of, w = pair // width, pair % width, triple // width, triple % width
+        pair_range = ranges(shape, facts[:, u], facts[:, v])
+        triple_range = ranges(shape, facts[:, u[of]], facts[:, v[of]], facts[:, w])
+        bounds = np.arange(shape.n_ranges + 1)
+        p, t = np.searchsorted(pair_range, bounds).tolist(), np.searchsorted(triple_range, bounds).tolist()
+        ids = facts[0]
+        for s in range(shape.n_ranges):
+            a, b, x, y = p[s], p[s + 1], t[s], t[s + 1]
+            if a == b and x == y:
+                continue
+            head = int(np.searchsorted(of[x:y], a))  # triples of a pair before this range
+            carried = planes(np.array([ids[u[of[x]]], ids[v[of[x]]], head])) if head else b""
+            found = np.bincount(of[x + head : y] - a, minlength=b - a)
+            cols = [ids[u[a:b]], ids[v[a:b]], n[a:b], found, ids[w[x:y]], m[x:y]]
+            row = [s, *map(planes, cols), carried]
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, GRAMS_SCHEMA.types, strict=True)], schema=GRAMS_SCHEMA)
 
-class WordLevel:
-    def __init__(self, handle, pointers: bool = True):
-        self.hashes, self.sums = sequence(handle, "hashes"), sequence(handle, "sums")
-        self.total, self.size = (int(x) for x in load(handle, "words", "shape"))
-        if pointers:
-            self.pointers, self.left = sequence(handle, "pointers"), load(handle, "words", "left")
+    return run
 
-    def ranks(self, hashes: np.ndarray) -> np.ndarray:
-        at, hit = self.hashes.successor(hashes)
-        return np.where(hit, at, -1)
 
-    def counts(self, ranks: np.ndarray) -> np.ndarray:
-        at = np.maximum(ranks, 0)
-        if not self.size:
-            return np.zeros(len(ranks), dtype=np.int64)
-        return np.where(ranks >= 0, (self.sums.access(at + 1) - self.sums.access(at)).astype(np.int64), 0)
+def build_grams(store: Store, shape: Shape):
+    """The levels of pairs and triples of a range, and what its neighbours have to know of its first and last contexts."""
 
-    def base(self, counts: np.ndarray, total: int, size: int) -> np.ndarray:
-        return np.log10((counts + ADD) / (total + ADD * (size + 1)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(store, shape)
+        for shard, rows in by_shard(batches):
+            pairs, triples = Sums(), Sums()
+            for r in rows:
+                u, v, n, found, w, m = (unplaned(r[c]) for c in ("u", "v", "n", "found", "w", "m"))
+                key = u * np.uint64(shape.ids) + v
+                of = np.repeat(key, found.astype(np.int64))
+                if r["carried"]:
+                    cu, cv, head = unplaned(r["carried"])
+                    of = np.concatenate([np.full(int(head), cu * np.uint64(shape.ids) + cv), of])
+                pairs.add(key, n.astype(np.int64))
+                triples.add(of, w, m.astype(np.int64))
+            yield report(shard, *level(shard, pairs.settle(), triples.settle(), words))
+
+    def level(shard: int, pairs: tuple, triples: tuple, words: Words) -> tuple[dict, bytes]:
+        size = np.uint64(shape.ids)
+        key, n = pairs[0], pairs[1].astype(np.int64)
+        u, v = (key // size).astype(np.int64), key % size
+        of, w, m = triples
+        head = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.zeros(0, dtype=np.int64)
+        context = u[head]
+        found = np.diff(np.r_[head, len(u)])
+        number = np.repeat(np.arange(len(head)), found)
+        total = words.sums(context)[1]
+        # triples: context 0 is a pair carried over from a range before, the others are this range's pairs
+        at = np.searchsorted(key, of) if len(key) else np.zeros(len(of), dtype=np.int64)
+        mine = (key[np.minimum(at, len(key) - 1)] == of) if len(key) else np.zeros(len(of), dtype=bool)
+        j = np.where(mine, at + 1, 0)
+        follow = np.bincount(j, minlength=len(key) + 1)
+        carried = int(m[~mine].sum())
+        of_all = np.r_[max(carried, 1), n]
+        arrays = (
+            fields("contexts", EliasFano.build(context, int(size)))
+            | fields("pointers", EliasFano.build(np.r_[0, np.cumsum(found)], len(u) + 1))
+            | fields("pairs", EliasFano.build(number.astype(np.uint64) * size + v, max(len(head), 1) * int(size)))
+            | {"pair_code": coded((n - DISCOUNT) / np.maximum(total, 1)[number]), "left_code": coded(1 - left(follow[1:], n))}
+            | fields("pointers3", EliasFano.build(np.r_[0, np.cumsum(follow)], len(of) + 1))
+            | fields("triples", EliasFano.build(j.astype(np.uint64) * size + w, (len(key) + 1) * int(size)))
+            | {"triple_code": coded((m - DISCOUNT) / of_all[j])}
+        )
+        facts = {"contexts": [[int(context[i]), int(found[i])] for i in {0, len(head) - 1}] if len(head) else []}
+        if carried:
+            facts["carried"] = [int(of[0] // size), int(of[0] % size), int(follow[0]), carried]
+        if len(key):
+            facts["last"] = [int(u[-1]), int(v[-1]), int(follow[-1]), int(n[-1])]
+        return facts, store.put(f"grams{shard}", arrays)
 
+    return run
 
-def build_pairs(handle):
-    """Level of pairs of one hash range: keys, codes, and its contexts with their successors' number and left weight."""
-    ddl = "shard int, n long, ctx binary, found binary, left_code binary, high binary, low binary, ones binary, zeros binary, shape binary, code binary"
-    names = [c.split()[0] for c in ddl.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None
-        for batch in batches:
-            for r in batch.to_pylist():
-                words = words or WordLevel(handle, pointers=False)
-                a, b, n = unplaned(r["a"], 6), unplaned(r["b"], 6), unplaned(r["n"], 5).astype(np.int64)
-                if not len(a):
-                    continue
-                head = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-                group = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(a)]))
-                ctx, succ = words.ranks(a[head]), words.ranks(b)
-                # BEGIN is no token: its level entry exists to hold its successors, with one count for each text
-                of = np.maximum(words.counts(ctx), 1)
-                held = (n - DISCOUNT) / of[group]
-                left = np.clip(1.0 - np.bincount(group, held, minlength=len(head)), 1e-4, 1.0)
-                total, size = words.total, words.size - 1
-                p = held + left[group] * (words.counts(succ) + ADD) / (total + ADD * (size + 1))
-                ef = EliasFano.build(ctx[group].astype(np.uint64) * np.uint64(words.size) + succ.astype(np.uint64), words.size**2)
-                row = [r["shard"], len(a), ctx.astype("<i8").tobytes(), np.diff(np.r_[head, len(a)]).astype("<i8").tobytes(), coded(np.log10(left), LEFT_BOOK).tobytes()]
-                row += [x.tobytes() for x in ef.arrays().values()] + [coded(np.log10(np.minimum(p, 1.0)), PAIR_BOOK).tobytes()]
-                yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema=pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in ddl.split(", ")]))
-
-    return run, ddl
-
-
-DTYPE = {"high": "<u8", "low": "<u8", "ones": "<i8", "zeros": "<i8", "shape": "<i8"}
-
-
-def train(texts: DataFrame, folds: int = FOLDS, min_count: int = MIN_COUNT) -> tuple[object, int, int, int]:
-    """(handle of the levels, training tokens, distinct training tokens, pair ranges)."""
-    spark = texts.sparkSession
+def left(followers: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What a context's own n-grams weigh: all but the discount of each different follower."""
+    return 1 - DISCOUNT * followers / np.maximum(n, 1)
+
+
+@dataclass
+class Seams:
+    """Contexts at the ends of ranges, which may lie in several: the followers of a word, the weight that a pair leaves, and the part of its pair's count
+    that a range's carried triples have."""
+
+    followers: dict[int, int]
+    left: dict[tuple[int, int], float]
+    carried: dict[int, tuple[int, int, float]]
+
+    @classmethod
+    def of(cls, reports: dict[int, dict]) -> Seams:
+        seen: dict[int, list[int]] = defaultdict(list)
+        for facts in reports.values():
+            for u, found in facts["contexts"]:
+                seen[u].append(found)
+        last = {tuple(f["last"][:2]): f["last"][2:] for f in reports.values() if "last" in f}
+        more: dict[tuple[int, int], int] = defaultdict(int)
+        for f in reports.values():
+            if "carried" in f:
+                more[tuple(f["carried"][:2])] += f["carried"][2]
+        # a pair whose triples go on in other ranges is the last pair of its own
+        weights = {k: DISCOUNT * (last[k][0] + n) / last[k][1] for k, n in more.items()}
+        scale = {s: (*f["carried"][:2], f["carried"][3] / last[tuple(f["carried"][:2])][1]) for s, f in reports.items() if "carried" in f}
+        return cls({u: sum(x) for u, x in seen.items()}, weights, scale)
+
+
+def train(texts: DataFrame, folds: int = FOLDS, shard_tokens: int = SHARD_TOKENS) -> tuple[Store, Shape, Seams, set[int]]:
+    """The levels, their shape, the contexts in several ranges, and the ranges that hold n-grams."""
+    sc = texts.sparkSession.sparkContext
     learn = texts.where(~held_out(folds))
-    shards = max(16, 2 * learn.rdd.getNumPartitions())
-    counted = learn.mapInArrow(count_tokens(shards), COUNT_DDL)
-    sums = written(
-        counted.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(add_up(min_count), COUNT_DDL), "ngrams"
-    )
-    store = Store(spark)
-    hashes, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-    for r in sums.where(F.col("kind") == WORDS).orderBy("shard").toLocalIterator():
-        hashes.append(unplaned(r["a"], 6))
-        counts.append(unplaned(r["n"], 5).astype(np.int64))
-    hashes, counts = np.concatenate(hashes), np.concatenate(counts)
-    begin = int(counts[0]) if len(hashes) and hashes[0] == BEGIN else 0
-    total, size = int(counts.sum()) - begin, max(len(hashes) - (begin > 0), 0)
-    store.put("hashes", EliasFano.build(hashes, 1 << HASH_BITS).arrays())
-    store.put("sums", EliasFano.build(np.r_[0, np.cumsum(counts)], int(counts.sum()) + 1).arrays())
-    store.put("words", {"shape": np.array([total, len(hashes)], dtype=np.int64)})
-    run, ddl = build_pairs(store.handle())
-    levels = written(sums.where(F.col("kind") == PAIRS).mapInArrow(run, ddl), "pairs")
-    fan = np.zeros(len(hashes) + 1, dtype=np.int64)
-    left = np.full(len(hashes), CODES - 1, dtype=np.uint8)
-    first, n_levels = [0], 0
-    for r in levels.orderBy("shard").toLocalIterator():
-        ctx = np.frombuffer(r["ctx"], "<i8")
-        fan[ctx + 1] = np.frombuffer(r["found"], "<i8")
-        left[ctx] = np.frombuffer(r["left_code"], np.uint8)
-        store.put(f"pairs{n_levels}", {f: np.frombuffer(r[f], DTYPE[f]) for f in DTYPE} | {"code": np.frombuffer(r["code"], np.uint8)})
-        first.append(first[-1] + r["n"])
-        n_levels += 1
-    store.put("pointers", EliasFano.build(np.cumsum(fan), int(fan.sum()) + 1).arrays())
-    store.put("words", {"left": left, "first": np.array(first, dtype=np.int64)})
-    drop_written(sums, levels)
-    return store.handle(), total, size, n_levels
-
+    store = Store.new(texts.sparkSession)
+    shards = max(LEAST_SHARDS, learn.rdd.getNumPartitions() // 4)
+    counted = learn.mapInArrow(count_words(shards), WORDS_DDL).repartition(shards, "shard").sortWithinPartitions("shard")
+    found = {r["shard"]: r for r in counted.mapInArrow(build_words(store), REPORT_DDL).collect()}  # two numbers of each range
+    sizes = [json.loads(found[s]["facts"]) if s in found else {"n": 0, "total": 0} for s in range(shards)]
+    shape = Shape(shards, *(np.r_[0, np.cumsum([x[k] for x in sizes])].astype(np.int64) for k in ("n", "total")))
+    store = store.published(sc, {f"words{s}": bytes(r["raw"]) for s, r in found.items()})
+    words = Words(store, shape)
+    shape.n_texts = int(words.sums(words.ids(Tokens().hashes[END:]))[1][0])  # as many as ends
+    shape.n_ranges = max(LEAST_SHARDS, shape.total // shard_tokens)
+    grams = learn.mapInArrow(count_grams(store, shape), GRAMS_DDL).repartition(shape.n_ranges, "shard").sortWithinPartitions("shard")
+    rows = grams.mapInArrow(build_grams(store, shape), REPORT_DDL).collect()  # a few numbers of each range
+    reports = {r["shard"]: json.loads(r["facts"]) for r in rows}
+    return store.published(sc, {f"grams{r['shard']}": bytes(r["raw"]) for r in rows}), shape, Seams.of(reports), set(reports)
+
+
+class Grams:
+    """The levels of pairs and triples of one range."""
+
+    def __init__(self, arrays: dict[str, np.ndarray], size: int):
+        self.size = np.uint64(size)
+        self.contexts, self.pointers, self.pairs, self.pointers3, self.triples = (
+            sequence(arrays, x) for x in ("contexts", "pointers", "pairs", "pointers3", "triples")
+        )
+        self.pair_code, self.left_code, self.triple_code = (arrays[f"{x}_code"] for x in ("pair", "left", "triple"))
 
-class Trie:
-    def __init__(self, handle, total: int, size: int, n_levels: int):
-        self.words = WordLevel(handle)
-        self.total, self.size = total, size
-        self.first = load(handle, "words", "first")
-        self.levels = [(sequence(handle, f"pairs{k}"), load(handle, f"pairs{k}", "code")) for k in range(n_levels)]
-
-    def facts(self, hashes: np.ndarray) -> np.ndarray:
-        """Columns of words: rank, count, first and last successor, base log10, left log10."""
-        rank = self.words.ranks(hashes)
-        c = self.words.counts(rank)
-        at = np.maximum(rank, 0)
-        out = np.zeros((6, len(rank)))
-        out[0], out[1] = rank, c
-        if self.words.size:
-            out[2] = np.where(rank >= 0, self.words.pointers.access(at), 0)
-            out[3] = np.where(rank >= 0, self.words.pointers.access(at + 1), 0)
-            out[5] = np.where(rank >= 0, LEFT_BOOK[self.words.left[at]], 0.0)
-        out[4] = self.words.base(c, self.total, self.size)
+    def followers(self, u: np.ndarray) -> np.ndarray:
+        at, hit = self.contexts.successor(u)
+        out = np.zeros(len(u), dtype=np.int64)
+        out[hit] = self.pointers.access(at[hit] + 1).astype(np.int64) - self.pointers.access(at[hit]).astype(np.int64)
         return out
 
-    def pairs(self, a: np.ndarray, b: np.ndarray, ctx: np.ndarray, word: np.ndarray, else_: np.ndarray) -> np.ndarray:
-        """log10 of each pair's probability: found among the context's successors a to b, or `else_`."""
-        out = else_.copy()
-        may = np.flatnonzero((a < b) & (word >= 0))
-        level = np.searchsorted(self.first, a[may], side="right") - 1
-        order = np.argsort(level, kind="stable")
-        may, level = may[order], level[order]
-        edges = np.searchsorted(level, np.arange(len(self.levels) + 1))
-        for k, (ef, code) in enumerate(self.levels):
-            m = may[edges[k] : edges[k + 1]]
-            if len(m):
-                key = ctx[m].astype(np.uint64) * np.uint64(self.words.size) + word[m].astype(np.uint64)
-                at, hit = ef.successor(key, a[m] - self.first[k], b[m] - self.first[k])
-                out[m[hit]] = PAIR_BOOK[code[at[hit]]]
+    def pair(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Places of pairs, -1 where there is none: a successor search between the context's pointers."""
+        out = np.full(len(u), -1, dtype=np.int64)
+        number, hit = self.contexts.successor(u)
+        at = np.flatnonzero(hit)
+        number = number[at]
+        a, b = (self.pointers.access(number + k).astype(np.int64) for k in (0, 1))
+        place, hit = self.pairs.successor(number.astype(np.uint64) * self.size + v[at].astype(np.uint64), a, b)
+        out[at[hit]] = place[hit]
         return out
 
+    def triple(self, pair: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Places of triples of the contexts `pair` (the carried one is -1), -1 where there is none."""
+        j = pair + 1
+        a, b = (self.pointers3.access(j + k).astype(np.int64) for k in (0, 1))
+        place, hit = self.triples.successor(j.astype(np.uint64) * self.size + w.astype(np.uint64), a, b)
+        return np.where(hit, place, -1)
 
-def scores(docs: DataFrame, folds: int = FOLDS, min_count: int = MIN_COUNT, **cols: str) -> DataFrame:
+
+class Trie:
+    def __init__(self, store: Store, shape: Shape, seams: Seams, held: set[int]):
+        self.store, self.shape, self.seams, self.held = store, shape, seams, held
+        self.words, self.ranges = Words(store, shape), {}
+
+    def range_(self, s: int) -> Grams:
+        if s not in self.ranges:
+            self.ranges[s] = Grams(self.store.open(f"grams{s}"), self.shape.ids)
+        return self.ranges[s]
+
+    def by_range(self, of: np.ndarray, among: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(range, places) of the places `among` by range; ranges without n-grams are left out."""
+        among = among[np.argsort(of[among], kind="stable")]
+        cut = np.flatnonzero(np.r_[True, of[among][1:] != of[among][:-1]]) if len(among) else []
+        for part in np.split(among, cut[1:]) if len(among) else []:
+            if int(of[part[0]]) in self.held:
+                yield int(of[part[0]]), part
+
+    def leave(self, facts: np.ndarray) -> np.ndarray:
+        """Weight that each word leaves to the level of words; 1 where nothing follows it."""
+        ids, own = facts[0], facts[2]
+        followers = np.zeros(len(ids), dtype=np.int64)
+        nothing = np.zeros((3, len(ids)), dtype=np.int64)
+        of = ranges(self.shape, facts, nothing)
+        for s, which in self.by_range(of, np.flatnonzero((ids >= 0) & (own > 0))):
+            followers[which] = self.range_(s).followers(ids[which])
+        if self.seams.followers:
+            split = self.seams.followers
+            for i in np.flatnonzero(np.isin(ids, np.fromiter(split, dtype=np.int64, count=len(split)))).tolist():
+                followers[i] = split[int(ids[i])]
+        return np.where(followers > 0, 1 - left(followers, own), 1.0)
+
+    def pairs(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For columns of facts: (range, place, own probability, weight left) of pairs; place -1 and 0, 1 where there is none."""
+        of = ranges(self.shape, u, v)
+        place, p, rest = np.full(len(of), -1, dtype=np.int64), np.zeros(len(of)), np.ones(len(of))
+        for s, which in self.by_range(of, np.flatnonzero((u[0] >= 0) & (v[0] > 0))):
+            level = self.range_(s)
+            at = level.pair(u[0][which], v[0][which])
+            hit = at >= 0
+            place[which[hit]] = at[hit]
+            p[which[hit]], rest[which[hit]] = decoded(level.pair_code[at[hit]]), decoded(level.left_code[at[hit]])
+        if self.seams.left:
+            size = np.int64(self.shape.ids)
+            keys = {a * int(size) + b: x for (a, b), x in self.seams.left.items()}
+            mine = u[0] * size + v[0]
+            for i in np.flatnonzero((place >= 0) & np.isin(mine, np.fromiter(keys, dtype=np.int64, count=len(keys)))).tolist():
+                rest[i] = keys[int(mine[i])]
+        return of, place, p, rest
+
+    def triples(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, home: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Own probabilities of triples whose pair lies in range `home` at `place`; 0 where there is none."""
+        of = ranges(self.shape, u, v, w)
+        p = np.zeros(len(of))
+        for s, which in self.by_range(of, np.flatnonzero((place >= 0) & (w[0] > 0))):
+            level = self.range_(s)
+            at_home = home[which] == s
+            pair = np.where(at_home, place[which], -1)
+            scale = np.ones(len(which))
+            if not at_home.all():
+                a, b, share = self.seams.carried.get(s, (-1, -1, 0.0))
+                ours = (u[0][which] == a) & (v[0][which] == b) & ~at_home
+                scale[ours] = share
+                which, pair, scale = (x[at_home | ours] for x in (which, pair, scale))
+            at = level.triple(pair, w[0][which])
+            hit = at >= 0
+            p[which[hit]] = decoded(level.triple_code[at[hit]]) * scale[hit]
+        return p
+
+
+def scores(docs: DataFrame, folds: int = FOLDS, shard_tokens: int = SHARD_TOKENS, **cols: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     texts = id_text(docs, **cols)
-    handle, total, size, n_levels = train(texts, folds, min_count)
+    model = train(texts, folds, shard_tokens)
+    total, size = model[1].total, model[1].size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, tokens, facts = Trie(handle, total, size, n_levels), Tokens(), np.zeros((6, 0))
+        trie = Trie(*model)
+        tokens, facts, leave = Tokens(), np.zeros((3, 0), dtype=np.int64), np.zeros(0)
         for ids, part in doc_slices(batches):
             if len(tokens.index) > CACHE_WORDS:
-                tokens, facts = Tokens(), np.zeros((6, 0))
+                tokens, facts, leave = Tokens(), np.zeros((3, 0), dtype=np.int64), np.zeros(0)
             nums, lengths = tokens(part)
-            facts = np.concatenate([facts, trie.facts(tokens.hashes[facts.shape[1] :])], axis=1)
-            ends = np.cumsum(lengths)
+            new = trie.words.facts(tokens.hashes[facts.shape[1] :], facts.shape[1])
+            facts, leave = np.concatenate([facts, new], axis=1), np.r_[leave, trie.leave(new)]
+            known = facts[2].copy()
+            known[BEGIN] = 0
+            base = (known + ADD) / (total + ADD * (size + 1))
+            width = facts.shape[1]
+            at = np.flatnonzero(nums != BEGIN)
+            pair, which = np.unique(nums[at - 1] * width + nums[at], return_inverse=True)
+            u, v = pair // width, pair % width
+            home, place, p, rest = trie.pairs(facts[:, u], facts[:, v])
+            p2 = p + leave[u] * base[v]
+            prob = p2[which]
+            longer = np.flatnonzero(nums[at - 1] != BEGIN)
+            triple, back = np.unique(which[longer - 1] * width + nums[at[longer]], return_inverse=True)
+            of, w = triple // width, triple % width
+            own = trie.triples(facts[:, u[of]], facts[:, v[of]], facts[:, w], home[of], place[of])
+            prob[longer] = own[back] + rest[of][back] * prob[longer]
             owner = np.repeat(np.arange(len(part)), lengths - 1)
-            now = np.delete(np.arange(len(nums)), ends - lengths)  # all but the BEGINs
-            word, ctx = nums[now], nums[now - 1]
-            base = facts[4][word]
-            known = facts[1][word] > 0
-            key, back = np.unique(ctx * len(tokens.hashes) + word, return_inverse=True)
-            c, w = key // len(tokens.hashes), key % len(tokens.hashes)
-            a, b, r = (facts[i][c].astype(np.int64) for i in (2, 3, 0))
-            logp = trie.pairs(a, b, r, facts[0][w].astype(np.int64), facts[5][c] + facts[4][w])[back]
             n = len(part)
+            word = nums[at]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(lengths - 1), pa.array(np.bincount(owner, known, minlength=n).astype(np.int64)), pa.array(np.full(n, total, dtype=np.int64)), pa.array(np.bincount(owner, base, minlength=n)), pa.array(np.bincount(owner, logp, minlength=n))],
+                [
+                    pa.array(ids, pa.int64()), pa.array(lengths - 1), pa.array(np.bincount(owner, known[word] > 0, minlength=n).astype(np.int64)),
+                    pa.array(np.full(n, total, dtype=np.int64)), pa.array(np.bincount(owner, np.log10(base)[word], minlength=n)),
+                    pa.array(np.bincount(owner, np.log10(np.minimum(prob, 1.0)), minlength=n)),
+                ],
                 ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
+            trie.store.let_go()
 
     out = texts.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select("doc_id", held_out(folds).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
