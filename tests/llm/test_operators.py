@@ -556,10 +556,13 @@ def test_weak_labels_held_out(spark):
 
 def test_elias_fano():
     rng = np.random.default_rng(1)
-    for n, top in ((0, 10), (1, 1), (5, 5), (1000, 1001), (1000, 1 << 48), (20000, 1 << 40), (5000, 35000)):
+    for n, top in ((0, 10), (1, 1), (5, 5), (1000, 1001), (1000, 1 << 48), (20000, 1 << 40), (5000, 35000), (9000, 40), (4, 1 << 62)):
         v = np.sort(rng.integers(0, top, n)).astype(np.uint64)
         ef = EliasFano.build(v, top)
         assert (ef.access(np.arange(n)) == v).all()
+        if n > 1:
+            a, z = ef.access_two(np.arange(n - 1))
+            assert (a == v[:-1]).all() and (z == v[1:]).all()
         q = np.r_[rng.integers(0, top, 300).astype(np.uint64), v[:300]]
         at, hit = ef.successor(q)
         assert (hit == np.isin(q, v)).all() and (not hit.any() or (v[at[hit]] == q[hit]).all())

@@ -4,27 +4,31 @@ from __future__ import annotations
 
 import numpy as np
 
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-POP8 = _BITS.sum(axis=1).astype(np.uint8)
-#: Place of the k-th set bit of a byte; 8 where there is none.
-SELECT8 = np.full((256, 8), 8, dtype=np.uint8)
-for _b in range(256):
-    _at = np.flatnonzero(_BITS[_b])
-    SELECT8[_b, : len(_at)] = _at
 CHUNK = 1 << 18
+ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
     """Place of the k-th set (flip: unset) bit; `before` counts those ahead of each word."""
     w = np.searchsorted(before, k, side="right") - 1
-    word = words[w] ^ np.uint64(0xFFFFFFFFFFFFFFFF) if flip else words[w]
-    left = (k - before[w]).astype(np.int64)
-    cells = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
-    ahead = np.cumsum(POP8[cells], axis=1, dtype=np.int64)
-    byte = (ahead <= left[:, None]).sum(axis=1)
-    row = np.arange(len(k))
-    skipped = np.where(byte > 0, ahead[row, byte - 1], 0)
-    return w * 64 + byte * 8 + SELECT8[cells[row, byte], left - skipped]
+    word = words[w] ^ ALL if flip else words[w]
+    left = (k - before[w]).astype(np.uint8)
+    at = w << 6
+    for half in (32, 16, 8, 4, 2, 1):  # the half of the bits that holds it
+        low = np.bitwise_count(word & np.uint64((1 << half) - 1))
+        up = left >= low
+        left -= np.where(up, low, 0).astype(np.uint8)
+        at += np.where(up, half, 0)
+        word = np.where(up, word >> np.uint64(half), word)
+    return at
+
+
+def _run_from(words: np.ndarray, at: np.ndarray, ones: bool) -> np.ndarray:
+    """Length of the run of set (or unset) bits that starts at each place; 64 stands for 64 or more."""
+    w, s = at >> 6, (at & 63).astype(np.uint64)
+    up = np.where(s > 0, words[np.minimum(w + 1, len(words) - 1)] << ((np.uint64(64) - s) & np.uint64(63)), np.uint64(0))
+    end = ((words[w] >> s) | up) ^ (ALL if ones else np.uint64(0))
+    return np.where(end > 0, np.bitwise_count((end & (~end + ONE)) - ONE), 64).astype(np.int64)
 
 
 class EliasFano:
@@ -57,7 +61,7 @@ class EliasFano:
                 low.append(np.packbits(np.unpackbits(rows, axis=1, bitorder="little")[:, :bits].ravel(), bitorder="little"))
         packed = np.concatenate(low)
         packed = np.concatenate([packed, np.zeros(16 + -len(packed) % 8, dtype=np.uint8)]).view(np.uint64)
-        count = POP8[high.view(np.uint8).reshape(-1, 8)].sum(axis=1, dtype=np.int64)
+        count = np.bitwise_count(high).astype(np.int64)
         ones = np.r_[0, np.cumsum(count)[:-1]]
         return cls(high, packed, ones, np.arange(len(high)) * 64 - ones, np.array([n, bits], dtype=np.int64))
 
@@ -78,14 +82,31 @@ class EliasFano:
         high = _select(self.high, self.ones, i, False) - i
         return (high.astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
 
+    def access_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers at places i and i + 1."""
+        i = i.astype(np.int64)
+        bit = _select(self.high, self.ones, i, False)
+        skip = _run_from(self.high, bit + 1, False)
+        after = bit + 1 + skip
+        far = np.flatnonzero(skip == 64)
+        if len(far):
+            after[far] = _select(self.high, self.ones, i[far] + 1, False)
+        first, second = (((p - j).astype(np.uint64) << np.uint64(self.bits)) | self._low(j) for p, j in ((bit, i), (after, i + 1)))
+        return first, second
+
     def successor(self, x: np.ndarray, a: np.ndarray | None = None, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(place of the first number >= x within its high part's run, whether it equals x); a, b bound the run further."""
         x = x.astype(np.uint64)
         if not len(x) or not self.n:
             return np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=bool)
         h = (x >> np.uint64(self.bits)).astype(np.int64)
-        until = _select(self.high, self.zeros, h, True) - h
-        start = np.where(h > 0, _select(self.high, self.zeros, np.maximum(h - 1, 0), True) - np.maximum(h - 1, 0), 0)
+        bit = np.where(h > 0, _select(self.high, self.zeros, np.maximum(h - 1, 0), True) + 1, 0)  # where the run of h begins
+        start = bit - h
+        run = _run_from(self.high, bit, True)
+        until = start + run
+        long = np.flatnonzero(run == 64)
+        if len(long):
+            until[long] = _select(self.high, self.zeros, h[long], True) - h[long]
         if a is not None:
             start, until = np.maximum(start, a), np.minimum(until, b)
         want = x & self.mask

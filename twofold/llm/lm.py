@@ -16,7 +16,7 @@ the place that it would have among all tokens if words were independent. So each
 successors of a frequent word or pair are split over many. A range's first context may go on from the range before: what it lacks
 there (its number of successors, its count) is put together from one report of each range.
 
-Two passes over the texts count words, then n-grams in runs of FLUSH_TOKENS; a range's runs are merged as they come. Only a few
+Two passes over the texts count words, then n-grams in runs of RUN_BYTES; a range's runs are merged as they come. Only a few
 numbers of each range come to the driver. Where the shared folder has no file path, levels go out as a broadcast, up to BROADCAST_BYTES.
 
 Defined results: a null or empty text is one end token; a null id is held out; without training texts all scores are
@@ -33,7 +33,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
+from itertools import groupby
 from urllib.parse import urlparse
 
 import numpy as np
@@ -42,14 +42,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twofold.llm.common import doc_slices, id_text, scratch_dir
+from twofold.llm.common import WORD_SPACE, doc_slices, id_text, scratch_dir
 from twofold.llm.eliasfano import EliasFano
 
 FOLDS = 10
 DISCOUNT = 0.75
 ADD = 0.1
-BEGIN, END = 0, 1  # numbers of a task; BEGIN is also the id 0 of the trie
-FLUSH_TOKENS = 1 << 22
+BEGIN, END = 0, 1  # numbers of a run; BEGIN is also the id 0 of the trie
+#: Bytes of text whose n-grams are counted, and scored, together.
+RUN_BYTES, SCORE_BYTES = 12 << 20, 8 << 20
 SHARD_TOKENS = 1 << 22
 LEAST_SHARDS = 8
 CACHE_WORDS = 1 << 20
@@ -71,15 +72,19 @@ def decoded(code: np.ndarray) -> np.ndarray:
     return 10.0 ** ((code.astype(np.float64) / CODES - 1) * -LOWEST)
 
 
-def planes(x: np.ndarray, width: int = 5) -> bytes:
-    """Little-endian bytes of the numbers, plane by plane; high planes compress."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+def planes(x: np.ndarray) -> bytes:
+    """The numbers' lowest bytes, as many as the largest needs, plane by plane; high planes compress."""
+    x = x.astype(np.uint64)
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return bytes([width]) + len(x).to_bytes(8, "little") + b"".join((x >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(width))
 
 
-def unplaned(raw: bytes, width: int = 5) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T
-    return out.view("<u8").ravel()
+def unplaned(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[1:9], "little")
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(raw[0]):
+        out |= np.frombuffer(raw, dtype=np.uint8, count=n, offset=9 + k * n).astype(np.uint64) << np.uint64(8 * k)
+    return out
 
 
 # files of levels
@@ -168,32 +173,75 @@ class Store:
 # words
 
 
-def word_hash(word: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(word)
-
-
-class Tokens:
-    """Numbers of the words of a task: BEGIN, END, then words as they come; `hashes` has their hashes as two columns."""
-
-    def __init__(self):
-        self.index: dict[bytes, int] = defaultdict(count(2).__next__)
-        self.hashes = np.frombuffer(bytes(16) + word_hash(b""), dtype=">u8").astype(np.uint64).reshape(-1, 2)  # no word is empty
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(all numbers, BEGIN and END of each text included; the lengths with them)."""
-        at = len(self.index)
-        ids, lengths = [], []
-        for text in texts:
-            words = text.lower().split()
-            ids.append(BEGIN)
-            ids.extend(map(self.index.__getitem__, words))
-            ids.append(END)
-            lengths.append(len(words) + 2)
-        new = list(self.index)[at:]
-        if new:
-            raw = np.frombuffer(b"".join(map(word_hash, new)), dtype=">u8").astype(np.uint64).reshape(-1, 2)
-            self.hashes = np.concatenate([self.hashes, raw])
-        return np.array(ids, dtype=np.int64), np.array(lengths, dtype=np.int64)
+#: Words up to so many bytes are hashed together, longer ones one by one.
+SHORT = 64
+SPACES = np.zeros(256, dtype=bool)
+SPACES[list(WORD_SPACE)] = True
+MIX = [np.array(x, dtype=np.uint64) for x in ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xFF51AFD7ED558CCD, 0xA0761D6478BD642F), (0xC4CEB9FE1A85EC53, 0xE7037ED1A0B428DB))]
+END_HASH = np.zeros((1, 2), dtype=np.uint64)  # sorts first
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the words at `start`; `raw` ends in 8 bytes of padding. Eight bytes at a time, the last ones masked."""
+    eight = np.ndarray(shape=(len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    out = []
+    for lane in range(2):
+        h = size.astype(np.uint64) * MIX[0][lane]
+        for at in range(0, min(int(size.max(initial=0)), SHORT), 8):
+            which = np.flatnonzero(size > at) if at else slice(None)
+            x = eight[start[which] + at].astype(np.uint64)
+            rest = 8 - np.minimum(size[which] - at, 8)
+            x &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (rest.astype(np.uint64) << np.uint64(3))
+            x ^= h[which]
+            x = (x ^ (x >> np.uint64(32))) * MIX[1][lane]
+            x = (x ^ (x >> np.uint64(29))) * MIX[2][lane]
+            h[which] = x ^ (x >> np.uint64(32))
+        out.append(h)
+    for i in np.flatnonzero(size > SHORT).tolist():
+        digest = xxhash.xxh3_128_intdigest(raw[start[i] : start[i] + size[i]].tobytes())
+        out[0][i], out[1][i] = digest >> 64, digest & 0xFFFFFFFFFFFFFFFF
+    return out[0], out[1]
+
+
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the different words with END's first, in order; all numbers, BEGIN and END of each text included; the lengths
+    with them). Numbers follow the order of the hashes after BEGIN, so they are in the order of ids."""
+    raw = np.frombuffer(b"\n".join([*texts, b""]).lower() + bytes(8), dtype=np.uint8)
+    n = len(raw) - 8
+    space = SPACES[raw[:n]]
+    edge = np.flatnonzero(np.diff(np.r_[True, space, True].view(np.int8)))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    hi, lo = word_hashes(raw, start, size)
+    kinds, first, which = np.unique(hi, return_index=True, return_inverse=True)
+    hashes = np.stack([kinds, lo[first]], axis=1)
+    if (hashes[which, 1] != lo).any():  # different words share 64 bits
+        by = np.lexsort((lo, hi))
+        new = np.r_[True, (hi[by][1:] != hi[by][:-1]) | (lo[by][1:] != lo[by][:-1])]
+        hashes = np.stack([hi[by][new], lo[by][new]], axis=1)
+        which = np.empty(len(hi), dtype=np.int64)
+        which[by] = np.cumsum(new) - 1
+    ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
+    lengths = np.diff(np.r_[0, np.searchsorted(start, ends)]) + 2
+    last = np.cumsum(lengths)
+    nums = np.full(int(lengths.sum()), END, dtype=np.int64)
+    nums[last - lengths] = BEGIN
+    inner = np.ones(len(nums), dtype=bool)
+    inner[last - 1] = inner[last - lengths] = False
+    nums[inner] = which + 2
+    return np.concatenate([END_HASH, hashes]), nums, lengths
+
+
+def runs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[bytes]]:
+    """Whole texts in runs of about `limit` bytes, over batches."""
+    run, size = [], 0
+    for _, texts in doc_slices(batches, limit):
+        run += texts
+        size += sum(map(len, texts))
+        if size >= limit:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 WORDS_DDL = "shard int, hi binary, lo binary, n binary"
@@ -213,28 +261,22 @@ def hash_range(hi: np.ndarray, shards: int) -> np.ndarray:
 def count_words(shards: int):
     """Counts of a task's words, by hash range."""
 
-    def flush(tokens: Tokens, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        seen = np.flatnonzero(n)
-        hi, lo = tokens.hashes[seen, 0], tokens.hashes[seen, 1]
-        by = np.lexsort((lo, hi))
-        hi, lo, n = hi[by], lo[by], n[seen][by]
+    def flush(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         edges = np.searchsorted(hash_range(hi, shards), np.arange(shards + 1)).tolist()
-        rows = [(s, planes(hi[a:b], 8), lo[a:b].astype("<u8").tobytes(), planes(n[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+        rows = [(s, planes(hi[a:b]), lo[a:b].astype("<u8").tobytes(), planes(n[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), WORDS_SCHEMA.types, strict=True)], schema=WORDS_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, n = Tokens(), np.zeros(0, dtype=np.int64)
-        for _, texts in doc_slices(batches):
-            ids, _ = tokens(texts)
-            now = np.bincount(ids, minlength=len(tokens.hashes))
-            now[: len(n)] += n
-            n = now
-            n[BEGIN] = 0
-            if len(tokens.index) > CACHE_WORDS:
-                yield from flush(tokens, n)
-                tokens, n = Tokens(), np.zeros(0, dtype=np.int64)
-        yield from flush(tokens, n)
+        sums = Sums()
+        for texts in runs(batches, RUN_BYTES):
+            hashes, nums, _ = numbered(texts)
+            sums.add(hashes[:, 0], hashes[:, 1], np.bincount(nums, minlength=len(hashes) + 1)[1:])
+            if sums.size > CACHE_WORDS and len(sums.held) == 1:
+                yield from flush(*sums.settle())
+                sums = Sums()
+        if sums.held:
+            yield from flush(*sums.settle())
 
     return run
 
@@ -269,8 +311,6 @@ class Sums:
 
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
     """Rows sorted by shard, as (shard, its rows one after the other)."""
-    from itertools import groupby
-
     rows = (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
     yield from groupby(rows, key=lambda r: r["shard"])
 
@@ -280,7 +320,7 @@ def build_words(store: Store):
         for shard, rows in by_shard(batches):
             sums = Sums()
             for r in rows:
-                sums.add(unplaned(r["hi"], 8), np.frombuffer(r["lo"], "<u8").astype(np.uint64), unplaned(r["n"]).astype(np.int64))
+                sums.add(unplaned(r["hi"]), np.frombuffer(r["lo"], "<u8").astype(np.uint64), unplaned(r["n"]).astype(np.int64))
             hi, lo, n = sums.settle()
             total = int(n.sum())
             raw = store.put(
@@ -357,14 +397,13 @@ class Words:
             which = np.flatnonzero((of == s) & (ids > 0))
             at = ids[which] - 1 - self.shape.words[s]
             sums = self.level(s)[2]
-            a, b = sums.access(at).astype(np.int64), sums.access(at + 1).astype(np.int64)
+            a, b = (x.astype(np.int64) for x in sums.access_two(at))
             before[which], own[which] = a + self.shape.tokens[s] + self.shape.n_texts, b - a
         return before, own
 
-    def facts(self, hashes: np.ndarray, first: int) -> np.ndarray:
-        """Rows (id, tokens before, own tokens) of the numbers of a task from `first` on."""
-        ids = self.ids(hashes)
-        ids[: max(0, 1 - first)] = 0  # BEGIN
+    def facts(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows (id, tokens before, own tokens) of the numbers of a run: BEGIN, then its words."""
+        ids = np.r_[0, self.ids(hashes)]
         return np.stack([ids, *self.sums(ids)])
 
 
@@ -391,32 +430,19 @@ def count_grams(store: Store, shape: Shape):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(store, shape)
-        tokens, facts, held, size = Tokens(), np.zeros((3, 0), dtype=np.int64), [], 0
-        for _, texts in doc_slices(batches):
-            nums, _ = tokens(texts)
-            facts = np.concatenate([facts, words.facts(tokens.hashes[facts.shape[1] :], facts.shape[1])], axis=1)
-            held.append(nums)
-            size += len(nums)
-            if size >= FLUSH_TOKENS:
-                yield from flush(np.concatenate(held), facts)
-                held, size = [], 0
-                if len(tokens.index) > CACHE_WORDS:
-                    tokens, facts = Tokens(), np.zeros((3, 0), dtype=np.int64)
-                words.store.let_go()
-        if held:
-            yield from flush(np.concatenate(held), facts)
+        for texts in runs(batches, RUN_BYTES):
+            hashes, nums, _ = numbered(texts)
+            yield from flush(nums, words.facts(hashes))
+            words.store.let_go()
 
     def flush(nums: np.ndarray, facts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(facts[0], kind="stable")  # numbers of the run in the order of ids
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        facts, run_ = facts[:, order], place[nums]
-        width = len(order)
-        at = np.flatnonzero(nums != BEGIN)
-        pair, which, n = np.unique(run_[at - 1] * width + run_[at], return_inverse=True, return_counts=True)
-        longer = np.flatnonzero(nums[at - 1] != BEGIN)  # the pair before ends where this one begins
-        triple, m = np.unique(which[longer - 1] * width + run_[at[longer]], return_counts=True)
-        u, v, of, w = pair // width, pair % width, triple // width, triple % width
+        bits = facts.shape[1].bit_length()
+        inner = nums != BEGIN
+        pair, which, n = np.unique(((nums[:-1] << bits) | nums[1:])[inner[1:]], return_inverse=True, return_counts=True)
+        longer = np.flatnonzero((inner[:-1])[inner[1:]])  # the pair before ends where this one begins
+        triple, m = np.unique((which[longer - 1] << bits) | nums[1:][inner[1:]][longer], return_counts=True)
+        low = (1 << bits) - 1
+        u, v, of, w = pair >> bits, pair & low, triple >> bits, triple & low
         pair_range = ranges(shape, facts[:, u], facts[:, v])
         triple_range = ranges(shape, facts[:, u[of]], facts[:, v[of]], facts[:, w])
         bounds = np.arange(shape.n_ranges + 1)
@@ -526,14 +552,14 @@ def train(texts: DataFrame, folds: int = FOLDS, shard_tokens: int = SHARD_TOKENS
     sc = texts.sparkSession.sparkContext
     learn = texts.where(~held_out(folds))
     store = Store.new(texts.sparkSession)
-    shards = max(LEAST_SHARDS, learn.rdd.getNumPartitions() // 4)
+    shards = max(LEAST_SHARDS, learn.rdd.getNumPartitions())
     counted = learn.mapInArrow(count_words(shards), WORDS_DDL).repartition(shards, "shard").sortWithinPartitions("shard")
     found = {r["shard"]: r for r in counted.mapInArrow(build_words(store), REPORT_DDL).collect()}  # two numbers of each range
     sizes = [json.loads(found[s]["facts"]) if s in found else {"n": 0, "total": 0} for s in range(shards)]
     shape = Shape(shards, *(np.r_[0, np.cumsum([x[k] for x in sizes])].astype(np.int64) for k in ("n", "total")))
     store = store.published(sc, {f"words{s}": bytes(r["raw"]) for s, r in found.items()})
     words = Words(store, shape)
-    shape.n_texts = int(words.sums(words.ids(Tokens().hashes[END:]))[1][0])  # as many as ends
+    shape.n_texts = int(words.sums(words.ids(END_HASH))[1][0])  # as many as ends
     shape.n_ranges = max(LEAST_SHARDS, shape.total // shard_tokens)
     grams = learn.mapInArrow(count_grams(store, shape), GRAMS_DDL).repartition(shape.n_ranges, "shard").sortWithinPartitions("shard")
     rows = grams.mapInArrow(build_grams(store, shape), REPORT_DDL).collect()  # a few numbers of each range
@@ -551,27 +577,24 @@ class Grams:
         )
         self.pair_code, self.left_code, self.triple_code = (arrays[f"{x}_code"] for x in ("pair", "left", "triple"))
 
-    def followers(self, u: np.ndarray) -> np.ndarray:
-        at, hit = self.contexts.successor(u)
-        out = np.zeros(len(u), dtype=np.int64)
-        out[hit] = self.pointers.access(at[hit] + 1).astype(np.int64) - self.pointers.access(at[hit]).astype(np.int64)
+    def context(self, u: np.ndarray) -> np.ndarray:
+        """Rows (number, first successor, the one after the last) of words as contexts; no successors where there is none."""
+        number, hit = self.contexts.successor(u)
+        out = np.zeros((3, len(u)), dtype=np.int64)
+        out[0, hit] = number[hit]
+        out[1:, hit] = self.pointers.access_two(number[hit])
         return out
 
-    def pair(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    def pair(self, context: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Places of pairs, -1 where there is none: a successor search between the context's pointers."""
-        out = np.full(len(u), -1, dtype=np.int64)
-        number, hit = self.contexts.successor(u)
-        at = np.flatnonzero(hit)
-        number = number[at]
-        a, b = (self.pointers.access(number + k).astype(np.int64) for k in (0, 1))
-        place, hit = self.pairs.successor(number.astype(np.uint64) * self.size + v[at].astype(np.uint64), a, b)
-        out[at[hit]] = place[hit]
-        return out
+        number, a, b = context
+        place, hit = self.pairs.successor(number.astype(np.uint64) * self.size + v.astype(np.uint64), a, b)
+        return np.where(hit, place, -1)
 
     def triple(self, pair: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Places of triples of the contexts `pair` (the carried one is -1), -1 where there is none."""
         j = pair + 1
-        a, b = (self.pointers3.access(j + k).astype(np.int64) for k in (0, 1))
+        a, b = (x.astype(np.int64) for x in self.pointers3.access_two(j))
         place, hit = self.triples.successor(j.astype(np.uint64) * self.size + w.astype(np.uint64), a, b)
         return np.where(hit, place, -1)
 
@@ -594,27 +617,33 @@ class Trie:
             if int(of[part[0]]) in self.held:
                 yield int(of[part[0]]), part
 
-    def leave(self, facts: np.ndarray) -> np.ndarray:
-        """Weight that each word leaves to the level of words; 1 where nothing follows it."""
+    def contexts(self, facts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows (first range, number, first and last successor there) of words as contexts; the weight that each leaves to the
+        level of words, 1 where nothing follows it)."""
         ids, own = facts[0], facts[2]
-        followers = np.zeros(len(ids), dtype=np.int64)
-        nothing = np.zeros((3, len(ids)), dtype=np.int64)
-        of = ranges(self.shape, facts, nothing)
-        for s, which in self.by_range(of, np.flatnonzero((ids >= 0) & (own > 0))):
-            followers[which] = self.range_(s).followers(ids[which])
+        found = np.zeros((4, len(ids)), dtype=np.int64)
+        found[0] = ranges(self.shape, facts, np.zeros((3, len(ids)), dtype=np.int64))
+        for s, which in self.by_range(found[0], np.flatnonzero((ids >= 0) & (own > 0))):
+            found[1:, which] = self.range_(s).context(ids[which])
+        followers = found[3] - found[2]
         if self.seams.followers:
             split = self.seams.followers
             for i in np.flatnonzero(np.isin(ids, np.fromiter(split, dtype=np.int64, count=len(split)))).tolist():
                 followers[i] = split[int(ids[i])]
-        return np.where(followers > 0, 1 - left(followers, own), 1.0)
+        return found, np.where(followers > 0, 1 - left(followers, own), 1.0)
 
-    def pairs(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For columns of facts: (range, place, own probability, weight left) of pairs; place -1 and 0, 1 where there is none."""
+    def pairs(self, u: np.ndarray, v: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For columns of facts and rows of `contexts`: (range, place, own probability, weight left) of pairs; place -1 and 0, 1 where
+        there is none."""
         of = ranges(self.shape, u, v)
         place, p, rest = np.full(len(of), -1, dtype=np.int64), np.zeros(len(of)), np.ones(len(of))
         for s, which in self.by_range(of, np.flatnonzero((u[0] >= 0) & (v[0] > 0))):
             level = self.range_(s)
-            at = level.pair(u[0][which], v[0][which])
+            known = context[1:, which]
+            far = np.flatnonzero(context[0, which] != s)  # the context goes on in this range
+            if len(far):
+                known[:, far] = level.context(u[0][which[far]])
+            at = level.pair(known, v[0][which])
             hit = at >= 0
             place[which[hit]] = at[hit]
             p[which[hit]], rest[which[hit]] = decoded(level.pair_code[at[hit]]), decoded(level.left_code[at[hit]])
@@ -654,26 +683,23 @@ def scores(docs: DataFrame, folds: int = FOLDS, shard_tokens: int = SHARD_TOKENS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(*model)
-        tokens, facts, leave = Tokens(), np.zeros((3, 0), dtype=np.int64), np.zeros(0)
-        for ids, part in doc_slices(batches):
-            if len(tokens.index) > CACHE_WORDS:
-                tokens, facts, leave = Tokens(), np.zeros((3, 0), dtype=np.int64), np.zeros(0)
-            nums, lengths = tokens(part)
-            new = trie.words.facts(tokens.hashes[facts.shape[1] :], facts.shape[1])
-            facts, leave = np.concatenate([facts, new], axis=1), np.r_[leave, trie.leave(new)]
+        for ids, part in doc_slices(batches, SCORE_BYTES):
+            hashes, nums, lengths = numbered(part)
+            facts = trie.words.facts(hashes)
+            contexts, leave = trie.contexts(facts)
             known = facts[2].copy()
             known[BEGIN] = 0
             base = (known + ADD) / (total + ADD * (size + 1))
-            width = facts.shape[1]
+            bits = facts.shape[1].bit_length()
             at = np.flatnonzero(nums != BEGIN)
-            pair, which = np.unique(nums[at - 1] * width + nums[at], return_inverse=True)
-            u, v = pair // width, pair % width
-            home, place, p, rest = trie.pairs(facts[:, u], facts[:, v])
+            pair, which = np.unique((nums[at - 1] << bits) | nums[at], return_inverse=True)
+            u, v = pair >> bits, pair & (1 << bits) - 1
+            home, place, p, rest = trie.pairs(facts[:, u], facts[:, v], contexts[:, u])
             p2 = p + leave[u] * base[v]
             prob = p2[which]
             longer = np.flatnonzero(nums[at - 1] != BEGIN)
-            triple, back = np.unique(which[longer - 1] * width + nums[at[longer]], return_inverse=True)
-            of, w = triple // width, triple % width
+            triple, back = np.unique((which[longer - 1] << bits) | nums[at[longer]], return_inverse=True)
+            of, w = triple >> bits, triple & (1 << bits) - 1
             own = trie.triples(facts[:, u[of]], facts[:, v[of]], facts[:, w], home[of], place[of])
             prob[longer] = own[back] + rest[of][back] * prob[longer]
             owner = np.repeat(np.arange(len(part)), lengths - 1)
