@@ -50,8 +50,8 @@ DISCOUNT = 0.75
 ADD = 0.1
 BEGIN, END = 0, 1  # numbers of a run; BEGIN is also the id 0 of the trie
 #: Bytes of text whose n-grams are counted, and scored, together.
-RUN_BYTES, SCORE_BYTES = 12 << 20, 8 << 20
-SHARD_TOKENS = 1 << 22
+RUN_BYTES, SCORE_BYTES = 6 << 20, 4 << 20
+SHARD_TOKENS = 1 << 21
 LEAST_SHARDS = 8
 CACHE_WORDS = 1 << 20
 BROADCAST_BYTES = 1 << 30
@@ -284,7 +284,7 @@ def count_words(shards: int):
 class Sums:
     """Rows of sorted keys with counts, added up as they come: held rows are settled whenever they have doubled."""
 
-    def __init__(self, least: int = 1 << 21):
+    def __init__(self, least: int = 1 << 20):
         self.held: list[tuple[np.ndarray, ...]] = []
         self.size, self.least, self.limit = 0, least, least
 
@@ -410,14 +410,21 @@ class Words:
 # pairs and triples
 
 
-def ranges(shape: Shape, u: np.ndarray, v: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
-    """Range of each n-gram of columns (id, tokens before, own tokens): monotone in (u, v, w); a pair lies before its triples."""
+def ranges(shape: Shape, facts: np.ndarray, u: np.ndarray, v: np.ndarray | None = None, w: np.ndarray | None = None) -> np.ndarray:
+    """Range of each n-gram of numbers in rows of `facts`: monotone in (u, v, w); a word lies before its pairs, a pair before its triples."""
     t = float(max(shape.total + shape.n_texts, 1))
-    inner = v[1].astype(np.float64)
-    if w is not None:
-        inner = inner + v[2] * (w[1] / t)
-    at = (u[1] + u[2] * (inner / t)) / t
-    return np.minimum((at * shape.n_ranges).astype(np.int64), shape.n_ranges - 1)
+    before, own = facts[1].astype(np.float64), facts[2].astype(np.float64)
+    at = before[u]
+    if v is not None:
+        inner = before[v]
+        if w is not None:
+            inner += own[v] * (before / t)[w]
+        inner /= t
+        inner *= own[u]
+        at += inner
+    at /= t
+    at *= shape.n_ranges
+    return np.minimum(at.astype(np.int64), shape.n_ranges - 1)
 
 
 GRAMS_DDL = "shard int, u binary, v binary, n binary, found binary, w binary, m binary, carried binary"
@@ -443,10 +450,9 @@ def count_grams(store: Store, shape: Shape):
         triple, m = np.unique((which[longer - 1] << bits) | nums[1:][inner[1:]][longer], return_counts=True)
         low = (1 << bits) - 1
         u, v, of, w = pair >> bits, pair & low, triple >> bits, triple & low
-        pair_range = ranges(shape, facts[:, u], facts[:, v])
-        triple_range = ranges(shape, facts[:, u[of]], facts[:, v[of]], facts[:, w])
         bounds = np.arange(shape.n_ranges + 1)
-        p, t = np.searchsorted(pair_range, bounds).tolist(), np.searchsorted(triple_range, bounds).tolist()
+        p = np.searchsorted(ranges(shape, facts, u, v), bounds).tolist()
+        t = np.searchsorted(ranges(shape, facts, u[of], v[of], w), bounds).tolist()
         ids = facts[0]
         for s in range(shape.n_ranges):
             a, b, x, y = p[s], p[s + 1], t[s], t[s + 1]
@@ -622,7 +628,7 @@ class Trie:
         level of words, 1 where nothing follows it)."""
         ids, own = facts[0], facts[2]
         found = np.zeros((4, len(ids)), dtype=np.int64)
-        found[0] = ranges(self.shape, facts, np.zeros((3, len(ids)), dtype=np.int64))
+        found[0] = ranges(self.shape, facts, np.arange(len(ids)))
         for s, which in self.by_range(found[0], np.flatnonzero((ids >= 0) & (own > 0))):
             found[1:, which] = self.range_(s).context(ids[which])
         followers = found[3] - found[2]
@@ -632,44 +638,45 @@ class Trie:
                 followers[i] = split[int(ids[i])]
         return found, np.where(followers > 0, 1 - left(followers, own), 1.0)
 
-    def pairs(self, u: np.ndarray, v: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For columns of facts and rows of `contexts`: (range, place, own probability, weight left) of pairs; place -1 and 0, 1 where
-        there is none."""
-        of = ranges(self.shape, u, v)
+    def pairs(self, facts: np.ndarray, contexts: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For numbers in rows of `facts` and `contexts`: (range, place, own probability, weight left) of pairs; place -1 and 0, 1
+        where there is none."""
+        of, ids = ranges(self.shape, facts, u, v), facts[0]
         place, p, rest = np.full(len(of), -1, dtype=np.int64), np.zeros(len(of)), np.ones(len(of))
-        for s, which in self.by_range(of, np.flatnonzero((u[0] >= 0) & (v[0] > 0))):
+        for s, which in self.by_range(of, np.flatnonzero((ids[u] >= 0) & (ids[v] > 0))):
             level = self.range_(s)
-            known = context[1:, which]
-            far = np.flatnonzero(context[0, which] != s)  # the context goes on in this range
+            known = contexts[:, u[which]]
+            far = np.flatnonzero(known[0] != s)  # the context goes on in this range
+            known = known[1:]
             if len(far):
-                known[:, far] = level.context(u[0][which[far]])
-            at = level.pair(known, v[0][which])
+                known[:, far] = level.context(ids[u[which[far]]])
+            at = level.pair(known, ids[v[which]])
             hit = at >= 0
             place[which[hit]] = at[hit]
             p[which[hit]], rest[which[hit]] = decoded(level.pair_code[at[hit]]), decoded(level.left_code[at[hit]])
         if self.seams.left:
             size = np.int64(self.shape.ids)
             keys = {a * int(size) + b: x for (a, b), x in self.seams.left.items()}
-            mine = u[0] * size + v[0]
+            mine = ids[u] * size + ids[v]
             for i in np.flatnonzero((place >= 0) & np.isin(mine, np.fromiter(keys, dtype=np.int64, count=len(keys)))).tolist():
                 rest[i] = keys[int(mine[i])]
         return of, place, p, rest
 
-    def triples(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, home: np.ndarray, place: np.ndarray) -> np.ndarray:
+    def triples(self, facts: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, home: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Own probabilities of triples whose pair lies in range `home` at `place`; 0 where there is none."""
-        of = ranges(self.shape, u, v, w)
+        of, ids = ranges(self.shape, facts, u, v, w), facts[0]
         p = np.zeros(len(of))
-        for s, which in self.by_range(of, np.flatnonzero((place >= 0) & (w[0] > 0))):
+        for s, which in self.by_range(of, np.flatnonzero((place >= 0) & (ids[w] > 0))):
             level = self.range_(s)
             at_home = home[which] == s
             pair = np.where(at_home, place[which], -1)
             scale = np.ones(len(which))
             if not at_home.all():
                 a, b, share = self.seams.carried.get(s, (-1, -1, 0.0))
-                ours = (u[0][which] == a) & (v[0][which] == b) & ~at_home
+                ours = (ids[u[which]] == a) & (ids[v[which]] == b) & ~at_home
                 scale[ours] = share
                 which, pair, scale = (x[at_home | ours] for x in (which, pair, scale))
-            at = level.triple(pair, w[0][which])
+            at = level.triple(pair, ids[w[which]])
             hit = at >= 0
             p[which[hit]] = decoded(level.triple_code[at[hit]]) * scale[hit]
         return p
@@ -694,13 +701,13 @@ def scores(docs: DataFrame, folds: int = FOLDS, shard_tokens: int = SHARD_TOKENS
             at = np.flatnonzero(nums != BEGIN)
             pair, which = np.unique((nums[at - 1] << bits) | nums[at], return_inverse=True)
             u, v = pair >> bits, pair & (1 << bits) - 1
-            home, place, p, rest = trie.pairs(facts[:, u], facts[:, v], contexts[:, u])
+            home, place, p, rest = trie.pairs(facts, contexts, u, v)
             p2 = p + leave[u] * base[v]
             prob = p2[which]
             longer = np.flatnonzero(nums[at - 1] != BEGIN)
             triple, back = np.unique((which[longer - 1] << bits) | nums[at[longer]], return_inverse=True)
             of, w = triple >> bits, triple & (1 << bits) - 1
-            own = trie.triples(facts[:, u[of]], facts[:, v[of]], facts[:, w], home[of], place[of])
+            own = trie.triples(facts, u[of], v[of], w, home[of], place[of])
             prob[longer] = own[back] + rest[of][back] * prob[longer]
             owner = np.repeat(np.arange(len(part)), lengths - 1)
             n = len(part)
