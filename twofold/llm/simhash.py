@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twofold.llm.common import doc_slices, id_text, written
+from twofold.llm.common import doc_slices, drop_written, id_text, written
 from twofold.llm.components import components
 
 BITS = 64
@@ -158,13 +158,12 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, segments: int = SEG
 
 
 #: Near copies of the pipeline: BANDS keys of BAND_ROWS min-hashes each. A pair of similarity 0.8 shares no key with a chance of
-#: (1 - 0.8 ** 5) ** 40, about 1 in 8 million; that its equal min-hashes lie ALIKE_SIGMAS deviations under their mean is rarer.
+#: (1 - 0.8 ** 5) ** 40, about 1 in 8 million.
 NEAR = 0.8
 BANDS, BAND_ROWS = 40, 5
-ALIKE_SIGMAS = 7
 GRAM = 5
-#: Groups in the cell of one key beyond which its members are compared by two keys.
-CROWD = 64
+#: Pivots that the members of a crowded cell are compared with, one after the other.
+PIVOTS = 2
 _DRAWN = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
 FLIPS, FACTORS = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
 
@@ -194,93 +193,120 @@ def min_hashes(grams: np.ndarray) -> np.ndarray:
 
 
 def set_signatures(docs: DataFrame, **cols: str) -> DataFrame:
-    """(doc_id, tag, node, bands, alike): for each row a hash of its text, the number of its shingle set, its keys, and a byte of
-    each min-hash."""
+    """(doc_id, tag, node, bands): for each row a hash of its text, the name of its shingle set, and its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in doc_slices(batches):
-            tags, nodes, bands, alike = [], [], [], []
+            tags, nodes, bands = [], [], []
             for text in texts:
                 grams = gram_hashes(text)
-                least = min_hashes(grams)
                 tags.append(hashlib.md5(text, usedforsecurity=False).digest())
                 nodes.append(set_node(grams))
-                rows = least.reshape(BANDS, BAND_ROWS)
+                rows = min_hashes(grams).reshape(BANDS, BAND_ROWS)
                 bands.append(np.array([xxhash.xxh64_intdigest(r.tobytes(), n) for n, r in enumerate(rows)], dtype=np.uint64).view(np.int64))
-                alike.append((least & np.uint64(0xFF)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(tags, pa.binary()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(alike, pa.binary())],
-                ["doc_id", "tag", "node", "bands", "alike"],
+                [pa.array(ids, pa.int64()), pa.array(tags, pa.binary()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "tag", "node", "bands"],
             )
 
-    return id_text(docs, **cols).mapInArrow(run, "doc_id long, tag binary, node binary, bands array<long>, alike binary")
+    return id_text(docs, **cols).mapInArrow(run, "doc_id long, tag binary, node binary, bands array<long>")
 
 
 def whole_sets(texts: DataFrame) -> DataFrame:
-    """(node, grams) of rows (node, text): the shingle hashes of a text that is the node's; others with its id are left out."""
+    """(num, grams) of rows (num, text): the shingle hashes of the texts, once for each number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, part in doc_slices(batches):
-            made = [(n, g) for n, g in ((n, gram_hashes(t)) for n, t in zip(nodes, part, strict=True)) if set_node(g) == n]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in made], pa.binary()), pa.array([g.view(np.int64) for _, g in made], pa.list_(pa.int64()))], ["node", "grams"]
-            )
+        for nums, part in doc_slices(batches):
+            made = [gram_hashes(t).view(np.int64) for t in part]
+            yield pa.RecordBatch.from_arrays([pa.array(nums, pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["num", "grams"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, grams array<long>").dropDuplicates(["node"])
+    return texts.select("num", "text").mapInArrow(run, "num long, grams array<long>").dropDuplicates(["num"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of `least` or more, computed on the whole sets.
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, common) of pairs (a, b), counted on the whole shingle sets."""
+    met = pairs.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return met.select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.size(F.array_intersect("x", "y")).alias("common"))
 
-    Pairs with far fewer equal bytes of min-hashes than that stands for leave before the sets are fetched.
-    """
-    drawn = BANDS * BAND_ROWS
-    enough = drawn * least - ALIKE_SIGMAS * (drawn * least * (1 - least)) ** 0.5
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= enough))
-
-    bytes_of = nodes.select("node", "alike")
-    met = pairs.join(bytes_of.toDF("a", "x"), "a").join(bytes_of.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
-    both = F.size(F.array_intersect("x", "y"))
-    return (
-        met.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        .where(both / (F.size("x") + F.size("y") - both) >= least).select("a", "b")
-    )
+def alike(least: float) -> F.Column:
+    return F.col("common") >= F.lit(least) * (F.col("n_a") + F.col("n_b") - F.col("common"))
+
+
+def rooted(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows (cell, num, ...) with the `root` of the number's component."""
+    return cells.join(components(links, "a", "b").toDF("num", "root"), "num", "left").withColumn("root", F.coalesce("root", "num"))
 
 
 def near_links(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b) of nodes (node, one, bands, alike) that connect all nodes with a similarity of `least` or more that share a key.
+    """(a, b) of nodes (num, one, bands) that connect all nodes with a similarity of `least` or more that share a key.
 
-    The members of a key's cell are compared with its least and its greatest one; the components of these links make one group
-    of a crowd of copies. Then all members of a cell that are still of different groups are compared, whatever their number; of
-    a cell with more than CROWD groups those that share a second key (near copies share none with a chance of 1 in 6 million).
+    The members of a key's cell are compared with a pivot, the member that shares most keys with others (of a crowd of copies, the text
+    they come from); members that are still apart from it with a second one. What is left needs no comparison of all pairs: let
+    i be what a set s shares with a pivot p that it is not alike. A set x alike s has either a shingle outside p in common with s,
+    or at most i of s's shingles; then i >= least / (1 + least) * (|s| + |x|), so x is smaller than i allows. Pairs with such a common
+    shingle are found by it, the others by size. No pair of a cell is lost.
     """
-    keys = nodes.select("node", F.explode("bands").alias("cell"))
-    ends = keys.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    cells = written(keys.join(ends, "cell"), "cells")
-    some = nodes.join(cells.select("node").distinct(), "node").select("node", "one")
+    keys = nodes.select("num", F.explode("bands").alias("cell"))
+    counts = keys.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(keys.join(counts, "cell"), "cells")
+    degree = shared.groupBy("num").agg(F.sum("n").alias("degree"))
+    some = nodes.join(degree, "num").select("num", "one")
     tagged = texts.withColumn("tag", F.unhex(F.md5(F.col("text").cast("binary"))))
     first = tagged["doc_id"].eqNullSafe(some["one"]["doc_id"]) & (tagged["tag"] == some["one"]["tag"])
-    sets = written(whole_sets(some.join(tagged, first).select("node", "text")), "shingle-sets")
-    star = cells.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
-    star = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = written(verified(star, nodes, sets, least), "links")
-    root = components(links, "a", "b")
-    named = cells.select("cell", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = named.groupBy("cell", "root").agg(F.lit(1).alias("one")).groupBy("cell").agg(F.count("*").alias("groups")).where("groups > 1")
-    open_ = written(named.join(groups, "cell"), "open-cells").select("cell", "node", "root", "groups")
-    few, crowd = open_.where(F.col("groups") <= CROWD).select("cell", "node", "root"), open_.where(F.col("groups") > CROWD)
-    second = cells.select(F.col("cell").alias("other"), "node")
-    crowd = crowd.join(second, "node").where("cell < other").select(F.xxhash64("cell", "other").alias("cell"), "node", "root")
-    some_cells = few.unionByName(crowd)
-    left, right = some_cells.toDF("cell", "a", "ra"), some_cells.toDF("cell", "b", "rb")
-    rest = left.join(right, "cell").where("ra < rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    return links.unionByName(verified(rest, nodes, sets, least))
+    sets = written(whole_sets(some.join(tagged, first).select("num", "text")), "shingle-sets")
+    cells = written(shared.join(degree, "num").select("cell", "num", "degree"), "cells")
+    drop_written(shared)
+    best = F.max(F.struct("degree", "num")).alias("p")
+    seen = None  # (num, p, n, n_p, common): what members share with pivots
+    now = cells.withColumn("root", F.col("num"))
+    for k in range(PIVOTS):
+        if k:
+            links = written(seen.where(alike(least)).select("a", "b"), "links")
+            now = written(rooted(cells, links), "rooted")
+            first_root = now.join(pivots, "cell").where(F.col("num") == F.col("pivot")).select("cell", F.col("root").alias("taken"))
+            apart = now.join(first_root, "cell").where("root <> taken")
+            pivots = apart.groupBy("cell").agg(best).select("cell", F.col("p.num").alias("pivot"))
+            roots = now.join(pivots, "cell").where(F.col("num") == F.col("pivot")).select("cell", F.col("root").alias("taken"))
+            met = now.join(pivots, "cell").join(roots, "cell").where("root <> taken")
+        else:
+            pivots = written(cells.groupBy("cell").agg(best).select("cell", F.col("p.num").alias("pivot")), "pivots")
+            first_pivots = pivots
+            met = cells.join(pivots, "cell").where(F.col("num") != F.col("pivot"))
+        found = compared(met.select(F.col("num").alias("a"), F.col("pivot").alias("b")).distinct(), sets)
+        found = written(found, "compared")
+        seen = found if seen is None else seen.unionByName(found)
+        first_seen = found if k == 0 else first_seen
+    links = written(seen.where(alike(least)).select("a", "b"), "links")
+    return links.unionByName(compared(left_pairs(rooted(cells, links), first_pivots, first_seen, sets, least), sets).where(alike(least)).select("a", "b"))
+
+
+def left_pairs(now: DataFrame, pivots: DataFrame, seen: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b), of different roots and one pivot, that may still be alike; see `near_links`."""
+    open_ = now.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
+    member = now.join(open_, "cell").join(pivots, "cell").select(F.col("pivot").alias("p"), "num", "root").distinct()
+    facts = seen.select(F.col("a").alias("num"), F.col("b").alias("p"), F.col("n_a").alias("n"), "common", alike(least).alias("near"))
+    member = written(member.join(facts, ["num", "p"]), "open-members")  # pivots themselves have been compared with all
+    share = least / (1 + least)
+    step = float(np.log(1.05))
+    bucket = lambda n: F.floor(F.log(n) / step)
+    top = F.col("common") / F.lit(share) - F.col("n")  # the most shingles that x may have
+    low, high = bucket(F.greatest(F.col("n") * least, F.lit(1.0))), bucket(F.greatest(top, F.lit(1.0)))
+    lone = member.where("not near").select("p", F.col("num").alias("s"), F.col("root").alias("r"), top.alias("top"), low.alias("low"), high.alias("high"))
+    # sizes from n * least to `top`, which is at most n / least
+    sized = lone.where("low <= high").withColumn("size", F.explode(F.sequence("low", "high")))
+    every = member.select("p", F.col("num").alias("x"), F.col("root").alias("rx"), "n", bucket(F.col("n")).alias("size"))
+    by_size = sized.join(every, ["p", "size"]).where("r <> rx and n <= top + 1e-6").select("s", "x")
+    pivot_sets = sets.toDF("p", "of_p")
+    extra = (
+        member.join(sets, "num").join(pivot_sets, "p")
+        .select("p", "num", "root", "near", F.explode(F.array_except("grams", "of_p")).alias("gram"))
+    )
+    mine = extra.where("not near").select("p", F.col("num").alias("s"), F.col("root").alias("r"), "gram")
+    others = extra.select("p", F.col("num").alias("x"), F.col("root").alias("rx"), "gram")
+    by_gram = mine.join(others, ["p", "gram"]).where("r <> rx").select("s", "x")
+    every_pair = by_size.unionByName(by_gram)
+    return every_pair.select(F.greatest("s", "x").alias("a"), F.least("s", "x").alias("b")).distinct()
 
 
 def first_of_groups(docs: DataFrame, least: float = NEAR, id_col: str = "doc_id", **cols: str) -> DataFrame:
@@ -289,10 +315,9 @@ def first_of_groups(docs: DataFrame, least: float = NEAR, id_col: str = "doc_id"
     row among others of its id; the group's first row is its least (doc_id, tag), a null id last."""
     made = written(set_signatures(docs, id_col=id_col, **cols), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
-    nodes = made.groupBy("node").agg(first.alias("one"), F.first("bands").alias("bands"), F.first("alike").alias("alike"))
+    nodes = made.groupBy("node").agg(first.alias("one"), F.first("bands").alias("bands")).withColumn("num", F.monotonically_increasing_id())
     nodes = written(nodes, "nodes")
-    member = components(near_links(nodes, id_text(docs, id_col=id_col, **cols), least), "a", "b")
-    named = nodes.select("node", "one").join(member, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted(nodes.select("num", "node", "one"), near_links(nodes, id_text(docs, id_col=id_col, **cols), least))
     ids = named.groupBy("root").agg(F.min("one").alias("one"))
     names = named.select("node", "root").join(ids, "root").select("node", F.col("one.doc_id").alias("component_id"), F.col("one.tag").alias("component_tag"))
     return made.select("doc_id", "tag", "node").join(names, "node").select("doc_id", "tag", "component_id", "component_tag")
