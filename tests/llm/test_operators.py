@@ -665,17 +665,40 @@ def test_nearest_examples_are_exact():
     rng = random.Random(6)
     bag = lambda: Counter(f"=w{rng.randrange(60)}" for _ in range(rng.randint(1, 9)))
     rows = [(i, rng.randrange(2), bag()) for i in range(600)]
-    idf = {f"=w{i}": 1.0 + i / 60 for i in range(60)}
-    index = toxicity.Index(rows, {0: 1.0, 1: 1.0}, idf, nearest=7)
-    vectors = {int(f): None for f in index.first}
-    for i, _, x in rows:
-        if i in vectors:
-            vectors[i] = dict(index.vector(x))
+    weight_of = {f"=w{i}": 1.0 + i / 60 for i in range(60)}
+    share = {0: 1.0, 1: 3.0}
+    index = toxicity.Index(rows, share, weight_of, nearest=7)
+    entries = {}
+    for i, y, x in rows:
+        entries.setdefault(index.vector(x), []).append((i, y))
     for _ in range(100):
-        vec = index.vector(bag())
+        own = bag()
+        vec = index.vector(own)
         where, cos = index.search(vec)
-        every = sorted((round(sum(q * v.get(t, 0.0) for t, q in vec), 9) for v in vectors.values()), reverse=True)
-        assert [round(c, 9) for c in cos] == pytest.approx([e for e in every[: len(cos)]], abs=2e-9) and len(cos) == min(7, sum(e > 0 for e in every))
+        every = sorted(((-round(sum(q * dict(v).get(t, 0.0) for t, q in vec), 9), min(es)[0], es) for v, es in entries.items()))
+        every = [x for x in every if x[0] < 0][:7]
+        assert [round(c, 9) for c in cos] == pytest.approx([-c for c, _, _ in every], abs=2e-9)
+        yes = no = 0.0
+        for c, _, es in every:
+            votes = [sum(share[y] for _, y in es if y == k) for k in (0, 1)]
+            no, yes = (s + c**4 * v / max(sum(votes), 1.0) ** 0.5 for s, v in zip((no, yes), votes, strict=True))
+        raw = (yes + toxicity.PRIOR * toxicity.PRIOR_WEIGHT) / (yes + no + toxicity.PRIOR_WEIGHT)
+        assert index.score(own)[0] == pytest.approx(raw, abs=1e-6)
+        if len({round(c, 9) for c in cos}) == len(cos):
+            assert index.first[where].tolist() == [i for _, i, _ in every]
+
+
+def test_scores_are_calibrated(spark):
+    """Held-out labels by bins of the score: where a bin has many rows, its share of toxic ones is near its mean score."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    both = toxicity.toxicity(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels).join(labels, "doc_id").where("held_out").select("score", "toxic", "predicted").collect()
+    gap = 0.0
+    for k in range(5):
+        mine = [r for r in both if k / 5 <= r["score"] < (k + 1) / 5 + (k == 4)]
+        if mine:
+            gap += abs(sum(r["score"] for r in mine) - sum(r["toxic"] for r in mine))
+    assert gap / len(both) < 0.08
+    assert sum(r["toxic"] == r["predicted"] for r in both) / len(both) > 0.93
 
 
 def test_mixing(spark, docs, nothing):

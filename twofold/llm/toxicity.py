@@ -1,16 +1,18 @@
 """Toxicity by the nearest labelled examples (operator 9).
 
-Terms are words and word beginnings. A bounded, documented sample of the labelled rows (up to PER_CLASS
-rows of each class, smallest id hashes first) is the example set; its terms that go with the label in
-either direction more than chance allows are the vocabulary, weighted by TF-IDF. Examples with the same
-vector are one entry with class counts. Entries lie in blocks, and the index holds each term's largest
-weight in each block; a query reads the blocks of the largest sums of bounds, and then those others whose
-sum can still bring an entry into the nearest K. The similarities are exact cosines; votes weighted by similarity and by the
-classes' share among all labelled rows, with a prior, give the score; the nearest examples are the evidence.
-
-Defined results: a null or empty text, and a text without vocabulary terms, is voted on by the examples
-without terms; ties in similarity go to the entry with the smaller first example; repeated rows score
-alike; without labelled rows all scores are PRIOR; a null label isn't an example; texts are read whole.
+Terms are words without punctuation around them. A bounded, documented sample of the labelled rows (up to PER_CLASS rows of each class,
+smallest id hashes first) is the example set; the index holds all its terms. A term weighs (1 + log tf) * idf, with document frequencies
+counted over all documents, times a factor of how far it goes with the label, LEAST_FACTOR at least. Examples with the same vector
+are one entry with class counts. Entries lie in blocks, and the index holds each term's largest weight in each
+block; a query reads the blocks of the largest sums of bounds, and then those others whose sum can still bring an entry into the
+nearest K. The similarities are exact cosines; votes weighted by similarity and by the classes' share among all labelled rows,
+with a prior, give a raw score, and a logistic curve fitted to the examples' own scores, each without its own vote, calibrates it.
+The nearest examples are the evidence.
+
+Defined results: a null or empty text, and a text that shares no term with an example, takes the vote of the
+prior; ties in similarity go to the entry with the smaller first example; repeated rows score
+alike; without labelled rows all scores are PRIOR; a null label isn't an example; texts are read whole, however long; an empty
+table gives an empty result; other columns are not read and may have any names.
 """
 
 from __future__ import annotations
@@ -26,14 +28,14 @@ from pyspark.sql import functions as F
 
 from twofold.llm.common import doc_slices, drop_written, id_text, written
 
-#: Bounds of the example set and of its vocabulary; parameters of `toxicity`.
-PER_CLASS = 4000
-TERMS = 1024
+#: Bound of the example set; a parameter of `toxicity`.
+PER_CLASS = 800
 NEAREST = 12
 BLOCK = 64
 FIRST_BLOCKS = 4
-LEAST_SHARE = 4.0
-STEM = (4, 5, 6)
+#: Deviations at which a term's share in the classes is beyond chance, and the factor of terms that say nothing of the label.
+LEAST_SHARE, LEAST_FACTOR = 4.0, 0.05
+STEM = ()
 PRIOR = 0.1
 PRIOR_WEIGHT = 0.5
 CACHE_WORDS = 1 << 19
@@ -41,7 +43,7 @@ EDGES = b".,;:!?\"'()[]{}*#|<>&%$-"
 
 
 def word_terms(word: bytes) -> list[str]:
-    """The word without punctuation around it, and its beginnings."""
+    """The word without punctuation around it, and its beginnings of the lengths STEM."""
     text = word.decode("utf-8", "ignore").strip(EDGES.decode()).lower()
     if not text:
         return []
@@ -53,22 +55,22 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> F.Column:
 
 
 class Index:
-    """Block-max inverted index over the distinct example vectors."""
+    """Block-max inverted index over the distinct example vectors; `weight_of` has each term's weight."""
 
-    def __init__(self, rows: list[tuple[int, int, Counter]], class_weight: dict[int, float], idf: dict[str, float], nearest: int = NEAREST):
-        self.nearest, self.class_weight, self.idf = nearest, class_weight, idf
+    def __init__(self, rows: list[tuple[int, int, dict]], class_weight: dict[int, float], weight_of: dict[str, float], nearest: int = NEAREST):
+        self.nearest, self.class_weight, self.weight_of = nearest, class_weight, weight_of
+        self.curve = (1.0, 0.0)
         entries: dict[tuple, list] = {}
         for doc_id, y, bag in rows:
             vec = self.vector(bag)
-            entry = entries.setdefault(vec, [doc_id, 0, 0])
-            entry[0] = min(entry[0], doc_id)
-            entry[1 + y] += 1
-        empty = entries.pop((), [None, 0, 0])
-        self.empty_votes = empty[1] * class_weight.get(0, 1.0), empty[2] * class_weight.get(1, 1.0)
-        names = sorted(self.idf)
-        self.column = {t: j for j, t in enumerate(names)}
+            if vec:
+                entry = entries.setdefault(vec, [doc_id, 0, 0])
+                entry[0] = min(entry[0], doc_id)
+                entry[1 + y] += 1
+        self.column = {t: j for j, t in enumerate(sorted(weight_of))}
         # entries with one main term lie together, so that a block's bounds are close
         known = sorted(entries.items(), key=lambda e: (max((x, t) for t, x in e[0])[1], e[1][0]))
+        self.place = {vec: n for n, (vec, _) in enumerate(known)}
         self.first = np.array([e[1][0] for e in known], dtype=np.int64)
         self.votes = np.array([[e[1][1] * class_weight.get(0, 1.0), e[1][2] * class_weight.get(1, 1.0)] for e in known]).reshape(-1, 2)
         flat = [(self.column[t], n, x) for n, (vec, _) in enumerate(known) for t, x in vec]
@@ -76,59 +78,86 @@ class Index:
         by = np.lexsort((entry, term))
         term, self.entry, self.weight = term[by], entry[by], weight[by]
         self.n_blocks = -(-len(known) // BLOCK)
-        cell = term * self.n_blocks + self.entry // BLOCK
-        # postings of a term in a block lie from start[term, block] to start[term, block + 1]
-        edges = np.searchsorted(cell, np.arange(len(names) * self.n_blocks + 1))
-        self.start, self.end = edges[:-1].reshape(len(names), self.n_blocks), edges[1:].reshape(len(names), self.n_blocks)
-        self.bound = np.zeros(len(names) * self.n_blocks)
-        np.maximum.at(self.bound, cell, self.weight)
-        self.bound = self.bound.reshape(len(names), self.n_blocks)
-        self.memo: dict[tuple, tuple] = {}
-
-    def vector(self, bag: Counter) -> tuple[tuple[str, float], ...]:
-        """Normalised TF-IDF of the vocabulary terms."""
-        raw = [(t, (1.0 + math.log(n)) * self.idf[t]) for t, n in sorted(bag.items()) if t in self.idf]
+        # the postings of a term in a block are a cell; `cells` is where a term's cells begin
+        cell, self.start = np.unique(term * max(self.n_blocks, 1) + self.entry // BLOCK, return_index=True)
+        self.end = np.r_[self.start[1:], len(term)]
+        self.block = cell % max(self.n_blocks, 1)
+        self.bound = np.maximum.reduceat(self.weight, self.start) if len(cell) else np.zeros(0)
+        self.cells = np.searchsorted(cell // max(self.n_blocks, 1), np.arange(len(self.column) + 1))
+
+    def vector(self, bag: dict[str, int]) -> tuple[tuple[str, float], ...]:
+        """Normalised weights of the index's terms."""
+        raw = [(t, (1.0 + math.log(n)) * self.weight_of[t]) for t, n in sorted(bag.items()) if t in self.weight_of]
         norm = math.sqrt(sum(x * x for _, x in raw))
         return tuple((t, round(x / norm, 9)) for t, x in raw)
 
-    def cosines(self, cols: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines of the entries of some blocks, 0 for all others."""
-        start = self.start[cols][:, blocks].ravel()
-        sizes = self.end[cols][:, blocks].ravel() - start
+    def cosines(self, cells: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Sums over the postings of some cells: cosines of their blocks' entries, 0 for others."""
+        start, sizes = self.start[cells], self.end[cells] - self.start[cells]
         at = np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        return np.bincount(self.entry[at], self.weight[at] * np.repeat(np.repeat(q, len(blocks)), sizes), minlength=len(self.first))
+        return np.bincount(self.entry[at], self.weight[at] * np.repeat(q, sizes), minlength=len(self.first))
 
-    def search(self, vec: tuple[tuple[str, float], ...]) -> tuple[list[int], list[float]]:
+    def search(self, vec: tuple[tuple[str, float], ...]) -> tuple[np.ndarray, np.ndarray]:
         """Entries with the K largest cosines, exact: the blocks of the largest bounds give a K-th cosine, and then all blocks
         are read whose bound reaches it."""
         cols, q = np.array([self.column[t] for t, _ in vec]), np.array([x for _, x in vec])
-        bounds = q @ self.bound[cols]
-        first = np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]
-        some = self.cosines(cols, q, first)
-        least = float(np.partition(some, -self.nearest)[-self.nearest]) if len(some) >= self.nearest else 0.0
-        blocks = np.flatnonzero((bounds > 0) & (bounds >= least - 1e-9))
-        cos = self.cosines(cols, q, blocks)
+        sizes = self.cells[cols + 1] - self.cells[cols]
+        cells = np.repeat(self.cells[cols] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        q = np.repeat(q, sizes)
+        block = self.block[cells]
+        bounds = np.bincount(block, q * self.bound[cells], minlength=self.n_blocks)
+        live = np.zeros(self.n_blocks, dtype=bool)
+        live[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
+        mine = live[block]
+        cos = self.cosines(cells[mine], q[mine])
+        least = float(np.partition(cos, -self.nearest)[-self.nearest]) if len(cos) >= self.nearest else 0.0
+        rest = (bounds > 0) & (bounds >= least - 1e-9) & ~live
+        if rest.any():
+            mine = rest[block]
+            cos += self.cosines(cells[mine], q[mine])
         at = np.flatnonzero((cos > 0) & (cos >= least - 1e-9))
-        by = at[np.lexsort((self.first[at], -np.round(cos[at], 9)))[: self.nearest]]
-        return by.tolist(), cos[by].tolist()
+        at = at[np.lexsort((self.first[at], -np.round(cos[at], 9)))[: self.nearest]]
+        return at, cos[at]
 
-    def score(self, bag: Counter) -> tuple[float, list[int], list[float]]:
+    def raw(self, vec: tuple, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        """(share of the votes for toxic, entries, cosines); `without` is the class of an example of this vector that doesn't vote."""
+        where, cos = self.search(vec) if vec and len(self.first) else (np.zeros(0, dtype=np.int64), np.zeros(0))
+        votes = self.votes[where]
+        if without is not None and vec:
+            mine = where == self.place[vec]
+            votes = votes.copy()
+            votes[mine, without] -= self.class_weight.get(without, 1.0)
+        no, yes = (cos[:, None] ** 4 * votes / votes.sum(1, keepdims=True).clip(1.0) ** 0.5).sum(0) if len(where) else (0.0, 0.0)
+        return float((max(yes, 0.0) + PRIOR * PRIOR_WEIGHT) / (max(yes, 0.0) + max(no, 0.0) + PRIOR_WEIGHT)), where, cos
+
+    def score(self, bag: dict[str, int]) -> tuple[float, list[int], list[float]]:
         """(score, first examples, cosines)."""
-        vec = self.vector(bag)
-        hit = self.memo.get(vec)
-        if hit is None:
-            where, cos = self.search(vec) if vec and len(self.first) else ([], [])
-            if where:
-                w = np.array(cos)[:, None] ** 4 * self.votes[where] / self.votes[where].sum(1, keepdims=True).clip(1.0) ** 0.5
-                no, yes = w.sum(0)
-            else:
-                no, yes = self.empty_votes
-            score = float((yes + PRIOR * PRIOR_WEIGHT) / (yes + no + PRIOR_WEIGHT))
-            hit = min(max(score, 0.0), 1.0), self.first[where].tolist() if where else [], [float(c) for c in cos]
-            if len(self.memo) > 1 << 16:
-                self.memo.clear()
-            self.memo[vec] = hit
-        return hit
+        share, where, cos = self.raw(self.vector(bag))
+        return calibrated(share, self.curve), self.first[where].tolist(), cos.tolist()
+
+
+def logit(p: np.ndarray | float):
+    return np.log(p) - np.log1p(-np.asarray(p))
+
+
+def calibrated(share: float, curve: tuple[float, float]) -> float:
+    a, b = curve
+    return float(1 / (1 + np.exp(-np.clip(a * logit(min(max(share, 1e-9), 1 - 1e-9)) + b, -30, 30))))
+
+
+def fitted_curve(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and shift of the logistic curve of the labels over the shares' logits, by Newton steps with a weak pull to (1, 0)."""
+    x, theta = np.stack([logit(np.clip(shares, 1e-9, 1 - 1e-9)), np.ones(len(shares))]), np.array([1.0, 0.0])
+    if len(set(labels.tolist())) < 2:
+        return 1.0, 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(theta @ x, -30, 30)))
+        slope = x @ (weights * (p - labels)) + (theta - (1.0, 0.0))
+        step = np.linalg.solve((x * (weights * p * (1 - p))) @ x.T + np.eye(2), slope)
+        theta -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(float(theta[0]), 0.05), float(theta[1])
 
 
 def term_bags(texts: list[bytes], known: dict[bytes, list[str]], keep=None) -> list[Counter]:
@@ -149,11 +178,9 @@ def term_bags(texts: list[bytes], known: dict[bytes, list[str]], keep=None) -> l
     return out
 
 
-def examples(
-    docs: DataFrame, labels: DataFrame, per_class: int, terms: int, folds: int
-) -> tuple[list[tuple[int, int, Counter]], dict[int, float], dict[str, float]]:
-    """The bounded example set, what one example of a class stands for among all labelled training rows, and the IDF of the
-    vocabulary's terms."""
+def examples(docs: DataFrame, labels: DataFrame, per_class: int, folds: int) -> tuple[list[tuple[int, int, dict]], dict[int, float], dict[str, float]]:
+    """The bounded example set, what one example of a class stands for among all labelled training rows, and the weight of
+    the examples' terms."""
     labelled = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
         .where("doc_id is not null and y in (0, 1)").where(~held_out(folds=folds))
@@ -180,51 +207,79 @@ def examples(
                 at += len(ids)
 
     one_each = written(sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, terms array<string>, n array<int>"), "examples")
-    n1, n0 = (F.sum(F.when(F.col("y") == y, 1).otherwise(0)) for y in (1, 0))
-    rows_by_class = one_each.agg(F.coalesce(n1, F.lit(0)).alias("n1"), F.coalesce(n0, F.lit(0)).alias("n0")).first()
-    p = (F.col("a") + 0.1) / (rows_by_class["n1"] + 0.2)
-    q = (F.col("b") + 0.1) / (rows_by_class["n0"] + 0.2)
-    spread = F.abs(F.ln(p / q)) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    chosen = (
-        one_each.select("y", F.explode("terms").alias("term")).groupBy("term")
-        .agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-        .where("a + b >= 3").withColumn("spread", spread)
-        .where((F.col("spread") >= LEAST_SHARE) | ((F.col("b") == 0) & (F.col("a") >= 5)))
-        .orderBy(F.desc("spread"), "term").limit(terms).collect()
-    )
-    total = rows_by_class["n1"] + rows_by_class["n0"]
-    idf = {r["term"]: math.log((total + 1) / (r["a"] + r["b"] + 1)) + 1.0 for r in chosen}
+    rows = one_each.collect()  # terms of 2 * per_class rows
+    drop_written(one_each)
+    # of rows that share an id the last one in order
+    found = {r["doc_id"]: (r["doc_id"], r["y"], dict(zip(r["terms"], r["n"], strict=True))) for r in sorted(rows, key=lambda r: (r["doc_id"], sorted(r["terms"])))}
+    sizes = Counter(y for _, y, _ in found.values())
+    in_class = [Counter(t for _, y, bag in found.values() if y == k for t in bag) for k in (0, 1)]
+    df, n_docs = frequencies(docs, sorted(in_class[0] | in_class[1]))
+    weight_of = {t: (math.log((n_docs + 1) / (n + 1)) + 1.0) * factor(in_class[1][t], in_class[0][t], sizes[1], sizes[0]) for t, n in df.items()}
+    return [found[i] for i in sorted(found)], {y: totals.get(y, 0) / sizes[y] for y in sizes}, weight_of
+
 
-    def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def factor(a: int, b: int, n1: int, n0: int) -> float:
+    """How far a term of `a` of n1 toxic and `b` of n0 clean examples goes with the label: from LEAST_FACTOR to 1."""
+    if a + b < 3:
+        return LEAST_FACTOR
+    odds = abs(math.log((a + 0.1) / (n1 + 0.2)) - math.log((b + 0.1) / (n0 + 0.2)))
+    deviations = odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    if not b and a >= 5:
+        deviations = LEAST_SHARE
+    return max(LEAST_FACTOR, min(1.0, (deviations / LEAST_SHARE) ** 4))
+
+
+def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
+    """(in how many of all documents each term of the examples is, documents)."""
+    shared = docs.sparkSession.sparkContext.broadcast({t: j for j, t in enumerate(vocabulary)})  # terms of the bounded example set
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column, known, n, total = shared.value, {}, Counter(), 0
+        for _, texts in doc_slices(batches):
+            total += len(texts)
+            for bag in term_bags(texts, known, column):
+                n.update(bag.keys())
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *(column[t] for t in n)], pa.int32()), pa.array([total, *n.values()], pa.int64())], ["term", "n"])
+
+    counts = {r["term"]: r["n"] for r in docs.select("doc_id", "text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    shared.unpersist()
+    return {t: counts.get(j, 0) for j, t in enumerate(vocabulary)}, counts.get(-1, 0)
+
+
+def calibrate(spark, index: Index, rows: list[tuple[int, int, dict]]) -> tuple[float, float]:
+    """The curve of the examples' scores, each without its own vote; searched in tasks."""
+    if not rows:
+        return 1.0, 0.0
+    shared = spark.sparkContext.broadcast((index, rows))
+    parts = min(len(rows), 4 * spark.sparkContext.defaultParallelism)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, rows = shared.value
         for batch in batches:
-            names, counts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            kept = [[(t, n) for t, n in zip(ts, ns, strict=True) if t in idf] for ts, ns in zip(names, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([[t for t, _ in k] for k in kept], pa.list_(pa.string())), pa.array([[n for _, n in k] for k in kept], pa.list_(pa.int32()))],
-                ["doc_id", "y", "terms", "n"],
-            )
+            at = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.raw(index.vector(rows[i][2]), rows[i][1])[0] for i in at], pa.float64())], ["id", "share"])
 
-    rows = one_each.mapInArrow(slim, "doc_id long, y int, terms array<string>, n array<int>").collect()  # vocabulary terms of 2 * per_class rows
-    found = {r["doc_id"]: (r["doc_id"], r["y"], Counter(dict(zip(r["terms"], r["n"], strict=True)))) for r in sorted(rows, key=lambda r: (r["doc_id"], r["terms"]))}
-    sizes = Counter(y for _, y, _ in found.values())
-    drop_written(one_each)
-    return [found[i] for i in sorted(found)], {y: totals.get(y, 0) / sizes[y] for y in sizes}, idf
+    shares = {r["id"]: r["share"] for r in spark.range(0, len(rows), 1, parts).mapInArrow(run, "id long, share double").collect()}
+    shared.unpersist()
+    labels = np.array([y for _, y, _ in rows], dtype=np.float64)
+    weights = np.array([index.class_weight.get(y, 1.0) for _, y, _ in rows])
+    return fitted_curve(np.array([shares[i] for i in range(len(rows))]), labels, weights / weights.mean())
 
 
-def toxicity(
-    docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: int = TERMS, nearest: int = NEAREST, folds: int = 5, **cols: str
-) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, nearest: int = NEAREST, folds: int = 5, **cols: str) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, similarity) of every row of `docs`."""
     texts = id_text(docs, **cols)
-    rows, weight, idf = examples(texts, labels, per_class, terms, folds)
+    rows, weight, weight_of = examples(texts, labels, per_class, folds)
     smallest = min(weight.values(), default=1.0)
-    weight = {y: w / smallest for y, w in weight.items()}
-    shared = texts.sparkSession.sparkContext.broadcast(Index(rows, weight, idf, nearest))  # bounded by per_class and terms
+    index = Index(rows, {y: w / smallest for y, w in weight.items()}, weight_of, nearest)
+    index.curve = calibrate(texts.sparkSession, index, rows)
+    index.place = {}  # only the calibration needs it
+    shared = texts.sparkSession.sparkContext.broadcast(index)  # bounded by per_class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known = shared.value, {}
         for ids, part in doc_slices(batches):
-            got = [index.score(bag) for bag in term_bags(part, known, index.idf)]
+            got = [index.score(bag) for bag in term_bags(part, known, index.weight_of)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([s for s, _, _ in got], pa.float64()), pa.array([e for _, e, _ in got], pa.list_(pa.int64())), pa.array([c for _, _, c in got], pa.list_(pa.float64()))],
                 ["doc_id", "score", "evidence", "similarity"],
