@@ -674,7 +674,7 @@ def test_nearest_examples_are_exact():
     for _ in range(100):
         own = bag()
         vec = index.vector(own)
-        where, cos = index.search(vec)
+        where, cos = index.search(*index.arrays(vec))
         every = sorted(((-round(sum(q * dict(v).get(t, 0.0) for t, q in vec), 9), min(es)[0], es) for v, es in entries.items()))
         every = [x for x in every if x[0] < 0][:7]
         assert [round(c, 9) for c in cos] == pytest.approx([-c for c, _, _ in every], abs=2e-9)
@@ -683,7 +683,7 @@ def test_nearest_examples_are_exact():
             votes = [sum(share[y] for _, y in es if y == k) for k in (0, 1)]
             no, yes = (s + c**4 * v / max(sum(votes), 1.0) ** 0.5 for s, v in zip((no, yes), votes, strict=True))
         raw = (yes + toxicity.PRIOR * toxicity.PRIOR_WEIGHT) / (yes + no + toxicity.PRIOR_WEIGHT)
-        assert index.score(own)[0] == pytest.approx(raw, abs=1e-6)
+        assert index.score(*index.arrays(own))[0] == pytest.approx(raw, abs=1e-6)
         if len({round(c, 9) for c in cos}) == len(cos):
             assert index.first[where].tolist() == [i for _, i, _ in every]
 

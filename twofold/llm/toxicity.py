@@ -35,19 +35,38 @@ BLOCK = 64
 FIRST_BLOCKS = 4
 #: Deviations at which a term's share in the classes is beyond chance, and the factor of terms that say nothing of the label.
 LEAST_SHARE, LEAST_FACTOR = 4.0, 0.05
-STEM = ()
 PRIOR = 0.1
 PRIOR_WEIGHT = 0.5
 CACHE_WORDS = 1 << 19
-EDGES = b".,;:!?\"'()[]{}*#|<>&%$-"
+EDGES = ".,;:!?\"'()[]{}*#|<>&%$-"
 
 
-def word_terms(word: bytes) -> list[str]:
-    """The word without punctuation around it, and its beginnings of the lengths STEM."""
-    text = word.decode("utf-8", "ignore").strip(EDGES.decode()).lower()
-    if not text:
-        return []
-    return ["=" + text] + ["^" + text[:n] for n in STEM if len(text) > n]
+def term_of(word: bytes) -> str:
+    """The word in lower case without punctuation around it; may be empty."""
+    return word.decode("utf-8", "ignore").strip(EDGES).lower()
+
+
+class Columns(dict):
+    """Column of each word as it comes, -1 for words that aren't terms of the index; emptied when it has grown large."""
+
+    def __init__(self, column: dict[str, int]):
+        super().__init__()
+        self.column = column
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = self.column.get(term_of(word), -1)
+        return at
+
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(columns in order, their counts) of a whole text."""
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        bag = Counter(text.split())
+        cols = np.fromiter(map(self.__getitem__, bag), dtype=np.int64, count=len(bag))
+        n = np.fromiter(bag.values(), dtype=np.int64, count=len(bag))
+        cols, which = np.unique(cols, return_inverse=True)
+        n = np.bincount(which, n, minlength=len(cols))
+        return (cols[1:], n[1:]) if len(cols) and cols[0] < 0 else (cols, n)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> F.Column:
@@ -58,8 +77,11 @@ class Index:
     """Block-max inverted index over the distinct example vectors; `weight_of` has each term's weight."""
 
     def __init__(self, rows: list[tuple[int, int, dict]], class_weight: dict[int, float], weight_of: dict[str, float], nearest: int = NEAREST):
-        self.nearest, self.class_weight, self.weight_of = nearest, class_weight, weight_of
+        self.nearest, self.class_weight = nearest, class_weight
         self.curve = (1.0, 0.0)
+        self.terms = sorted(weight_of)
+        self.column = {t: j for j, t in enumerate(self.terms)}
+        self.scale = np.array([weight_of[t] for t in self.terms])
         entries: dict[tuple, list] = {}
         for doc_id, y, bag in rows:
             vec = self.vector(bag)
@@ -67,7 +89,6 @@ class Index:
                 entry = entries.setdefault(vec, [doc_id, 0, 0])
                 entry[0] = min(entry[0], doc_id)
                 entry[1 + y] += 1
-        self.column = {t: j for j, t in enumerate(sorted(weight_of))}
         # entries with one main term lie together, so that a block's bounds are close
         known = sorted(entries.items(), key=lambda e: (max((x, t) for t, x in e[0])[1], e[1][0]))
         self.place = {vec: n for n, (vec, _) in enumerate(known)}
@@ -87,9 +108,17 @@ class Index:
 
     def vector(self, bag: dict[str, int]) -> tuple[tuple[str, float], ...]:
         """Normalised weights of the index's terms."""
-        raw = [(t, (1.0 + math.log(n)) * self.weight_of[t]) for t, n in sorted(bag.items()) if t in self.weight_of]
-        norm = math.sqrt(sum(x * x for _, x in raw))
-        return tuple((t, round(x / norm, 9)) for t, x in raw)
+        cols, x = self.weights(*self.arrays(bag))
+        return tuple((self.terms[c], v) for c, v in zip(cols.tolist(), x.tolist(), strict=True))
+
+    def arrays(self, bag: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        """(columns in order, values) of the index's terms."""
+        pairs = sorted((self.column[t], n) for t, n in dict(bag).items() if t in self.column)
+        return np.array([c for c, _ in pairs], dtype=np.int64), np.array([n for _, n in pairs], dtype=np.float64)
+
+    def weights(self, cols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = (1.0 + np.log(n)) * self.scale[cols]
+        return cols, np.round(x / max(math.sqrt(float(x @ x)), 1e-300), 9)
 
     def cosines(self, cells: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Sums over the postings of some cells: cosines of their blocks' entries, 0 for others."""
@@ -97,10 +126,9 @@ class Index:
         at = np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         return np.bincount(self.entry[at], self.weight[at] * np.repeat(q, sizes), minlength=len(self.first))
 
-    def search(self, vec: tuple[tuple[str, float], ...]) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, cols: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entries with the K largest cosines, exact: the blocks of the largest bounds give a K-th cosine, and then all blocks
         are read whose bound reaches it."""
-        cols, q = np.array([self.column[t] for t, _ in vec]), np.array([x for _, x in vec])
         sizes = self.cells[cols + 1] - self.cells[cols]
         cells = np.repeat(self.cells[cols] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         q = np.repeat(q, sizes)
@@ -119,20 +147,21 @@ class Index:
         at = at[np.lexsort((self.first[at], -np.round(cos[at], 9)))[: self.nearest]]
         return at, cos[at]
 
-    def raw(self, vec: tuple, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        """(share of the votes for toxic, entries, cosines); `without` is the class of an example of this vector that doesn't vote."""
-        where, cos = self.search(vec) if vec and len(self.first) else (np.zeros(0, dtype=np.int64), np.zeros(0))
+    def raw(self, cols: np.ndarray, q: np.ndarray, entry: int = -1, without: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
+        """(share of the votes for toxic, entries, cosines); an example of class `without` in `entry` doesn't vote."""
+        where, cos = self.search(cols, q) if len(cols) and len(self.first) else (np.zeros(0, dtype=np.int64), np.zeros(0))
         votes = self.votes[where]
-        if without is not None and vec:
-            mine = where == self.place[vec]
-            votes = votes.copy()
-            votes[mine, without] -= self.class_weight.get(without, 1.0)
+        votes[where == entry, without] -= self.class_weight.get(without, 1.0)
         no, yes = (cos[:, None] ** 4 * votes / votes.sum(1, keepdims=True).clip(1.0) ** 0.5).sum(0) if len(where) else (0.0, 0.0)
         return float((max(yes, 0.0) + PRIOR * PRIOR_WEIGHT) / (max(yes, 0.0) + max(no, 0.0) + PRIOR_WEIGHT)), where, cos
 
-    def score(self, bag: dict[str, int]) -> tuple[float, list[int], list[float]]:
-        """(score, first examples, cosines)."""
-        share, where, cos = self.raw(self.vector(bag))
+    def left_out(self, bag: dict[str, int], y: int) -> float:
+        """The share of the votes for an example without its own."""
+        return self.raw(*self.weights(*self.arrays(bag)), self.place.get(self.vector(bag), -1), y)[0]
+
+    def score(self, cols: np.ndarray, n: np.ndarray) -> tuple[float, list[int], list[float]]:
+        """(score, first examples, cosines) of a text's columns and counts."""
+        share, where, cos = self.raw(*self.weights(cols, n))
         return calibrated(share, self.curve), self.first[where].tolist(), cos.tolist()
 
 
@@ -160,22 +189,13 @@ def fitted_curve(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray, ro
     return max(float(theta[0]), 0.05), float(theta[1])
 
 
-def term_bags(texts: list[bytes], known: dict[bytes, list[str]], keep=None) -> list[Counter]:
-    """Term counts of whole texts; `keep` leaves only vocabulary terms."""
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    out = []
-    for text in texts:
-        bag: Counter = Counter()
-        for word, n in Counter(text.split()).items():
-            terms = known.get(word)
-            if terms is None:
-                terms = word_terms(word)
-                known[word] = terms = terms if keep is None else [t for t in terms if t in keep]
-            for t in terms:
-                bag[t] += n
-        out.append(bag)
-    return out
+def term_bag(text: bytes) -> Counter:
+    """Term counts of a whole text."""
+    bag: Counter = Counter()
+    for word, n in Counter(text.split()).items():
+        bag[term_of(word)] += n
+    del bag[""]
+    return bag
 
 
 def examples(docs: DataFrame, labels: DataFrame, per_class: int, folds: int) -> tuple[list[tuple[int, int, dict]], dict[int, float], dict[str, float]]:
@@ -196,10 +216,9 @@ def examples(docs: DataFrame, labels: DataFrame, per_class: int, folds: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[bytes, list[str]] = {}
             ys, at = batch.column(2).to_pylist(), 0
             for ids, texts in doc_slices(iter([batch])):
-                bags = term_bags(texts, known)
+                bags = [term_bag(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(ys[at : at + len(ids)], pa.int32()), pa.array([list(b) for b in bags], pa.list_(pa.string())), pa.array([list(b.values()) for b in bags], pa.list_(pa.int32()))],
                     ["doc_id", "y", "terms", "n"],
@@ -234,12 +253,13 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int],
     shared = docs.sparkSession.sparkContext.broadcast({t: j for j, t in enumerate(vocabulary)})  # terms of the bounded example set
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column, known, n, total = shared.value, {}, Counter(), 0
+        columns, n, total = Columns(shared.value), np.zeros(len(shared.value), dtype=np.int64), 0
         for _, texts in doc_slices(batches):
             total += len(texts)
-            for bag in term_bags(texts, known, column):
-                n.update(bag.keys())
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *(column[t] for t in n)], pa.int32()), pa.array([total, *n.values()], pa.int64())], ["term", "n"])
+            for text in texts:
+                n[columns.of(text)[0]] += 1
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, seen].astype(np.int32)), pa.array(np.r_[total, n[seen]])], ["term", "n"])
 
     counts = {r["term"]: r["n"] for r in docs.select("doc_id", "text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     shared.unpersist()
@@ -257,7 +277,7 @@ def calibrate(spark, index: Index, rows: list[tuple[int, int, dict]]) -> tuple[f
         index, rows = shared.value
         for batch in batches:
             at = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.raw(index.vector(rows[i][2]), rows[i][1])[0] for i in at], pa.float64())], ["id", "share"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.left_out(rows[i][2], rows[i][1]) for i in at], pa.float64())], ["id", "share"])
 
     shares = {r["id"]: r["share"] for r in spark.range(0, len(rows), 1, parts).mapInArrow(run, "id long, share double").collect()}
     shared.unpersist()
@@ -277,9 +297,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, nea
     shared = texts.sparkSession.sparkContext.broadcast(index)  # bounded by per_class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, known = shared.value, {}
+        index = shared.value
+        columns = Columns(index.column)
         for ids, part in doc_slices(batches):
-            got = [index.score(bag) for bag in term_bags(part, known, index.weight_of)]
+            got = [index.score(*columns.of(text)) for text in part]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([s for s, _, _ in got], pa.float64()), pa.array([e for _, e, _ in got], pa.list_(pa.int64())), pa.array([c for _, _, c in got], pa.list_(pa.float64()))],
                 ["doc_id", "score", "evidence", "similarity"],
