@@ -12,7 +12,7 @@ from twofold.specs import RESULTS
 # Columns that no node table may have.
 FORBIDDEN = (
     "gender", "region", "highest_education", "imd_band", "age_band", "disability", "num_of_prev_attempts", "studied_credits",
-    "final_result", "planted_group", "outcome", "name", "email", "birth_date", "address",
+    "final_result", "result", "outcome", "score", "score_media", "grade", "mark", "passed", "planted_group", "name", "email", "birth_date", "address",
 )
 PREFIX = {"student": "S", "discipline": "D"}
 

@@ -16,7 +16,7 @@ PASSED = ("Pass", "Distinction")
 NOT_PASSED = ("Fail", "Withdrawn")
 SIDES = ("student", "discipline")
 WEIGHTINGS = ("simple", "resource_allocation")
-#: Pairs that can't be built, with the reason.
+# Pairs that can't be built, with the reason.
 IMPOSSIBLE = {
     ("vle_site", "score_threshold"): "clicks on a site have no score",
     ("vle_activity_type", "score_threshold"): "clicks on an activity have no score",
