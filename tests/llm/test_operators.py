@@ -273,6 +273,22 @@ def test_keep_first_of_groups(spark):
     assert simhash.keep_first_of_groups(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("places", [simhash.SIEVE, 1 << 8])
+def test_sieve_loses_no_row(spark, monkeypatch, places):
+    monkeypatch.setattr(simhash, "SIEVE", places)
+    rows = [(None if i == 5 else i % 700, bytes([i % 7])) for i in range(1500)]
+    every = spark.createDataFrame(rows, "doc_id long, tag binary")
+    keys = {(None, bytes([5])), *rows[100:160], *rows[900:930]}
+    found = simhash.sifted(every, spark.createDataFrame(list(keys), "doc_id long, tag binary")).collect()
+    assert sorted(map(str, rows)) == sorted(str((r["doc_id"], bytes(r["tag"]))) for r in found)
+    doubt = [(r["doc_id"], bytes(r["tag"])) for r in found if r["maybe"]]
+    assert keys <= set(doubt)
+    if places == simhash.SIEVE and places > 1 << 8:
+        assert set(doubt) == keys
+    none = simhash.sifted(every, every.limit(0))
+    assert none.where("maybe").count() == 0 and none.count() == len(rows)
+
+
 def test_crowded_cells_of_near_copies(spark):
     rng = random.Random(18)
     common = [f"c{rng.randrange(900)}" for _ in range(200)]

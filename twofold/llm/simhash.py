@@ -164,6 +164,8 @@ BANDS, BAND_ROWS = 40, 5
 GRAM = 5
 #: Pivots that the members of a crowded cell are compared with, one after the other.
 PIVOTS = 2
+#: Places of the sieve that tells rows without a key from others before a shuffle.
+SIEVE = 1 << 25
 _DRAWN = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
 FLIPS, FACTORS = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
 
@@ -233,6 +235,18 @@ def alike(least: float) -> F.Column:
     return F.col("common") >= F.lit(least) * (F.col("n_a") + F.col("n_b") - F.col("common"))
 
 
+def sifted(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows (doc_id, tag, ...) with `maybe`, false only where no key (doc_id, tag) is theirs, so that the others needn't be
+    shuffled to meet the keys. The keys' hashes set bits in SIEVE places, whose words are broadcast: SIEVE / 64 rows of two
+    longs at most, whatever the keys' number. With very many keys more rows are in doubt, and none is lost."""
+    spot = F.xxhash64("doc_id", "tag").bitwiseAND(F.lit(SIEVE - 1))
+    word, bit = F.shiftright(spot, 6), spot.bitwiseAND(F.lit(63)).cast("int")
+    mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_mask")
+    words = written(keys.select("doc_id", "tag").groupBy(word.alias("_word")).agg(mask), "sieve")
+    met = rows.withColumn("_word", word).join(F.broadcast(words), "_word", "left")
+    return met.withColumn("maybe", F.coalesce(F.getbit("_mask", bit) == 1, F.lit(False))).drop("_word", "_mask")
+
+
 def rooted(cells: DataFrame, links: DataFrame) -> DataFrame:
     """The rows (cell, num, ...) with the `root` of the number's component."""
     return cells.join(components(links, "a", "b").toDF("num", "root"), "num", "left").withColumn("root", F.coalesce("root", "num"))
@@ -253,6 +267,7 @@ def near_links(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     degree = shared.groupBy("num").agg(F.sum("n").alias("degree"))
     some = nodes.join(degree, "num").select("num", "one")
     tagged = texts.withColumn("tag", F.unhex(F.md5(F.col("text").cast("binary"))))
+    tagged = sifted(tagged, some.select("one.doc_id", "one.tag")).where("maybe")
     first = tagged["doc_id"].eqNullSafe(some["one"]["doc_id"]) & (tagged["tag"] == some["one"]["tag"])
     sets = written(whole_sets(some.join(tagged, first).select("num", "text")), "shingle-sets")
     cells = written(shared.join(degree, "num").select("cell", "num", "degree"), "cells")
@@ -331,18 +346,19 @@ def keep_first_of_groups(docs: DataFrame, least: float = NEAR, id_col: str = "do
     found = first_of_groups(docs, least, id_col, text_col=text_col)
     mine = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tag") == F.col("component_tag"))
     sums = written(found.groupBy("doc_id", "tag").agg(F.min(mine).alias("first"), F.count("*").alias("n")), "row-sums")
-    gone = written(sums.where("not first").select("doc_id", "tag"), "later-copies")
-    again = written(sums.where("first and n > 1").select("doc_id", "tag"), "repeated-rows")
+    marked = written(sums.where("not first or n > 1").select("doc_id", "tag", "first"), "marked-rows")
     # the row's own columns in one struct, whatever their names
     whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
     keyed = whole.select(
         F.col("row").getField(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).cast("binary"))).alias("tag"), "row"
     )
-    same = lambda t: keyed["doc_id"].eqNullSafe(t["doc_id"]) & (keyed["tag"] == t["tag"])
-    kept = keyed.join(gone, same(gone), "left_anti")
-    alone = kept.join(again, same(again), "left_anti").select("row")
-    one_each = kept.join(again, same(again), "left_semi").groupBy("doc_id", "tag").agg(F.first("row").alias("row")).select("row")
-    return alone.unionByName(one_each).select("row.*")
+    sieved = sifted(keyed, marked)
+    doubt = sieved.where("maybe").select("doc_id", "tag", "row")
+    on = lambda t: doubt["doc_id"].eqNullSafe(t["doc_id"]) & (doubt["tag"] == t["tag"])
+    alone = doubt.join(marked, on(marked), "left_anti").select("row")
+    again = marked.where("first")
+    one_each = doubt.join(again, on(again), "left_semi").groupBy("doc_id", "tag").agg(F.first("row").alias("row")).select("row")
+    return sieved.where("not maybe").select("row").unionByName(alone).unionByName(one_each).select("row.*")
 
 
 def quoted(name: str) -> str:
