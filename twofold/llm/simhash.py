@@ -252,8 +252,13 @@ def rooted(cells: DataFrame, links: DataFrame) -> DataFrame:
     return cells.join(components(links, "a", "b").toDF("num", "root"), "num", "left").withColumn("root", F.coalesce("root", "num"))
 
 
-def near_links(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b) of nodes (num, one, bands) that connect all nodes with a similarity of `least` or more that share a key.
+def noted(made: list[DataFrame], df: DataFrame, name: str) -> DataFrame:
+    made.append(written(df, name))
+    return made[-1]
+
+
+def near_links(nodes: DataFrame, texts: DataFrame, least: float, made: list[DataFrame]) -> DataFrame:
+    """(a, b) of nodes (num, one, bands) that connect all nodes with a similarity of `least` or more that share a key; tables written for it are added to `made`.
 
     The members of a key's cell are compared with a pivot, the member that shares most keys with others (of a crowd of copies, the text
     they come from); members that are still apart from it with a second one. What is left needs no comparison of all pairs: let
@@ -263,45 +268,45 @@ def near_links(nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """
     keys = nodes.select("num", F.explode("bands").alias("cell"))
     counts = keys.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(keys.join(counts, "cell"), "cells")
+    shared = noted(made, keys.join(counts, "cell"), "cells")
     degree = shared.groupBy("num").agg(F.sum("n").alias("degree"))
     some = nodes.join(degree, "num").select("num", "one")
     tagged = texts.withColumn("tag", F.unhex(F.md5(F.col("text").cast("binary"))))
     tagged = sifted(tagged, some.select("one.doc_id", "one.tag")).where("maybe")
     first = tagged["doc_id"].eqNullSafe(some["one"]["doc_id"]) & (tagged["tag"] == some["one"]["tag"])
-    sets = written(whole_sets(some.join(tagged, first).select("num", "text")), "shingle-sets")
-    cells = written(shared.join(degree, "num").select("cell", "num", "degree"), "cells")
+    sets = noted(made, whole_sets(some.join(tagged, first).select("num", "text")), "shingle-sets")
+    cells = noted(made, shared.join(degree, "num").select("cell", "num", "degree"), "cells")
     drop_written(shared)
     best = F.max(F.struct("degree", "num")).alias("p")
     seen = None  # (num, p, n, n_p, common): what members share with pivots
     now = cells.withColumn("root", F.col("num"))
     for k in range(PIVOTS):
         if k:
-            links = written(seen.where(alike(least)).select("a", "b"), "links")
-            now = written(rooted(cells, links), "rooted")
+            links = noted(made, seen.where(alike(least)).select("a", "b"), "links")
+            now = noted(made, rooted(cells, links), "rooted")
             first_root = now.join(pivots, "cell").where(F.col("num") == F.col("pivot")).select("cell", F.col("root").alias("taken"))
             apart = now.join(first_root, "cell").where("root <> taken")
             pivots = apart.groupBy("cell").agg(best).select("cell", F.col("p.num").alias("pivot"))
             roots = now.join(pivots, "cell").where(F.col("num") == F.col("pivot")).select("cell", F.col("root").alias("taken"))
             met = now.join(pivots, "cell").join(roots, "cell").where("root <> taken")
         else:
-            pivots = written(cells.groupBy("cell").agg(best).select("cell", F.col("p.num").alias("pivot")), "pivots")
+            pivots = noted(made, cells.groupBy("cell").agg(best).select("cell", F.col("p.num").alias("pivot")), "pivots")
             first_pivots = pivots
             met = cells.join(pivots, "cell").where(F.col("num") != F.col("pivot"))
         found = compared(met.select(F.col("num").alias("a"), F.col("pivot").alias("b")).distinct(), sets)
-        found = written(found, "compared")
+        found = noted(made, found, "compared")
         seen = found if seen is None else seen.unionByName(found)
         first_seen = found if k == 0 else first_seen
-    links = written(seen.where(alike(least)).select("a", "b"), "links")
-    return links.unionByName(compared(left_pairs(rooted(cells, links), first_pivots, first_seen, sets, least), sets).where(alike(least)).select("a", "b"))
+    links = noted(made, seen.where(alike(least)).select("a", "b"), "links")
+    return links.unionByName(compared(left_pairs(rooted(cells, links), first_pivots, first_seen, sets, least, made), sets).where(alike(least)).select("a", "b"))
 
 
-def left_pairs(now: DataFrame, pivots: DataFrame, seen: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def left_pairs(now: DataFrame, pivots: DataFrame, seen: DataFrame, sets: DataFrame, least: float, made: list[DataFrame]) -> DataFrame:
     """The pairs (a, b), of different roots and one pivot, that may still be alike; see `near_links`."""
     open_ = now.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
     member = now.join(open_, "cell").join(pivots, "cell").select(F.col("pivot").alias("p"), "num", "root").distinct()
     facts = seen.select(F.col("a").alias("num"), F.col("b").alias("p"), F.col("n_a").alias("n"), "common", alike(least).alias("near"))
-    member = written(member.join(facts, ["num", "p"]), "open-members")  # pivots themselves have been compared with all
+    member = noted(made, member.join(facts, ["num", "p"]), "open-members")  # pivots themselves have been compared with all
     share = least / (1 + least)
     step = float(np.log(1.05))
     bucket = lambda n: F.floor(F.log(n) / step)
@@ -324,18 +329,20 @@ def left_pairs(now: DataFrame, pivots: DataFrame, seen: DataFrame, sets: DataFra
     return every_pair.select(F.greatest("s", "x").alias("a"), F.least("s", "x").alias("b")).distinct()
 
 
-def first_of_groups(docs: DataFrame, least: float = NEAR, id_col: str = "doc_id", **cols: str) -> DataFrame:
+def first_of_groups(docs: DataFrame, least: float = NEAR, id_col: str = "doc_id", made: list[DataFrame] | None = None, **cols: str) -> DataFrame:
     """(doc_id, tag, component_id, component_tag): groups of exact and near copies, linked by a Jaccard similarity of `least` or
     more of their five-word shingles; texts without words are alike. `tag` is the MD5 of the text, so that (doc_id, tag) names a
-    row among others of its id; the group's first row is its least (doc_id, tag), a null id last."""
-    made = written(set_signatures(docs, id_col=id_col, **cols), "signatures")
+    row among others of its id; the group's first row is its least (doc_id, tag), a null id last.
+    Tables that the result still reads are added to `made`."""
+    made = [] if made is None else made
+    signed = noted(made, set_signatures(docs, id_col=id_col, **cols), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
-    nodes = made.groupBy("node").agg(first.alias("one"), F.first("bands").alias("bands")).withColumn("num", F.monotonically_increasing_id())
-    nodes = written(nodes, "nodes")
-    named = rooted(nodes.select("num", "node", "one"), near_links(nodes, id_text(docs, id_col=id_col, **cols), least))
+    nodes = signed.groupBy("node").agg(first.alias("one"), F.first("bands").alias("bands")).withColumn("num", F.monotonically_increasing_id())
+    nodes = noted(made, nodes, "nodes")
+    named = rooted(nodes.select("num", "node", "one"), near_links(nodes, id_text(docs, id_col=id_col, **cols), least, made))
     ids = named.groupBy("root").agg(F.min("one").alias("one"))
     names = named.select("node", "root").join(ids, "root").select("node", F.col("one.doc_id").alias("component_id"), F.col("one.tag").alias("component_tag"))
-    return made.select("doc_id", "tag", "node").join(names, "node").select("doc_id", "tag", "component_id", "component_tag")
+    return signed.select("doc_id", "tag", "node").join(names, "node").select("doc_id", "tag", "component_id", "component_tag")
 
 
 def keep_first_of_groups(docs: DataFrame, least: float = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,10 +350,12 @@ def keep_first_of_groups(docs: DataFrame, least: float = NEAR, id_col: str = "do
 
     Rows are told apart by id and text: another text of a shared id stays if it is no copy of an earlier one, and of rows that
     repeat both, which may differ in other columns, any one stays. Columns of any names pass through."""
-    found = first_of_groups(docs, least, id_col, text_col=text_col)
+    made: list[DataFrame] = []
+    found = first_of_groups(docs, least, id_col, made, text_col=text_col)
     mine = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tag") == F.col("component_tag"))
     sums = written(found.groupBy("doc_id", "tag").agg(F.min(mine).alias("first"), F.count("*").alias("n")), "row-sums")
     marked = written(sums.where("not first or n > 1").select("doc_id", "tag", "first"), "marked-rows")
+    drop_written(sums, *made)  # only the marks are read from here on
     # the row's own columns in one struct, whatever their names
     whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
     keyed = whole.select(
