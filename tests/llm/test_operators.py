@@ -421,7 +421,9 @@ def test_suffix_dedup(spark, docs, texts, nothing, hot):
         spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
         r = rows[k]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) == (len(gone), int(gone.sum()), spans, hashlib.sha256(left).hexdigest())
-    twice = [r for r in suffix.deduplicate(docs, rest=["row", "a"]).collect() if r["doc_id"] == 1]
+    odd = docs.withColumns({"a.b": F.lit(4), "doc": F.lit(5)})
+    twice = [r for r in suffix.deduplicate(odd, rest=["row", "a", "a.b", "doc"]).collect() if r["doc_id"] == 1]
+    assert twice[0]["rest"]["a.b"] == 4 and twice[0]["rest"]["doc"] == 5
     assert len(twice) == 2 and twice[0] == twice[1] and twice[0]["n_removed"] == 0 and twice[0]["rest"]["row"] == "r"
     assert suffix.deduplicate(nothing, hot=hot).count() == 0
 
@@ -580,6 +582,58 @@ def test_weak_labels_held_out(spark):
     assert sum(good) / len(good) > 0.95 and sum(bad) / len(bad) < 0.3
 
 
+def test_weak_labels_against_a_plain_reimplementation(spark, docs, texts):
+    """Patterns, posteriors by EM over single documents, weights by dense gradient steps in the same order, scores and verdicts."""
+    got = by_id(weaklabel.weak_quality(docs, train_docs=40))
+    plain = {}
+    for k, t in texts.items():
+        ws = b(t).split()
+        plain[k] = "".join(map(str, weaklabel.votes(b(t), ws, np.array([ws.index(w) for w in ws], dtype=np.int64))))
+        assert got[k]["pattern"] == plain[k]
+    rows = [k for k in texts] + [1]  # one row twice
+    v = [[int(c) for c in plain[k]] for k in rows]
+    post = [(x.count(1) + 1) / (x.count(1) + 3 * x.count(0) + 2) for x in v]
+    for _ in range(200):
+        prior = (sum(post) + 1) / (len(v) + 2)
+        rates = []
+        for c in (0, 1):
+            weight = [p if c else 1 - p for p in post]
+            sums = [[0.5 + sum(w for w, x in zip(weight, v, strict=True) if x[j] == k) for k in (0, 1)] for j in range(len(v[0]))]
+            rates.append([[s[0] / sum(s), s[1] / sum(s)] for s in sums])
+        like = [[(prior if c else 1 - prior) * math.prod(rates[c][j][k] for j, k in enumerate(x) if k != 2) for c in (0, 1)] for x in v]
+        post = [g / (g + h) for h, g in like]
+    posterior = dict(zip(rows, post, strict=True))
+    features = {}
+    for k, t in texts.items():
+        ws, f = b(t).split(), Counter()
+        for w in ws:
+            f[weaklabel.slot(w.lower(), 1)] += 1 / len(ws)
+            f[weaklabel.slot(weaklabel.shape(w), 2)] += 1 / len(ws)
+        if ws:
+            low = [w.lower() for w in ws]
+            f[weaklabel.slot(b"n%d" % (len(ws) + 1).bit_length(), 3)] += 1
+            f[weaklabel.slot(b"v%d" % (10 * len(set(low)) // len(ws)), 3)] += 1
+            f[weaklabel.slot(b"s%d" % min(50 * sum(x == y for x, y in zip(low, low[1:], strict=False)) // len(ws), 9), 3)] += 1
+        features[k] = f
+    hashed = spark.createDataFrame([(k,) for k in texts], "k long").select("k", F.xxhash64("k")).collect()
+    order = sorted(rows, key=dict(map(tuple, hashed)).get)
+    w, g2, bias, bias2 = Counter(), Counter(), 0.0, 1e-6
+    for _ in range(weaklabel.EPOCHS):
+        for k in order:
+            f = features[k]
+            err = 1 / (1 + math.exp(-(sum(w[d] * x for d, x in f.items()) + bias))) - posterior[k]
+            for d, x in f.items():
+                step = err * x + weaklabel.L2 * w[d]
+                g2[d] += step**2
+                w[d] -= weaklabel.RATE * step / math.sqrt(g2[d] + 1e-6)
+            bias2 += err**2
+            bias -= weaklabel.RATE * err / math.sqrt(bias2)
+    for k, r in got.items():
+        want = 1 / (1 + math.exp(-(sum(w[d] * x for d, x in features[k].items()) + bias)))
+        assert r["posterior"] == pytest.approx(posterior[k], abs=1e-5)
+        assert r["score"] == pytest.approx(want, abs=1e-4) and r["kept"] == (r["score"] >= 0.8)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, top in ((0, 10), (1, 1), (5, 5), (1000, 1001), (1000, 1 << 48), (20000, 1 << 40), (5000, 35000), (9000, 40), (4, 1 << 62)):
@@ -728,3 +782,9 @@ def test_mixing(spark, docs, nothing):
     near, far = ({(r["doc_id"], round(r["_probability"], 9), r["_sampled"]) for r in mixing.mix(docs, max_driver_cells=n, rounds=3).collect()} for n in (1000, 0))
     assert near == far
     assert mixing.mix(nothing).count() == 0
+    clash = docs.select("*", F.lit(1).alias("_tokens"), F.lit(2).alias("_CELL"), F.lit(3).alias("topic"), F.lit(4).alias("a.b"))
+    rows = mixing.mix(clash).collect()
+    assert {(r["doc_id"], round(r["_probability"], 9), r["_sampled"]) for r in mixing.mix(docs).collect()} == {
+        (r["doc_id"], round(r["_probability"], 9), r["_sampled"]) for r in rows
+    }
+    assert all(r["topic"] == 3 and r["a.b"] == 4 for r in rows) and len({r["_tokens"] for r in rows}) > 5

@@ -10,7 +10,8 @@ consecutively.
 
 Defined results: a null or empty text has no words and no labels, score 0 and null first and last word;
 repeated rows are scanned one by one; a tie between words of equal IDF goes to the earlier template
-word; very long files and files with many hits are scanned whole; other columns are not read.
+word; very long files and files with many hits are scanned whole; an empty table gives an empty result; other columns are
+not read and may have any names.
 """
 
 from __future__ import annotations

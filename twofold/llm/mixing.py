@@ -8,8 +8,10 @@ MAX_DRIVER_CELLS, else in DataFrame rounds that give the same numbers.
 
 Defined results: a null source, language or topic is the value "unknown"; a null or empty text has no
 tokens and weighs nothing, its cell's probability holds for it all the same (0 in a cell without tokens);
-rows with one id are kept or dropped together; an empty table gives an empty result. Other columns pass
-through and may have any names but those the operator adds.
+rows with one id are kept or dropped together, a null id counts as an empty one; cells of equal tokens are told apart by
+their values; very long texts weigh all their words; an empty table gives an empty result. Other columns pass through whatever
+their names; one that is named like a column the operator adds (ADDED) gives way to it. With given targets, a value
+that a marginal's targets don't name has target 0.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ RATE = 0.5
 SEED = 20
 MAX_DRIVER_CELLS = 50_000
 DIMS = ("source", "lang", "topic")
+ADDED = ("_cell", "_tokens", "_probability", "_sampled")
 
 
 def n_words(text: str = "text") -> F.Column:
@@ -118,7 +121,7 @@ def mix(
 ) -> DataFrame:
     """The documents with `_cell`, `_tokens`, `_probability` and `_sampled`; targets default to tempered shares."""
     spark = docs.sparkSession
-    celled = with_cells(docs, text_form() if topic is None else topic)
+    celled = with_cells(docs.drop(*ADDED), text_form() if topic is None else topic)
     sums = celled.groupBy("_cell").agg(F.sum("_tokens").alias("tokens")).select("_cell.*", "tokens")
     cells = written(sums, "cells")
     if cells.count() <= max_driver_cells:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twofold.llm.common import doc_slices, drop_written, id_text, written
+from twofold.llm.common import doc_slices, drop_written, id_text, quoted, written
 from twofold.llm.components import components
 
 BITS = 64
@@ -370,9 +370,5 @@ def keep_first_of_groups(docs: DataFrame, least: float = NEAR, id_col: str = "do
     return sieved.where("not maybe").select("row").unionByName(alone).unionByName(one_each).select("row.*")
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def hex16(fp: F.Column) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -19,8 +19,9 @@ anchors can be equal.
 Texts are shuffled once; both fetches read that exchange.
 
 Defined results: a null text is empty; texts under `length` bytes lose nothing; rows of one id count as the
-same document, equal rows are cut alike; a null id sorts first; periodic texts keep their first period's
-window; very long texts are read whole.
+same document, equal rows are cut alike; a null id sorts first; of strings that tie in content the earliest stays; periodic
+texts keep their first period's window; very long texts are read whole, in one task; an empty table gives an empty result;
+columns other than the id and the text are not read, or pass through in the struct `rest` whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from twofold.llm.common import written
+from twofold.llm.common import quoted, written
 
 LENGTH = 100
 GRAM = 32
@@ -480,7 +482,7 @@ def deduplicate(
     texts = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-        F.struct(*[F.col(c) for c in rest] if rest else [F.lit(True).alias("none")]).alias("rest"),
+        F.struct(*[F.col(quoted(c)) for c in rest] if rest else [F.lit(True).alias("none")]).alias("rest"),
     ).select("doc", F.xxhash64("text").alias("tag"), "text", "rest")
     found = texts.select("doc", "tag", "text").mapInArrow(find_anchors(length), ANCHOR_DDL)
     settled = written(
@@ -499,9 +501,10 @@ def deduplicate(
         settled.where("done").unionByName(compared).groupBy("doc", "tag")
         .agg(F.collect_list(F.struct("s", "e")).alias("gone"))
     )
-    kind = texts.schema["rest"].dataType.simpleString()
+    number = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
+    made = T.StructType([T.StructField("doc_id", T.LongType()), texts.schema["rest"], *number, T.StructField("kept", T.BinaryType())])
     out = (
         texts.join(gone.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "tag", "text", "rest", "gone")
-        .mapInArrow(cut_out(whole_chars), f"doc_id long, rest {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+        .mapInArrow(cut_out(whole_chars), made)
     )
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

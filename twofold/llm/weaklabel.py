@@ -4,10 +4,13 @@ Overlapping heuristic labellers vote good, bad or nothing on every document. Exp
 the counts of vote patterns (at most 3 ** labellers rows, counted over all documents) estimates each
 labeller's vote rates under either hidden class; the posterior of a pattern is its documents' label. The
 posteriors of a bounded sample (TRAIN_DOCS documents of smallest id hash) train a logistic linear scorer
-over hashed word and word-shape features, which then scores every document.
+over hashed features of the text alone (its words, their shapes, and classes of its length, variety and stutter); the votes are no
+features, so the scorer can't look the posterior up. It then scores every document; the votes are cast again there, as the pattern and the
+posterior go into the result and a join by id would move all rows.
 
-Defined results: a null or empty text has no features and scores by the bias and the votes it draws; ties
-and repeated rows score alike; very long texts are read whole; with no documents at all the result is empty.
+Defined results: a null or empty text has no features and scores by the bias; ties and repeated rows score alike; a null id
+is scored like any other; very long texts are read whole; with no documents at all the result is empty; columns other than the id
+and the text are not read and may have any names.
 """
 
 from __future__ import annotations
@@ -142,15 +145,21 @@ def slot(name: bytes, seed: int) -> int:
     return xxhash.xxh32_intdigest(name, seed) & (SLOTS - 1)
 
 
-def vote_slots(pattern: str) -> np.ndarray:
-    return np.array([slot(f"{j}={v}".encode(), 3) for j, v in enumerate(pattern)], dtype=np.int32)
+def form(slots: np.ndarray) -> list[int]:
+    """Slots of a text's form: its doublings of length, tenths of variety, and fiftieths of words that repeat the one before."""
+    words, n = slots[:, 0], len(slots)
+    if not n:
+        return []
+    variety = 10 * len(np.unique(words)) // n
+    stutter = min(50 * int((words[1:] == words[:-1]).sum()) // n, 9)
+    return [slot(f"{name}{value}".encode(), 3) for name, value in (("n", (n + 1).bit_length()), ("v", variety), ("s", stutter))]
 
 
-def row(slots: np.ndarray, pattern: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse features: word and shape shares, and the votes."""
+def row(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse features of a text: the shares of its words and shapes, and its form."""
     dims, n = np.unique(slots.ravel(), return_counts=True)
-    dims, n = np.r_[dims, vote_slots(pattern)], np.r_[n / max(len(slots), 1), np.ones(len(pattern))]
-    return dims, n
+    more = form(slots)
+    return np.r_[dims, np.array(more, dtype=dims.dtype)], np.r_[n / max(len(slots), 1), np.ones(len(more))]
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
@@ -187,7 +196,7 @@ def weak_quality(docs: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float
             for text in part:
                 ws = text.split()
                 pats.append("".join(map(str, votes(text, ws, np.fromiter(map(index.__getitem__, ws), dtype=np.int64, count=len(ws))))))
-            rows = [row(w, p) for w, p in zip(words, pats, strict=True)]
+            rows = [row(w) for w in words]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(pats), pa.array([d.astype("<i4").tobytes() for d, _ in rows], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in rows], pa.binary())],
                 ["doc_id", "pattern", "dims", "x"],
@@ -204,14 +213,14 @@ def weak_quality(docs: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b, known = model.value
-        of, by_pattern = Features(), {p: float(w[vote_slots(p)].sum()) for p in known}
+        of = Features()
         for ids, part in doc_slices(batches):
             pats, out = [], []
             index: dict[bytes, int] = defaultdict(count().__next__)
             for text, slots in zip(part, of(part), strict=True):
                 ws = text.split()
                 pats.append("".join(map(str, votes(text, ws, np.fromiter(map(index.__getitem__, ws), dtype=np.int64, count=len(ws))))))
-                z = float(w[slots].sum(dtype=np.float64)) / max(len(slots), 1) + by_pattern[pats[-1]] + b
+                z = float(w[slots].sum(dtype=np.float64)) / max(len(slots), 1) + float(w[form(slots)].sum(dtype=np.float64)) + b
                 out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             out = np.array(out)
             yield pa.RecordBatch.from_arrays(
