@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline
@@ -50,3 +51,34 @@ def test_run_of_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_odd_rows_and_columns(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, and columns whose names clash."""
+    prose = "The river keeps its old bed here, and people cross it by the stone bridge near mill number {} every morning."
+    known = [w for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en' and n_chars > 500").orderBy("doc_id").limit(20).collect() for w in r["text"].split() if w.isalpha()]
+    rng = random.Random(3)
+    long = "\n".join(" ".join(rng.choices(known, k=15)) + "." for _ in range(20_000))
+    rows = [
+        (1, prose.format("one") + " It was built long ago.", "en", "web"), (1, prose.format("one") + " It was built long ago.", "en", "web"),
+        (1, "Quite another text under the first id, which says that geese fly south when leaves begin to turn in autumn.", "en", "web"),
+        (2, None, None, None), (3, "", "en", "web"), (4, long, "en", "web"), (None, "A row without an id, whose words are of some use to whoever reads them in the evening.", None, None),
+    ]
+    more = {"topic": 1, "N_Tokens": 2, "weight": 3, "_tokens": 4, "_cell": 5, "rest": 6, "row": 7, "tag": 8, "kept": 9, "doc": 10, "a.b": 11, "node": 12}
+    fields = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in more)
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), *more.values()) for r in rows], fields)
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = f"file://{tmp_path}/{name.replace(' ', '-')}"
+        stage(spark, now, "/root/testdata/sf0.001").write.parquet(path)
+        now = spark.read.parquet(path)
+        assert now.dtypes == docs.dtypes, name
+        left = sorted((r["doc_id"] or 0, len(r["text"])) for r in now.collect())
+        assert [i for i, _ in left] == ([0, 1, 1, 1, 4] if name == "quality rules" else [0, 1, 1, 4]), name
+        assert all(r[c] == v for r in now.collect() for c, v in more.items())
+    last = corpus_pipeline.mixture(spark, now, "/root/testdata/sf0.001")
+    last.write.parquet(f"file://{tmp_path}/last")
+    assert set(last.columns) >= {"topic", "n_tokens", "probability", "weight", "a.b", "node"}
+    bare = spark.createDataFrame([(None, None, None, None, None)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, bare, "/root/testdata/sf0.001").count() <= 2, name

@@ -105,4 +105,6 @@ def keep_rows(docs: DataFrame, judge_maker, text_col: str = "text", other_cols:
                     yield batch.slice(start, i + 1 - start).filter(pa.array(kept, pa.bool_()))
                     start, size = i + 1, 0
 
-    return docs.mapInArrow(run, docs.schema)
+    # by place, as mapInArrow takes no names with dots
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
