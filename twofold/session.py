@@ -17,8 +17,10 @@ def session(cores: int | str = "*", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (tests)."""
+    """spark.checkpoint.dir, or a local folder where it is unset and all runs on one machine (tests); an error on a cluster."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/") if folder else "file:///tmp/twofold-shared"
 
 
