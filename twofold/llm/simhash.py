@@ -164,6 +164,8 @@ BANDS, BAND_ROWS = 40, 5
 GRAM = 5
 #: Pivots that the members of a crowded cell are compared with, one after the other.
 PIVOTS = 2
+#: Places in which shingles are counted to tell rare from frequent ones.
+RANK_PLACES = 1 << 16
 #: Places of the sieve that tells rows without a key from others before a shuffle.
 SIEVE = 1 << 25
 _DRAWN = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
@@ -261,10 +263,8 @@ def near_links(nodes: DataFrame, texts: DataFrame, least: float, made: list[Data
     """(a, b) of nodes (num, one, bands) that connect all nodes with a similarity of `least` or more that share a key; tables written for it are added to `made`.
 
     The members of a key's cell are compared with a pivot, the member that shares most keys with others (of a crowd of copies, the text
-    they come from); members that are still apart from it with a second one. What is left needs no comparison of all pairs: let
-    i be what a set s shares with a pivot p that it is not alike. A set x alike s has either a shingle outside p in common with s,
-    or at most i of s's shingles; then i >= least / (1 + least) * (|s| + |x|), so x is smaller than i allows. Pairs with such a common
-    shingle are found by it, the others by size. No pair of a cell is lost.
+    they come from); members that are still apart from it with a second one. What is left needs no comparison of all pairs: members
+    with a pivot that one of them isn't alike are compared where the rare ends of their sets meet; see `prefixes`. No pair of a cell is lost.
     """
     keys = nodes.select("num", F.explode("bands").alias("cell"))
     counts = keys.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
@@ -301,32 +301,42 @@ def near_links(nodes: DataFrame, texts: DataFrame, least: float, made: list[Data
     return links.unionByName(compared(left_pairs(rooted(cells, links), first_pivots, first_seen, sets, least, made), sets).where(alike(least)).select("a", "b"))
 
 
+def prefixes(sets: DataFrame, least: float, places: int = RANK_PLACES) -> DataFrame:
+    """(num, prefix) of sets (num, grams): the n - ceil(least * n) + 1 grams of a set that come first in one order of all grams,
+    rare ones before frequent ones. Two sets of a similarity of `least` or more have a gram in both prefixes, whatever the
+    order; how often grams occur is counted in `places` places, which alone are gathered."""
+    place = F.col("gram").bitwiseAND(F.lit(places - 1)).alias("place")
+    counted = sets.select(F.explode("grams").alias("gram")).groupBy(place).agg(F.count("*").alias("n")).collect()  # `places` rows at most
+    often = np.zeros(places, dtype=np.int64)
+    for place, n in counted:
+        often[place] = n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for grams in batch.column(1):
+                grams = grams.values.to_numpy(zero_copy_only=False)
+                order = np.lexsort((grams, often[grams & (places - 1)]))
+                out.append(grams[order[: len(grams) - int(np.ceil(least * len(grams) - 1e-9)) + 1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["num", "prefix"])
+
+    return sets.select("num", "grams").mapInArrow(run, "num long, prefix array<long>")
+
+
 def left_pairs(now: DataFrame, pivots: DataFrame, seen: DataFrame, sets: DataFrame, least: float, made: list[DataFrame]) -> DataFrame:
     """The pairs (a, b), of different roots and one pivot, that may still be alike; see `near_links`."""
     open_ = now.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
     member = now.join(open_, "cell").join(pivots, "cell").select(F.col("pivot").alias("p"), "num", "root").distinct()
-    facts = seen.select(F.col("a").alias("num"), F.col("b").alias("p"), F.col("n_a").alias("n"), "common", alike(least).alias("near"))
+    facts = seen.select(F.col("a").alias("num"), F.col("b").alias("p"), F.col("n_a").alias("n"), alike(least).alias("near"))
     member = noted(made, member.join(facts, ["num", "p"]), "open-members")  # pivots themselves have been compared with all
-    share = least / (1 + least)
-    step = float(np.log(1.05))
-    bucket = lambda n: F.floor(F.log(n) / step)
-    top = F.col("common") / F.lit(share) - F.col("n")  # the most shingles that x may have
-    low, high = bucket(F.greatest(F.col("n") * least, F.lit(1.0))), bucket(F.greatest(top, F.lit(1.0)))
-    lone = member.where("not near").select("p", F.col("num").alias("s"), F.col("root").alias("r"), top.alias("top"), low.alias("low"), high.alias("high"))
-    # sizes from n * least to `top`, which is at most n / least
-    sized = lone.where("low <= high").withColumn("size", F.explode(F.sequence("low", "high")))
-    every = member.select("p", F.col("num").alias("x"), F.col("root").alias("rx"), "n", bucket(F.col("n")).alias("size"))
-    by_size = sized.join(every, ["p", "size"]).where("r <> rx and n <= top + 1e-6").select("s", "x")
-    pivot_sets = sets.toDF("p", "of_p")
-    extra = (
-        member.join(sets, "num").join(pivot_sets, "p")
-        .select("p", "num", "root", "near", F.explode(F.array_except("grams", "of_p")).alias("gram"))
-    )
-    mine = extra.where("not near").select("p", F.col("num").alias("s"), F.col("root").alias("r"), "gram")
-    others = extra.select("p", F.col("num").alias("x"), F.col("root").alias("rx"), "gram")
-    by_gram = mine.join(others, ["p", "gram"]).where("r <> rx").select("s", "x")
-    every_pair = by_size.unionByName(by_gram)
-    return every_pair.select(F.greatest("s", "x").alias("a"), F.least("s", "x").alias("b")).distinct()
+    first = noted(made, prefixes(sets.join(member.select("num").distinct(), "num", "left_semi"), least), "prefixes")
+    side = member.join(first, "num").select("p", "num", "root", "near", "n", F.posexplode("prefix").alias("at", "gram"))
+    mine = side.where("not near").select("p", "gram", F.col("num").alias("s"), F.col("root").alias("r"), F.col("n").alias("n_s"), (F.col("n") - F.col("at")).alias("left_s"))
+    others = side.select("p", "gram", F.col("num").alias("x"), F.col("root").alias("rx"), F.col("n").alias("n_x"), (F.col("n") - F.col("at")).alias("left_x"))
+    # the first gram in common leaves so many at most to share
+    enough = F.least("left_s", "left_x") >= F.lit(least / (1 + least)) * (F.col("n_s") + F.col("n_x")) - 1e-6
+    met = mine.join(others, ["p", "gram"]).where((F.col("r") != F.col("rx")) & enough)
+    return met.select(F.greatest("s", "x").alias("a"), F.least("s", "x").alias("b")).distinct()
 
 
 def first_of_groups(docs: DataFrame, least: float = NEAR, id_col: str = "doc_id", made: list[DataFrame] | None = None, **cols: str) -> DataFrame:
