@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from twofold.llm.common import doc_slices, id_text
+from twofold.llm.common import doc_slices, id_text, lean
 
 SPACE = "▁"
 PRE_TOKEN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -203,4 +203,4 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, **cols: st
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return id_text(docs, **cols).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return id_text(docs, **cols).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

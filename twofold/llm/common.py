@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +70,21 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def lean(run: Callable) -> Callable:
+    """`run` for mapInArrow; at a task's end its Python worker, which waits for other tasks beside those of other stages, gives
+    the memory back that it has freed."""
+
+    @functools.wraps(run)
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+        if trim:
+            trim(0)
+
+    return tidy
+
+
 def doc_slices(
     batches: Iterator[pa.RecordBatch], limit: int = 4 << 20
 ) -> Iterator[tuple[list, list[bytes]]]:
@@ -107,4 +124,4 @@ def keep_rows(docs: DataFrame, judge_maker, text_col: str = "text", other_cols:
 
     # by place, as mapInArrow takes no names with dots
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*names)

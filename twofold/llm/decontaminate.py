@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twofold.llm.common import doc_slices, drop_written, id_text, keep_rows, written
+from twofold.llm.common import doc_slices, drop_written, id_text, keep_rows, lean, written
 
 PASSAGE = 64
 LEAST_OVERLAP = 0.8
@@ -341,7 +341,7 @@ def item_table(items: DataFrame) -> tuple[DataFrame, int, float]:
             texts_of = [t.decode() for t in cols[1]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((cols[0], texts_of, cols[2], cols[3]), kinds, strict=True)], ["doc_id", "text", "size", "terms"])
 
-    held = written(items.mapInArrow(split, "doc_id long, text string, size long, terms array<string>").withColumn("item", F.monotonically_increasing_id()), "items")
+    held = written(items.mapInArrow(lean(split), "doc_id long, text string, size long, terms array<string>").withColumn("item", F.monotonically_increasing_id()), "items")
     n, mean = held.agg(F.count("*"), F.avg("size")).first()
     each = held.select("item", F.explode("terms").alias("term"))
     df = each.groupBy("term").agg(F.count("*").alias("df"))
@@ -398,7 +398,7 @@ def leaks(
             rows = [(doc_id, *hit) for doc_id, hits in zip(ids, found_in(blocks, part), strict=True) for hit in hits]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(ARROW), ARROW.types, strict=True)], schema=ARROW)
 
-    return id_text(docs, **cols).mapInArrow(run, SCHEMA)
+    return id_text(docs, **cols).mapInArrow(lean(run), SCHEMA)
 
 
 def clean(

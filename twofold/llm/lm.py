@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twofold.llm.common import WORD_SPACE, doc_slices, id_text, scratch_dir
+from twofold.llm.common import WORD_SPACE, doc_slices, id_text, lean, scratch_dir
 from twofold.llm.eliasfano import EliasFano
 
 FOLDS = 10
@@ -559,16 +559,16 @@ def train(texts: DataFrame, folds: int = FOLDS, shard_tokens: int = SHARD_TOKENS
     learn = texts.where(~held_out(folds))
     store = Store.new(texts.sparkSession)
     shards = max(LEAST_SHARDS, learn.rdd.getNumPartitions())
-    counted = learn.mapInArrow(count_words(shards), WORDS_DDL).repartition(shards, "shard").sortWithinPartitions("shard")
-    found = {r["shard"]: r for r in counted.mapInArrow(build_words(store), REPORT_DDL).collect()}  # two numbers of each range
+    counted = learn.mapInArrow(lean(count_words(shards)), WORDS_DDL).repartition(shards, "shard").sortWithinPartitions("shard")
+    found = {r["shard"]: r for r in counted.mapInArrow(lean(build_words(store)), REPORT_DDL).collect()}  # two numbers of each range
     sizes = [json.loads(found[s]["facts"]) if s in found else {"n": 0, "total": 0} for s in range(shards)]
     shape = Shape(shards, *(np.r_[0, np.cumsum([x[k] for x in sizes])].astype(np.int64) for k in ("n", "total")))
     store = store.published(sc, {f"words{s}": bytes(r["raw"]) for s, r in found.items()})
     words = Words(store, shape)
     shape.n_texts = int(words.sums(words.ids(END_HASH))[1][0])  # as many as ends
     shape.n_ranges = max(LEAST_SHARDS, shape.total // shard_tokens)
-    grams = learn.mapInArrow(count_grams(store, shape), GRAMS_DDL).repartition(shape.n_ranges, "shard").sortWithinPartitions("shard")
-    rows = grams.mapInArrow(build_grams(store, shape), REPORT_DDL).collect()  # a few numbers of each range
+    grams = learn.mapInArrow(lean(count_grams(store, shape)), GRAMS_DDL).repartition(shape.n_ranges, "shard").sortWithinPartitions("shard")
+    rows = grams.mapInArrow(lean(build_grams(store, shape)), REPORT_DDL).collect()  # a few numbers of each range
     reports = {r["shard"]: json.loads(r["facts"]) for r in rows}
     return store.published(sc, {f"grams{r['shard']}": bytes(r["raw"]) for r in rows}), shape, Seams.of(reports), set(reports)
 
@@ -722,5 +722,5 @@ def scores(docs: DataFrame, folds: int = FOLDS, shard_tokens: int = SHARD_TOKENS
             )
             trie.store.let_go()
 
-    out = texts.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = texts.mapInArrow(lean(run), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select("doc_id", held_out(folds).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

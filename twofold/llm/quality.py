@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twofold.llm.bpe import CACHE_ENTRIES, SPACE, PieceModel, piece_model
-from twofold.llm.common import WORD_SPACE, doc_slices, keep_rows
+from twofold.llm.common import WORD_SPACE, doc_slices, keep_rows, lean
 
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -193,7 +193,7 @@ def quality_metrics(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.col(lang_col).cast("string").alias("lang"),
     )
-    return picked.mapInArrow(run, SCHEMA)
+    return picked.mapInArrow(lean(run), SCHEMA)
 
 
 def judge(text: bytes, words: list[bytes], nums: np.ndarray, lang: str | None, known: WordTokens, bands: dict) -> tuple:

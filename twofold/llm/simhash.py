@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twofold.llm.common import doc_slices, drop_written, id_text, quoted, written
+from twofold.llm.common import doc_slices, drop_written, id_text, lean, quoted, written
 from twofold.llm.components import components
 
 BITS = 64
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, distinct: bool = False, **co
             fps = np.array([text_fingerprint(t, shingle, distinct) for t in texts], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return id_text(docs, **cols).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs, **cols).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def radii(segments: int, radius: int = RADIUS) -> list[int]:
@@ -213,7 +213,7 @@ def set_signatures(docs: DataFrame, **cols: str) -> DataFrame:
                 ["doc_id", "tag", "node", "bands"],
             )
 
-    return id_text(docs, **cols).mapInArrow(run, "doc_id long, tag binary, node binary, bands array<long>")
+    return id_text(docs, **cols).mapInArrow(lean(run), "doc_id long, tag binary, node binary, bands array<long>")
 
 
 def whole_sets(texts: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def whole_sets(texts: DataFrame) -> DataFrame:
             made = [gram_hashes(t).view(np.int64) for t in part]
             yield pa.RecordBatch.from_arrays([pa.array(nums, pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["num", "grams"])
 
-    return texts.select("num", "text").mapInArrow(run, "num long, grams array<long>").dropDuplicates(["num"])
+    return texts.select("num", "text").mapInArrow(lean(run), "num long, grams array<long>").dropDuplicates(["num"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -320,7 +320,7 @@ def prefixes(sets: DataFrame, least: float, places: int = RANK_PLACES) -> DataFr
                 out.append(grams[order[: len(grams) - int(np.ceil(least * len(grams) - 1e-9)) + 1]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["num", "prefix"])
 
-    return sets.select("num", "grams").mapInArrow(run, "num long, prefix array<long>")
+    return sets.select("num", "grams").mapInArrow(lean(run), "num long, prefix array<long>")
 
 
 def left_pairs(now: DataFrame, pivots: DataFrame, seen: DataFrame, sets: DataFrame, least: float, made: list[DataFrame]) -> DataFrame:

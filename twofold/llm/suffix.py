@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twofold.llm.common import quoted, written
+from twofold.llm.common import lean, quoted, written
 
 LENGTH = 100
 GRAM = 32
@@ -484,9 +484,9 @@ def deduplicate(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.struct(*[F.col(quoted(c)) for c in rest] if rest else [F.lit(True).alias("none")]).alias("rest"),
     ).select("doc", F.xxhash64("text").alias("tag"), "text", "rest")
-    found = texts.select("doc", "tag", "text").mapInArrow(find_anchors(length), ANCHOR_DDL)
+    found = texts.select("doc", "tag", "text").mapInArrow(lean(find_anchors(length)), ANCHOR_DDL)
     settled = written(
-        found.repartition("a").sortWithinPartitions("a", "c", "doc", "s").mapInArrow(settle_groups(hot), ANCHOR_DDL), "ranges"
+        found.repartition("a").sortWithinPartitions("a", "c", "doc", "s").mapInArrow(lean(settle_groups(hot)), ANCHOR_DDL), "ranges"
     )
     wanted = (
         settled.where("not done").groupBy("doc", "tag")
@@ -494,9 +494,9 @@ def deduplicate(
     )
     fetched = (
         texts.join(wanted.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "want", "rest")
-        .mapInArrow(fetch(length), "a long, doc long, tag long, s long, bytes binary")
+        .mapInArrow(lean(fetch(length)), "a long, doc long, tag long, s long, bytes binary")
     )
-    compared = fetched.repartition("a").sortWithinPartitions("a").mapInArrow(compare(length), ANCHOR_DDL)
+    compared = fetched.repartition("a").sortWithinPartitions("a").mapInArrow(lean(compare(length)), ANCHOR_DDL)
     gone = (
         settled.where("done").unionByName(compared).groupBy("doc", "tag")
         .agg(F.collect_list(F.struct("s", "e")).alias("gone"))
@@ -505,6 +505,6 @@ def deduplicate(
     made = T.StructType([T.StructField("doc_id", T.LongType()), texts.schema["rest"], *number, T.StructField("kept", T.BinaryType())])
     out = (
         texts.join(gone.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "tag", "text", "rest", "gone")
-        .mapInArrow(cut_out(whole_chars), made)
+        .mapInArrow(lean(cut_out(whole_chars)), made)
     )
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

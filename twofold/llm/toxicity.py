@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twofold.llm.common import doc_slices, drop_written, id_text, written
+from twofold.llm.common import doc_slices, drop_written, id_text, lean, written
 
 #: Bound of the example set; a parameter of `toxicity`.
 PER_CLASS = 800
@@ -225,7 +225,7 @@ def examples(docs: DataFrame, labels: DataFrame, per_class: int, folds: int) ->
                 )
                 at += len(ids)
 
-    one_each = written(sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, terms array<string>, n array<int>"), "examples")
+    one_each = written(sample.select("doc_id", "text", "y").mapInArrow(lean(run), "doc_id long, y int, terms array<string>, n array<int>"), "examples")
     rows = one_each.collect()  # terms of 2 * per_class rows
     drop_written(one_each)
     # of rows that share an id the last one in order
@@ -261,7 +261,7 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int],
         seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, seen].astype(np.int32)), pa.array(np.r_[total, n[seen]])], ["term", "n"])
 
-    counts = {r["term"]: r["n"] for r in docs.select("doc_id", "text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["term"]: r["n"] for r in docs.select("doc_id", "text").mapInArrow(lean(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     shared.unpersist()
     return {t: counts.get(j, 0) for j, t in enumerate(vocabulary)}, counts.get(-1, 0)
 
@@ -279,7 +279,7 @@ def calibrate(spark, index: Index, rows: list[tuple[int, int, dict]]) -> tuple[f
             at = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.left_out(rows[i][2], rows[i][1]) for i in at], pa.float64())], ["id", "share"])
 
-    shares = {r["id"]: r["share"] for r in spark.range(0, len(rows), 1, parts).mapInArrow(run, "id long, share double").collect()}
+    shares = {r["id"]: r["share"] for r in spark.range(0, len(rows), 1, parts).mapInArrow(lean(run), "id long, share double").collect()}
     shared.unpersist()
     labels = np.array([y for _, y, _ in rows], dtype=np.float64)
     weights = np.array([index.class_weight.get(y, 1.0) for _, y, _ in rows])
@@ -306,7 +306,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, nea
                 ["doc_id", "score", "evidence", "similarity"],
             )
 
-    scored = texts.mapInArrow(run, "doc_id long, score double, evidence array<long>, similarity array<double>")
+    scored = texts.mapInArrow(lean(run), "doc_id long, score double, evidence array<long>, similarity array<double>")
     return scored.select(
         "doc_id", F.coalesce(held_out(folds=folds), F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"), "evidence", "similarity",

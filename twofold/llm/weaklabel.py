@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twofold.llm.common import doc_slices, id_text, written
+from twofold.llm.common import doc_slices, id_text, lean, written
 from twofold.llm.quality import SYMBOLS, duplicate_lines, repeat_words
 
 #: Bound of the training sample, a parameter of `weak_quality`.
@@ -85,7 +85,7 @@ def vote_table(docs: DataFrame, **cols: str) -> DataFrame:
                 out.append("".join(map(str, votes(text, words, nums))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["doc_id", "pattern"])
 
-    return id_text(docs, **cols).mapInArrow(run, "doc_id long, pattern string")
+    return id_text(docs, **cols).mapInArrow(lean(run), "doc_id long, pattern string")
 
 
 def estimate(patterns: list[str], counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -204,7 +204,7 @@ def weak_quality(docs: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float
 
     picked = texts.join(F.broadcast(chosen), texts["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
     sampled = (
-        picked.mapInArrow(sample, "doc_id long, pattern string, dims binary, x binary")
+        picked.mapInArrow(lean(sample), "doc_id long, pattern string, dims binary, x binary")
         .orderBy(order, "doc_id", "pattern", "dims").limit(train_docs).collect()
     )
     rows = [(np.frombuffer(r["dims"], "<i4"), np.frombuffer(r["x"], "<f4").astype(np.float64)) for r in sampled]
@@ -228,4 +228,4 @@ def weak_quality(docs: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float
                 ["doc_id", "pattern", "posterior", "score", "kept"],
             )
 
-    return texts.mapInArrow(score, "doc_id long, pattern string, posterior double, score double, kept boolean")
+    return texts.mapInArrow(lean(score), "doc_id long, pattern string, posterior double, score double, kept boolean")
