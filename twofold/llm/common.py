@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,15 +92,15 @@ def doc_slices(
     """(ids, texts as UTF-8 bytes) in slices of about `limit` bytes; whole texts, whatever their length."""
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        texts = batch.column(1).cast(pa.binary())
         start, size = 0, 0
-        for i, text in enumerate(texts):
-            size += len(text) + 64
+        for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+            size += n + 64
             if size >= limit:
-                yield ids[start : i + 1], texts[start : i + 1]
+                yield ids[start : i + 1], texts.slice(start, i + 1 - start).to_pylist()
                 start, size = i + 1, 0
         if start < len(ids):
-            yield ids[start:], texts[start:]
+            yield ids[start:], texts.slice(start).to_pylist()
 
 
 def keep_rows(docs: DataFrame, judge_maker, text_col: str = "text", other_cols: tuple[str, ...] = ()) -> DataFrame:

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,8 @@ GRAM = 32
 #: Surroundings of one gram that one task may hold.
 HOT = 50_000
 ROWS = 1 << 18
+#: Texts searched for anchors at a time, whole ones: about ten arrays of eight bytes a byte are held for them.
+SLICE_BYTES = 1 << 19
 CONTEXTS = 1 << 14
 NO_ID = -(1 << 63)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -172,14 +175,15 @@ def find_anchors(length: int):
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             tags = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            texts = batch.column(2).cast(pa.binary())
+            sizes = pc.binary_length(texts).to_pylist()
             at = 0
             while at < len(texts):
                 until, total = at, 0
-                while until < len(texts) and total < 1 << 21:
-                    total += len(texts[until])
+                while until < len(texts) and total < SLICE_BYTES:
+                    total += sizes[until]
                     until += 1
-                owner, a, c, s, e = anchors(texts[at:until], length)
+                owner, a, c, s, e = anchors(texts.slice(at, until - at).to_pylist(), length)
                 held.append((a, c, docs[at:until][owner], tags[at:until][owner], s, e))
                 size += len(a)
                 at = until
