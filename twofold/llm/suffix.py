@@ -44,7 +44,9 @@ HOT = 50_000
 ROWS = 1 << 18
 #: Texts searched for anchors at a time, whole ones: about ten arrays of eight bytes a byte are held for them.
 SLICE_BYTES = 1 << 19
-CONTEXTS = 1 << 14
+#: Surroundings whose suffix array is built at a time, but for those of one gram, and texts cut at a time.
+CONTEXTS = 1 << 12
+CUT_ROWS = 1 << 10
 NO_ID = -(1 << 63)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 BASE = 0xA0761D6478BD642F
@@ -435,7 +437,7 @@ def compare(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
-        for t in batched(batches, CONTEXTS):
+        for t in (big.slice(k, CONTEXTS) for big in batched(batches, CONTEXTS) for k in range(0, big.num_rows, CONTEXTS)):
             t = t if rest is None else pa.concat_tables([rest, t])
             a = t.column(0).to_numpy()
             cut = int(np.flatnonzero(a != a[-1])[-1]) + 1 if a[0] != a[-1] else 0
@@ -452,7 +454,7 @@ def cut_out(whole_chars: bool):
     """Texts without their removed ranges; with `whole_chars` without the rests of characters that a cut has split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, CUT_ROWS) for whole in batches for k in range(0, whole.num_rows, CUT_ROWS)):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             gone = batch.column(4)
             size, lost, spans, kept = [], [], [], []
