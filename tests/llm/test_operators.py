@@ -383,6 +383,25 @@ def groups_of(pairs, ids):
     return root
 
 
+def test_near_copies_come_from_fingerprints(spark):
+    """The near-dedup's links of texts that share no min-hash key come from SimHash, verified on whole shingle sets."""
+    rng = random.Random(21)
+    texts = {}
+    for g in range(60):
+        texts[2 * g], texts[2 * g + 1] = edited(rng, 1500, 1 + g % 3)
+    grams = {k: simhash.gram_hashes(b(t)) for k, t in texts.items()}
+    fps = {k: simhash.majority_bits(x) for k, x in grams.items()}
+    rows = [(k, (False, k, hashlib.md5(b(t)).digest()), simhash.signed(fps[k]), [k]) for k, t in texts.items()]
+    nodes = spark.createDataFrame(rows, "num long, one struct<none: boolean, doc_id: long, tag: binary>, fp long, bands array<long>")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    made = []
+    found = {(r["a"], r["b"]) for r in simhash.near_links(nodes, docs, 0.8, made).collect()}
+    near = {(max(x, y), min(x, y)) for x, y in near_pairs(texts) if (fps[x] ^ fps[y]).bit_count() <= 2}
+    assert len(near) > 10 and {(max(p), min(p)) for p in found} == near
+    signed = simhash.set_signatures(docs).collect()
+    assert {r["doc_id"]: r["fp"] for r in signed} == {k: simhash.signed(x) for k, x in fps.items()}
+
+
 def test_near_copies_are_verified_on_whole_texts(spark):
     rng = random.Random(13)
     texts = {}

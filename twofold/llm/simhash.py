@@ -197,23 +197,27 @@ def min_hashes(grams: np.ndarray) -> np.ndarray:
 
 
 def set_signatures(docs: DataFrame, **cols: str) -> DataFrame:
-    """(doc_id, tag, node, bands): for each row a hash of its text, the name of its shingle set, and its keys."""
+    """(doc_id, tag, node, fp, bands): for each row a hash of its text, the name, the SimHash and the keys of its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in doc_slices(batches):
-            tags, nodes, bands = [], [], []
+            tags, nodes, fps, bands = [], [], [], []
             for text in texts:
                 grams = gram_hashes(text)
                 tags.append(hashlib.md5(text, usedforsecurity=False).digest())
                 nodes.append(set_node(grams))
+                fps.append(majority_bits(grams))
                 rows = min_hashes(grams).reshape(BANDS, BAND_ROWS)
                 bands.append(np.array([xxhash.xxh64_intdigest(r.tobytes(), n) for n, r in enumerate(rows)], dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(tags, pa.binary()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "tag", "node", "bands"],
+                [
+                    pa.array(ids, pa.int64()), pa.array(tags, pa.binary()), pa.array(nodes, pa.binary()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)),
+                    pa.array(bands, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "tag", "node", "fp", "bands"],
             )
 
-    return id_text(docs, **cols).mapInArrow(lean(run), "doc_id long, tag binary, node binary, bands array<long>")
+    return id_text(docs, **cols).mapInArrow(lean(run), "doc_id long, tag binary, node binary, fp long, bands array<long>")
 
 
 def whole_sets(texts: DataFrame) -> DataFrame:
@@ -259,46 +263,59 @@ def noted(made: list[DataFrame], df: DataFrame, name: str) -> DataFrame:
     return made[-1]
 
 
+def fingerprint_pairs(nodes: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """(a, b) of nodes (num, fp): each fingerprint's first node with those of equal fingerprints, and with the first node of the
+    least fingerprint within RADIUS bits of it, by the segment tables of `links`. At most two pairs for each node."""
+    of = noted(made, nodes.groupBy("fp").agg(F.min("num").alias("first")), "fingerprint-nodes")
+    same = nodes.join(of, "fp").where(F.col("num") != F.col("first")).select(F.col("num").alias("a"), F.col("first").alias("b"))
+    least = links(of).groupBy("a").agg(F.min("b").alias("b"))
+    met = least.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
+    return same.unionByName(met.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def near_links(nodes: DataFrame, texts: DataFrame, least: float, made: list[DataFrame]) -> DataFrame:
-    """(a, b) of nodes (num, one, bands) that connect all nodes with a similarity of `least` or more that share a key; tables written for it are added to `made`.
+    """(a, b) of nodes (num, one, fp, bands) that connect all nodes with a similarity of `least` or more that share a key; tables written for it are added to `made`.
 
-    The members of a key's cell are compared with a pivot, the member that shares most keys with others (of a crowd of copies, the text
-    they come from); members that are still apart from it with a second one. What is left needs no comparison of all pairs: members
-    with a pivot that one of them isn't alike are compared where the rare ends of their sets meet; see `prefixes`. No pair of a cell is lost.
+    SimHash comes first: nodes whose fingerprints lie within RADIUS bits are compared on whole shingle sets, and those alike are linked. At this
+    similarity most pairs differ in more bits, so the keys find the rest: the members of a key's cell that SimHash hasn't linked with its
+    pivot, the member that shares most keys with others (of a crowd of copies, the text they come from), are compared with it; members that
+    are still apart from it with a second one. What is left needs no comparison of all pairs: members with a pivot that one of them isn't
+    alike are compared where the rare ends of their sets meet; see `prefixes`. No pair of a cell is lost.
     """
+    pairs = noted(made, fingerprint_pairs(nodes, made), "fingerprint-pairs")
     keys = nodes.select("num", F.explode("bands").alias("cell"))
     counts = keys.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
     shared = noted(made, keys.join(counts, "cell"), "cells")
     degree = shared.groupBy("num").agg(F.sum("n").alias("degree"))
-    some = nodes.join(degree, "num").select("num", "one")
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("num"))
+    some = nodes.join(degree.select("num").unionByName(paired).distinct(), "num").select("num", "one")
     tagged = texts.withColumn("tag", F.unhex(F.md5(F.col("text").cast("binary"))))
     tagged = sifted(tagged, some.select("one.doc_id", "one.tag")).where("maybe")
     first = tagged["doc_id"].eqNullSafe(some["one"]["doc_id"]) & (tagged["tag"] == some["one"]["tag"])
     sets = noted(made, whole_sets(some.join(tagged, first).select("num", "text")), "shingle-sets")
+    prints = noted(made, compared(pairs, sets).where(alike(least)).select("a", "b"), "fingerprint-links")
     cells = noted(made, shared.join(degree, "num").select("cell", "num", "degree"), "cells")
     drop_written(shared)
     best = F.max(F.struct("degree", "num")).alias("p")
     seen = None  # (num, p, n, n_p, common): what members share with pivots
-    now = cells.withColumn("root", F.col("num"))
+    now = noted(made, rooted(cells, prints), "rooted")
     for k in range(PIVOTS):
         if k:
-            links = noted(made, seen.where(alike(least)).select("a", "b"), "links")
-            now = noted(made, rooted(cells, links), "rooted")
+            now = noted(made, rooted(cells, noted(made, seen.where(alike(least)).select("a", "b").unionByName(prints), "links")), "rooted")
             first_root = now.join(pivots, "cell").where(F.col("num") == F.col("pivot")).select("cell", F.col("root").alias("taken"))
             apart = now.join(first_root, "cell").where("root <> taken")
             pivots = apart.groupBy("cell").agg(best).select("cell", F.col("p.num").alias("pivot"))
-            roots = now.join(pivots, "cell").where(F.col("num") == F.col("pivot")).select("cell", F.col("root").alias("taken"))
-            met = now.join(pivots, "cell").join(roots, "cell").where("root <> taken")
         else:
             pivots = noted(made, cells.groupBy("cell").agg(best).select("cell", F.col("p.num").alias("pivot")), "pivots")
             first_pivots = pivots
-            met = cells.join(pivots, "cell").where(F.col("num") != F.col("pivot"))
+        roots = now.join(pivots, "cell").where(F.col("num") == F.col("pivot")).select("cell", F.col("root").alias("taken"))
+        met = now.join(pivots, "cell").join(roots, "cell").where("root <> taken")
         found = compared(met.select(F.col("num").alias("a"), F.col("pivot").alias("b")).distinct(), sets)
         found = noted(made, found, "compared")
         seen = found if seen is None else seen.unionByName(found)
         first_seen = found if k == 0 else first_seen
-    links = noted(made, seen.where(alike(least)).select("a", "b"), "links")
-    return links.unionByName(compared(left_pairs(rooted(cells, links), first_pivots, first_seen, sets, least, made), sets).where(alike(least)).select("a", "b"))
+    linked = noted(made, seen.where(alike(least)).select("a", "b").unionByName(prints), "links")
+    return linked.unionByName(compared(left_pairs(rooted(cells, linked), first_pivots, first_seen, sets, least, made), sets).where(alike(least)).select("a", "b"))
 
 
 def prefixes(sets: DataFrame, least: float, places: int = RANK_PLACES) -> DataFrame:
@@ -327,9 +344,12 @@ def left_pairs(now: DataFrame, pivots: DataFrame, seen: DataFrame, sets: DataFra
     """The pairs (a, b), of different roots and one pivot, that may still be alike; see `near_links`."""
     open_ = now.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
     member = now.join(open_, "cell").join(pivots, "cell").select(F.col("pivot").alias("p"), "num", "root").distinct()
-    facts = seen.select(F.col("a").alias("num"), F.col("b").alias("p"), F.col("n_a").alias("n"), alike(least).alias("near"))
-    member = noted(made, member.join(facts, ["num", "p"]), "open-members")  # pivots themselves have been compared with all
-    first = noted(made, prefixes(sets.join(member.select("num").distinct(), "num", "left_semi"), least), "prefixes")
+    facts = seen.select(F.col("a").alias("num"), F.col("b").alias("p"), alike(least).alias("near"))
+    # a member that wasn't compared with the pivot is linked with it by fingerprints; pivots themselves have met all
+    member = member.where("num <> p").join(facts, ["num", "p"], "left").withColumn("near", F.coalesce("near", F.lit(True)))
+    member = noted(made, member, "open-members")
+    mine = sets.join(member.select("num").distinct(), "num", "left_semi")
+    first = noted(made, prefixes(mine, least).join(mine.select("num", F.size("grams").alias("n")), "num"), "prefixes")
     side = member.join(first, "num").select("p", "num", "root", "near", "n", F.posexplode("prefix").alias("at", "gram"))
     mine = side.where("not near").select("p", "gram", F.col("num").alias("s"), F.col("root").alias("r"), F.col("n").alias("n_s"), (F.col("n") - F.col("at")).alias("left_s"))
     others = side.select("p", "gram", F.col("num").alias("x"), F.col("root").alias("rx"), F.col("n").alias("n_x"), (F.col("n") - F.col("at")).alias("left_x"))
@@ -347,7 +367,7 @@ def first_of_groups(docs: DataFrame, least: float = NEAR, id_col: str = "doc_id"
     made = [] if made is None else made
     signed = noted(made, set_signatures(docs, id_col=id_col, **cols), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
-    nodes = signed.groupBy("node").agg(first.alias("one"), F.first("bands").alias("bands")).withColumn("num", F.monotonically_increasing_id())
+    nodes = signed.groupBy("node").agg(first.alias("one"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("num", F.monotonically_increasing_id())
     nodes = noted(made, nodes, "nodes")
     named = rooted(nodes.select("num", "node", "one"), near_links(nodes, id_text(docs, id_col=id_col, **cols), least, made))
     ids = named.groupBy("root").agg(F.min("one").alias("one"))
