@@ -71,6 +71,26 @@ def test_louvain_from_counts(graph, edges, monkeypatch):
     assert g.n == 0 and g.louvain(np.ones_like, 1, 1.0, 10, True, 1e-12)[2] == []
 
 
+def test_pairs_of_chunks(graph, edges, spark, monkeypatch):
+    """A kind of more nodes than a chunk holds, rounded weights, and the edges of a node that is in two chunks."""
+    monkeypatch.setattr(folded, "BLOCK", 3)
+    monkeypatch.setattr(folded, "PAIRS", 5)
+    want = rows_of(edges)
+    assert rows_of(projection.project(graph, "student")) == want == rows_of(projection.project_arrays(graph, "student"))
+    got = projection.project(graph, "student", "resource_allocation", digits=2).collect()
+    assert got and all(r["weight"] == round(r["weight"], 2) for r in got)
+    checked, twice = projection.project_checked(graph, "student")
+    assert rows_of(checked) == want and twice.count() == 0
+    few = folded.fold(projection.incidences(graph, "student"))[1]
+    rows = folded.chunks(few)
+    assert rows.where(F.size("ids") > 3).count() == 0
+    extra = rows.limit(1).withColumn("c", F.lit(-1).cast("long"))
+    both = rows.unionByName(extra)
+    made = folded.pairs(few, None, rows=both)
+    plain = made.groupBy("source", "target").agg(F.count("*").alias("n")).where("n > 1")
+    assert rows_of(folded.repeated(both, made)) == rows_of(plain) != []
+
+
 def test_tiers_without_the_rest(spark, monkeypatch):
     """Outcomes by tier don't rank the signals, and read them once."""
     monkeypatch.setattr(insight, "rank_auc", None)
