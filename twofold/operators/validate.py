@@ -41,10 +41,12 @@ def bipartite(graph: Bipartite) -> DataFrame:
     return out
 
 
-def projection(nodes: DataFrame, edges: DataFrame, min_weight: float | None = None) -> DataFrame:
+def projection(nodes: DataFrame, edges: DataFrame, min_weight: float | None = None, twice: DataFrame | None = None) -> DataFrame:
+    """`twice` has the edges that occur more than once, where the plan that made them knows; else all are grouped."""
     pair = F.concat_ws("-", "source", "target")
     out = _weights(edges, pair).unionByName(_bad(edges.where("source >= target"), "source is under target", pair))
-    twice = edges.groupBy("source", "target").agg(F.count("*").alias("n")).where("n > 1")
+    if twice is None:
+        twice = edges.groupBy("source", "target").agg(F.count("*").alias("n")).where("n > 1")
     out = out.unionByName(_bad(twice, "an edge occurs once", pair))
     kinds = nodes.agg(F.countDistinct("kind").alias("k"))
     out = out.unionByName(_bad(kinds.where("k > 1"), "nodes are of one kind", F.col("k")))
