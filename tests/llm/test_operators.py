@@ -807,3 +807,19 @@ def test_mixing(spark, docs, nothing):
         (r["doc_id"], round(r["_probability"], 9), r["_sampled"]) for r in rows
     }
     assert all(r["topic"] == 3 and r["a.b"] == 4 for r in rows) and len({r["_tokens"] for r in rows}) > 5
+
+
+def test_anchors_are_sent_in_parts(monkeypatch):
+    """A task held 262,144 anchors and their sorted copies before it sent any."""
+    import pyarrow as pa
+
+    from twofold.llm import suffix
+
+    monkeypatch.setattr(suffix, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(suffix, "SENT", 50)
+    texts = [" ".join(f"w{i * 977 % 10007}x{j * j % 991}" for j in range(60)) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64()), pa.array(texts)], ["doc", "tag", "text"])
+    parts = list(suffix.find_anchors(suffix.LENGTH)(iter([batch])))
+    owner = suffix.anchors([t.encode() for t in texts])[0]
+    assert len(parts) > 1 and sum(p.num_rows for p in parts) <= len(owner)
+    assert set(np.concatenate([p.column(2).to_numpy() for p in parts])) == set(owner.tolist())

@@ -43,7 +43,10 @@ GRAM = 32
 HOT = 50_000
 ROWS = 1 << 18
 #: Texts searched for anchors at a time, whole ones: about ten arrays of eight bytes a byte are held for them.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
+#: Anchors that a task settles and sends at a time, and places whose windows are measured at a time.
+SENT = 1 << 16
+REACH = 1 << 11
 #: Surroundings whose suffix array is built at a time, but for those of one gram, and texts cut at a time.
 CONTEXTS = 1 << 12
 CUT_ROWS = 1 << 10
@@ -128,8 +131,8 @@ def reach(g: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndar
     """First and last start of the windows of `span` grams whose leftmost smallest gram is at each place."""
     lo, hi = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
     off = np.arange(1, span)
-    for k in range(0, len(at), 1 << 13):
-        i = at[k : k + (1 << 13), None]
+    for k in range(0, len(at), REACH):
+        i = at[k : k + REACH, None]
         own = g[i]
         left = (g[np.maximum(i - off, 0)] <= own) & (i >= off)
         right = (g[np.minimum(i + off, len(g) - 1)] < own) & (i + off < len(g))
@@ -189,7 +192,7 @@ def find_anchors(length: int):
                 held.append((a, c, docs[at:until][owner], tags[at:until][owner], s, e))
                 size += len(a)
                 at = until
-                if size >= ROWS:
+                if size >= SENT:
                     yield from flush(held)
                     held, size = [], 0
         yield from flush(held)
